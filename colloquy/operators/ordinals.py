@@ -35,7 +35,7 @@ def running_total(
     ``levels`` - 1 times before a plain window takes over.
     """
     levels = levels if levels is not None else (1 if keys else 2)
-    block, before, own = "__block", "__before", "__value"
+    block, before, own = f"__block{levels}", f"__before{levels}", f"__value{levels}"
     placed = df.withColumns({block: F.expr(f"CAST(`{order[0]}` AS BIGINT) div {width}"), own: value.cast("bigint")})
     totals = placed.groupBy(*keys, block).agg(F.sum(own).alias(own))
     if levels > 1:

@@ -122,6 +122,11 @@ def model_responder(
     return respond
 
 
+def by_role(**responders: Responder) -> Responder:
+    """One responder per role."""
+    return lambda df, role, turn: responders[role](df, role, turn)
+
+
 def attach_recordings(tasks: DataFrame, responses: DataFrame, max_turns: int) -> DataFrame:
     """Give each task its recorded responses ``(role, turn_index, text)``.
 

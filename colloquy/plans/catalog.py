@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from colloquy.plans import row_queries, text_queries  # noqa: F401
+from colloquy.plans import (  # noqa: F401
+    episode_queries,
+    row_queries,
+    sampling_queries,
+    store_queries,
+    stream_queries,
+    text_queries,
+)
 from colloquy.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
