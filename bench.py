@@ -33,6 +33,7 @@ def main() -> None:
     conf = {
         "spark.sql.shuffle.partitions": cpus,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     spark = build_session("bench", f"local[{cpus}]", **conf)

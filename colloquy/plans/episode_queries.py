@@ -26,7 +26,10 @@ from colloquy.session import new_folder
 from colloquy.sources import store
 
 c = F.col
-UID = F.concat(F.lit("train_"), c("conv_id").cast("string"))
+
+def _uid():
+    return F.concat(F.lit("train_"), c("conv_id").cast("string"))
+
 
 # ---- oracle: two turns of the judged protocol, written out --------------------------------------
 
@@ -102,7 +105,7 @@ def recorded_responses(steps):
         F.struct(F.lit("generator").alias("role"), c("g_raw").alias("text")),
         F.struct(F.lit("verifier").alias("role"), c("v_raw").alias("text")),
     )
-    return steps.select(UID.alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
+    return steps.select(_uid().alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
 
 
 def recorded_targets(steps):
@@ -110,7 +113,7 @@ def recorded_targets(steps):
         F.struct(F.lit("generator").alias("role"), c("g_target").alias("text")),
         F.struct(F.lit("verifier").alias("role"), c("v_target").alias("text")),
     )
-    return steps.select(UID.alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
+    return steps.select(_uid().alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
 
 
 def recorded_dataset(spark, d, steps=v_first_steps):
@@ -305,7 +308,7 @@ SELECT uid, turn_index, CASE WHEN old <> '' THEN old ELSE {Q.strip('v_target')}
 FROM (SELECT *, 'train_' || conv_id AS uid, CASE WHEN (conv_id + turn_index) % 2 = 0 THEN g_target END AS old FROM v_steps) s"""))
 def relabel_join(spark, d):
     steps = v_steps(spark, d).select(
-        UID.alias("uid"), F.lit("generator").alias("role"), "turn_index",
+        _uid().alias("uid"), F.lit("generator").alias("role"), "turn_index",
         messages_of(message("user", c("g_raw"))).alias("teacher_prompt"),
         F.lit(None).cast("string").alias("teacher_status"),
         F.lit(None).cast("string").alias("teacher_justification"),
@@ -365,7 +368,7 @@ _ACCURACY = {
 def _accuracy_records(spark, d, steps=None):
     steps = v_steps(spark, d) if steps is None else steps
     spoken = steps.select(
-        UID.alias("uid"), "turn_index", strip_think(py_strip(c("g_raw"))).alias("student_response")
+        _uid().alias("uid"), "turn_index", strip_think(py_strip(c("g_raw"))).alias("student_response")
     )
     return metrics.accuracy_records(spoken, v_tasks(spark, d))
 
@@ -387,7 +390,7 @@ def gen_accuracy(spark, d):
 SELECT 'train_' || conv_id AS uid, bool_or({Q.simple_grade('g_raw', 'ground_truth')}) AS is_correct FROM v_dagger GROUP BY conv_id"""))
 def episode_correct_any(spark, d):
     steps = v_dagger(spark, d).select(
-        UID.alias("uid"), grading.grade_reward(c("g_raw"), c("ground_truth")).alias("reward")
+        _uid().alias("uid"), grading.grade_reward(c("g_raw"), c("ground_truth")).alias("reward")
     )
     return metrics.episode_correct_any(steps)
 
@@ -396,7 +399,7 @@ def episode_correct_any(spark, d):
 SELECT 'train_' || conv_id AS uid, coalesce({Q.verdict('v_raw')} = 'correct', false) AS is_correct
 FROM v_steps QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn_index DESC) = 1"""))
 def episode_correct_last(spark, d):
-    steps = v_steps(spark, d).select(UID.alias("uid"), "turn_index", c("v_raw").alias("student_response_raw"))
+    steps = v_steps(spark, d).select(_uid().alias("uid"), "turn_index", c("v_raw").alias("student_response_raw"))
     return metrics.episode_correct_last(steps)
 
 
@@ -484,7 +487,7 @@ def _numbered_targets(spark, d):
     """Recorded targets under the position a task takes in a whole sample."""
     numbered = rank_rows(v_tasks(spark, d).select("conv_id"), [], ["conv_id"], "place")
     targets = recorded_targets(v_first_tagged(spark, d)).join(
-        numbered.select(UID.alias("uid"), "place"), "uid"
+        numbered.select(_uid().alias("uid"), "place"), "uid"
     )
     return targets.select(
         F.concat(F.lit("train_"), c("place").cast("string")).alias("uid"), "role", "turn_index", "text"
