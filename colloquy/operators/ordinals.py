@@ -10,22 +10,41 @@ shuffle), and the two are joined.  Results equal those of the plain window.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import Files
+
 BLOCK_WIDTH = 1 << 16
 HISTOGRAM_BUCKETS = 1 << 16
 
 
+def _plain_keys(df: DataFrame, keys: list[str], level: int) -> dict[str, Column]:
+    """Two columns per key that are never NULL and together equal for equal keys.
+
+    Window and join then name the same plain columns, so the rows' one shuffle serves
+    both; a null-safe join condition would ask for another one.
+    """
+    types = dict(df.dtypes)
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    made: dict[str, Column] = {}
+    for i, key in enumerate(keys):
+        value = F.col(key)
+        default = F.lit(0) if types[key] in numbers else F.lit("")
+        if types[key] not in numbers:
+            value = value.cast("string")
+        made[f"__key{level}_{i}"] = F.coalesce(value, default)
+        made[f"__none{level}_{i}"] = F.col(key).isNull()
+    return made
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     value: Column,
     out: str,
-    width: int = BLOCK_WIDTH,
+    width: int | None = None,
     levels: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the key up to and including this one.
@@ -34,32 +53,30 @@ def running_total(
     with ``keys`` they must be unique.  Block totals are themselves added up in blocks
     ``levels`` - 1 times before a plain window takes over.
     """
+    width = width or BLOCK_WIDTH
     levels = levels if levels is not None else (1 if keys else 2)
     block, before, own = f"__block{levels}", f"__before{levels}", f"__value{levels}"
-    placed = df.withColumns({block: F.expr(f"CAST(`{order[0]}` AS BIGINT) div {width}"), own: value.cast("bigint")})
-    totals = placed.groupBy(*keys, block).agg(F.sum(own).alias(own))
+    plain = _plain_keys(df, keys, levels)
+    placed = df.withColumns(
+        {**plain, block: F.expr(f"CAST(`{order[0]}` AS BIGINT) div {width}"), own: value.cast("bigint")}
+    )
+    by, whole = list(plain), [*plain, block]
+    totals = placed.groupBy(*whole).agg(F.sum(own).alias(own))
     if levels > 1:
-        summed = running_total(
-            totals.select(*keys, block, own), keys, [block], F.col(own), before, width, levels - 1
-        ).withColumn(before, F.col(before) - F.col(own))
+        summed = running_total(totals, by, [block], F.col(own), before, width, levels - 1)
     else:
-        up_to_here = (
-            Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        up_to_here = Window.partitionBy(*by).orderBy(block).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
         )
-        summed = totals.withColumn(before, F.sum(own).over(up_to_here) - F.col(own))
+        summed = totals.withColumn(before, F.sum(own).over(up_to_here))
     # the first block of a key needs no offset, so short keys never reach the join
-    offsets = summed.filter(F.col(before) != 0).select(
-        *[F.col(c).alias(f"__off_{c}") for c in [*keys, block]], before
-    )
-    inside = (
-        Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = placed.withColumn(out, F.sum(own).over(inside))
-    same = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__off_{c}")) for c in [*keys, block]]
+    offsets = summed.withColumn(before, F.col(before) - F.col(own)).filter(F.col(before) != 0)
+    inside = Window.partitionBy(*whole).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    local = placed.withColumn(out, F.sum(own).over(inside)).drop(own)
     return (
-        local.join(offsets, same, "left")
+        local.join(offsets.drop(own), whole, "left")
         .withColumn(out, F.col(out) + F.coalesce(F.col(before), F.lit(0)))
         .select(*df.columns, out)
     )
@@ -117,6 +134,18 @@ def smallest(
     )
 
 
+def nth_bucket_end(df: DataFrame, bucket: str, offset: str, n: Column) -> DataFrame:
+    """One row ``reach``: the greatest ``offset`` up to the end of the bucket where the n-th row
+    lies, or of all rows when there are fewer."""
+    upto = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # at most 65,536 rows
+    histogram = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__size"), F.max(offset).alias("__last"))
+    cumulated = histogram.withColumn("__upto", F.sum("__size").over(upto))
+    return cumulated.filter(F.col("__upto") - F.col("__size") < n).groupBy().agg(
+        F.coalesce(F.max("__last"), F.lit(-1)).alias("reach")
+    )
+
+
 def hash_bucket(key: Column) -> Column:
     """Bucket of a hexadecimal sort key: its first four digits."""
     return F.conv(F.left(key, F.lit(4)), 16, 10).cast("int")
@@ -131,31 +160,33 @@ def scaled_bucket(offset: Column, size: Column) -> Column:
 SERIAL = "__serial"
 
 
-def write_indexed(df: DataFrame, folder: str) -> None:
-    """Write rows once, each with its task's serial number, and a table of task offsets.
+def write_indexed(df: DataFrame, folder: str, out: str = "source_idx") -> None:
+    """Write rows with a dense index from 0 as a stored column, in index order within files.
 
-    The serial numbers are stored with the rows, so a recomputed task cannot change them;
-    the offsets have one row per task.
+    The rows are staged once with their task's serial number, so a recomputed task
+    cannot change them; the offsets between tasks have one row per task.  Storing the
+    index lets later scans skip row groups by it.
     """
     spark = df.sparkSession
-    df.withColumn(SERIAL, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
-    part = F.shiftright(F.col(SERIAL), 33).alias("__part")
-    counted = spark.read.parquet(f"{folder}/rows").groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    staged = f"{folder}/staged"
+    df.withColumn(SERIAL, F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
+    part = F.shiftright(F.col(SERIAL), 33)
+    rows = spark.read.parquet(staged).withColumn("__part", part)
+    counted = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     up_to_here = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = counted.select("__part", (F.sum("__n").over(up_to_here) - F.col("__n")).alias("__start"))
     starts.write.mode("overwrite").parquet(f"{folder}/starts")
-
-
-def read_indexed(spark: SparkSession, folder: str, out: str = "source_idx") -> DataFrame:
-    """The rows of ``write_indexed`` with a dense index from 0.
-
-    No hint on the join: Spark broadcasts the offsets while their file is small.
-    """
-    rows = spark.read.parquet(f"{folder}/rows").withColumn("__part", F.shiftright(F.col(SERIAL), 33))
-    starts = spark.read.parquet(f"{folder}/starts")
     own = F.col(SERIAL).bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        rows.join(starts, "__part")
+    # no hint: Spark broadcasts the offsets while their file is small, else it shuffles
+    (
+        rows.join(spark.read.parquet(f"{folder}/starts"), "__part")
         .withColumn(out, F.col("__start") + own)
         .drop("__part", "__start", SERIAL)
+        .write.mode("overwrite")
+        .parquet(f"{folder}/rows")
     )
+    Files(spark, folder).delete(staged)
+
+
+def read_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rows")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.ordinals import (
     hash_bucket,
+    nth_bucket_end,
     number_of_rows,
     running_total,
     scaled_bucket,
@@ -18,6 +19,7 @@ from colloquy.operators.ordinals import (
 )
 
 INDEX = "source_idx"
+HAS_QUESTION = "has_question"
 
 
 def task_uid(split: str, index: Column) -> Column:
@@ -28,6 +30,11 @@ def has_question(question: Column) -> Column:
     return F.coalesce(question != "", F.lit(False))
 
 
+def usable(df: DataFrame, question: str) -> DataFrame:
+    """Rows with a question; read off the narrow flag where the dataset has one."""
+    return df.filter(F.col(HAS_QUESTION) if HAS_QUESTION in df.columns else has_question(F.col(question)))
+
+
 def shard_filter(df: DataFrame, shard: int, shards: int) -> DataFrame:
     """Rows of one of ``shards`` modulo shards."""
     if shards < 1:
@@ -86,14 +93,31 @@ def sample_sequential(
     position: str = "batch_pos",
 ) -> DataFrame:
     """The first ``n`` rows with a question on a walk over the shard from ``start``, wrapping
-    around, at most one full pass; ``batch_pos`` numbers them in walk order."""
-    part = _with_shard_position(shard_filter(df, shard, shards), shards)
+    around, at most one full pass; ``batch_pos`` numbers them in walk order.
+
+    The walk's stretch is found from narrow columns; its bounds on the stored index
+    then reach the scan, which skips the row groups outside.
+    """
     size = _shard_size(df, shard, shards)
-    walk = part.withColumn("__rot", F.pmod(F.col("__pos") - F.pmod(F.lit(max(int(start), 0)), size), size))
-    usable = walk.filter(has_question(F.col(question)))
-    taken = smallest(
-        usable, scaled_bucket(F.col("__rot"), size), [F.col("__rot")], max(int(n), 0), position=position
+    first = F.pmod(F.lit(max(int(start), 0)), size)
+
+    def walk(rows: DataFrame) -> DataFrame:
+        placed = _with_shard_position(usable(shard_filter(rows, shard, shards), question), shards)
+        return placed.withColumn("__rot", F.pmod(F.col("__pos") - first, size))
+
+    bucket = scaled_bucket(F.col("__rot"), size)
+    stretch = walk(df).select("__rot", bucket.alias("__bucket"))
+    wanted = F.lit(max(int(n), 0)).cast("bigint")
+    reach = nth_bucket_end(stretch, "__bucket", "__rot", wanted)
+    # last index of the stretch, and of its part that wrapped around (negative: none)
+    end = reach.select(((first + F.col("reach")) * shards + shard).cast("bigint").alias("i"))
+    wrapped = reach.select(((first + F.col("reach") - size) * shards + shard).cast("bigint").alias("i"))
+    begin = df.sparkSession.range(1).select((first * shards + shard).cast("bigint").alias("i"))
+    index = F.col(INDEX)
+    near = df.filter(
+        ((index >= begin.scalar()) & (index <= end.scalar())) | (index <= wrapped.scalar())
     )
+    taken = smallest(walk(near), bucket, [F.col("__rot")], max(int(n), 0), position=position)
     return taken.drop("__pos", "__rot")
 
 
@@ -138,20 +162,20 @@ def round_batches(
     spark = df.sparkSession
     part = _with_shard_position(shard_filter(df, shard, shards), shards)
     size = _shard_size(df, shard, shards)
-    usable = part.filter(has_question(F.col(question)))
+    asked = usable(part, question)
     marks = spark.range(pairs).select(
         F.pmod(F.lit(max(int(start), 0)) + F.col("id") * n, size).alias("__pos"),
         F.lit(0).alias("__task"),
         F.col("id").alias("pair_idx"),
         F.lit(None).cast("bigint").alias(INDEX),
     )
-    tasks = usable.select(
+    tasks = asked.select(
         "__pos", F.lit(1).alias("__task"), F.lit(-1).cast("bigint").alias("pair_idx"), F.col(INDEX)
     )
     ranked = running_total(
         tasks.unionByName(marks), [], ["__pos", "__task", "pair_idx"], F.col("__task"), "__upto"
     )
-    total = number_of_rows(usable)
+    total = number_of_rows(asked)
     slots = (
         ranked.filter(F.col("__task") == 0)
         .filter(total > 0)
@@ -161,7 +185,7 @@ def round_batches(
     )
     numbered = ranked.filter(F.col("__task") == 1).select(INDEX, (F.col("__upto") - 1).alias("__rank"))
     placed = slots.join(numbered, "__rank").select("pair_idx", "k", INDEX)
-    return placed.join(usable.drop("__pos"), INDEX)
+    return placed.join(asked.drop("__pos"), INDEX)
 
 
 def pair_tasks(rounds: DataFrame, batches: DataFrame) -> DataFrame:

@@ -105,7 +105,8 @@ def recorded_responses(steps):
         F.struct(F.lit("generator").alias("role"), c("g_raw").alias("text")),
         F.struct(F.lit("verifier").alias("role"), c("v_raw").alias("text")),
     )
-    return steps.select(_uid().alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
+    uid = c("uid") if "uid" in steps.columns else _uid().alias("uid")
+    return steps.select(uid, "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
 
 
 def recorded_targets(steps):
@@ -113,7 +114,8 @@ def recorded_targets(steps):
         F.struct(F.lit("generator").alias("role"), c("g_target").alias("text")),
         F.struct(F.lit("verifier").alias("role"), c("v_target").alias("text")),
     )
-    return steps.select(_uid().alias("uid"), "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
+    uid = c("uid") if "uid" in steps.columns else _uid().alias("uid")
+    return steps.select(uid, "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
 
 
 def recorded_dataset(spark, d, steps=v_first_steps):

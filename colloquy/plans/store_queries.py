@@ -56,7 +56,7 @@ def register_dataset(spark, d):
     v_rows(spark, d).write.parquet(raw)
     first = datasets.register(spark, root, "rows", "train[a:b]", raw)
     again = datasets.register(spark, root, "rows", "train[a:b]")  # already there: no path needed
-    return again.select(*[x for x in first.columns if x not in ("solution", "label", "source_idx")])
+    return again.select(*[x for x in first.columns if x not in ("solution", "label", "source_idx", "has_question")])
 
 
 _RAW_MESSAGES = "CASE WHEN conv_id % 5 = 4 THEN '\"just text \"' ELSE m END"

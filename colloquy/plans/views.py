@@ -132,19 +132,28 @@ def v_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_rows(said, ["conv_id"], ["turn"], "turn_index").selectExpr(*STEPS_PROJECTION)
 
 
+UID = "'train_' || CAST(conv_id AS STRING) AS uid"
+
+
 def v_first_steps(spark: SparkSession, sf_dir: str, turns: int = TURNS) -> DataFrame:
     """The first ``turns`` assistant turns of each conversation, what a rollout can reach.
 
-    Spark limits each group before the shuffle (``WindowGroupLimit``).
+    Spark limits each group before the shuffle (``WindowGroupLimit``).  Partitioned by
+    ``uid``, like everything an episode meets later, so grouping them shuffles no more.
     """
-    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
-    ranked = said.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    return ranked.filter(F.col("rn") <= turns).withColumn("turn_index", F.col("rn") - 1).selectExpr(*STEPS_PROJECTION)
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    keyed = said.selectExpr(UID, "conv_id", "turn", "text")
+    ranked = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("uid").orderBy("turn")))
+    first = ranked.filter(F.col("rn") <= turns).withColumn("turn_index", F.col("rn") - 1)
+    return first.selectExpr(*STEPS_PROJECTION, "uid")
 
 
 def v_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return asked.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).selectExpr(*TASKS_PROJECTION)
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr(UID, "conv_id", "turn", "text")
+    last = asked.groupBy("uid").agg(F.max_by("text", "turn").alias("text"), F.max("conv_id").alias("conv_id"))
+    return last.selectExpr("uid", *[p for p in TASKS_PROJECTION if not p.endswith("AS uid")]).select(
+        "conv_id", "uid", "question", "ground_truth"
+    )
 
 
 def v_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +165,7 @@ def v_dagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_first_tagged(spark: SparkSession, sf_dir: str, turns: int = TURNS) -> DataFrame:
-    return v_first_steps(spark, sf_dir, turns).selectExpr(*TAGGED_PROJECTION)
+    return v_first_steps(spark, sf_dir, turns).selectExpr(*TAGGED_PROJECTION, "uid")
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from colloquy.functions.messages import (
 )
 from colloquy.functions.text import py_strip, split_key
 from colloquy.operators.ordinals import read_indexed, write_indexed
+from colloquy.operators.sampling import HAS_QUESTION, has_question
 from colloquy.session import Files
 from colloquy.sources.store import Snapshots
 
@@ -102,7 +103,7 @@ def lookup(spark: SparkSession, root: str, name: str, split: str) -> tuple[DataF
     safe = split_key(split)
     for key in dict.fromkeys([split, safe]):
         if key and not any(c in key for c in "/:[]"):
-            version = Snapshots(spark, _home(root, name, key), marker="starts/_SUCCESS").current()
+            version = Snapshots(spark, _home(root, name, key), marker="rows/_SUCCESS").current()
             if version:
                 return read_indexed(spark, version), key
     return None, safe
@@ -126,8 +127,11 @@ def register(
         return existing
     if not path:
         raise RuntimeError(f"dataset {name!r} (split {split!r}) is not registered and no path was given")
-    versions = Snapshots(spark, _home(root, name, key), marker="starts/_SUCCESS")
+    versions = Snapshots(spark, _home(root, name, key), marker="rows/_SUCCESS")
     target = versions.next()
-    write_indexed(with_question_and_truth(scan(spark, path, schema), name), target)
+    coerced = with_question_and_truth(scan(spark, path, schema), name)
+    # a narrow flag, so that sampling need not read the questions to find the empty ones
+    flagged = coerced.withColumn(HAS_QUESTION, has_question(F.col("question")))
+    write_indexed(flagged, target)
     versions.retire(keep=target)
     return read_indexed(spark, target)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.hashing import message_hash, text_hash
@@ -90,10 +90,10 @@ def append_distinct(
     if rows.isEmpty():
         return versions.current()
     dedupes = messages in rows.columns
+    seen = Observation()
     if dedupes:
-        rejected = rows.filter(F.col(messages).isNull()).count()
-        if rejected:
-            warnings.warn(f"{rejected} rows without messages rejected")
+        # counted on the way through, without a pass of its own
+        rows = rows.observe(seen, F.count_if(F.col(messages).isNull()).alias("rejected"))
         rows = with_hash(rows.filter(F.col(messages).isNotNull()), messages)
     # the schema is known, so old JSON versions are read without inference
     old = read_store(spark, home, file_format, rows.schema if file_format == "json" else None)
@@ -109,6 +109,8 @@ def append_distinct(
     if file_format == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.save(target)
+    if dedupes and seen.get["rejected"]:
+        warnings.warn(f"{seen.get['rejected']} rows without messages rejected")
     return target
 
 
