@@ -87,9 +87,17 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str], out: str, **kw)
     return running_total(df, keys, order, F.lit(1), out, **kw).withColumn(out, F.col(out) - 1)
 
 
-def number_of_rows(df: DataFrame) -> Column:
-    """Row count as a scalar subquery."""
-    return df.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
+def _cumulated(df: DataFrame, bucket: str, *more: Column) -> DataFrame:
+    """Histogram of a bucket column with ``__upto``, the rows up to each bucket's end.
+
+    At most 65,536 rows, whatever the table holds, so the plain window is harmless.
+    """
+    upto = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        df.groupBy(bucket)
+        .agg(F.count(F.lit(1)).alias("__size"), *more)
+        .withColumn("__upto", F.sum("__size").over(upto))
+    )
 
 
 def smallest(
@@ -101,49 +109,43 @@ def smallest(
 ) -> DataFrame:
     """The ``n`` first rows by ``order``, without gathering candidates in one task.
 
-    ``bucket`` must be an integer in [0, 65,536) that never decreases along ``order``.  A
-    histogram of buckets finds the bucket where the n-th row lies.  Only rows up to that
-    bucket are shuffled, about ``n`` of them, and they are ranked bucket by bucket.  With
-    ``position`` the rows taken are numbered from 0.
+    ``bucket`` must be an integer in [0, 65,536) that never decreases along ``order``.  One
+    small job on the bucket's own columns finds the bucket where the n-th row lies.  Only
+    rows up to that bucket are shuffled, about ``n`` of them, and they are ranked bucket by
+    bucket.  With ``position`` the rows taken are numbered from 0.
     """
-    b, size, upto, rank = "__bucket", "__size", "__upto", "__rank"
+    b, rank = "__bucket", "__rank"
     placed = df.withColumn(b, bucket.cast("int"))
-    histogram = placed.groupBy(b).agg(F.count(F.lit(1)).alias(size))
-    # at most 65,536 rows, whatever the table holds
-    cumulated = histogram.withColumn(
-        upto, F.sum(size).over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    wanted = F.lit(int(n)).cast("bigint")
-    edge = cumulated.groupBy().agg(
-        F.struct(
-            F.coalesce(F.min(F.when(F.col(upto) >= wanted, F.col(b))), F.lit(HISTOGRAM_BUCKETS)).alias("bucket"),
-            F.coalesce(F.max(F.when(F.col(upto) < wanted, F.col(upto))), F.lit(0)).alias("below"),
-        ).alias("edge")
-    ).scalar()
-    ranked = placed.filter(F.col(b) <= edge["bucket"]).withColumn(
+    cumulated = _cumulated(placed, b)
+    edge = cumulated.agg(
+        F.min(F.when(F.col("__upto") >= n, F.col(b))).alias("bucket"),
+        F.max(F.when(F.col("__upto") < n, F.col("__upto"))).alias("below"),
+    ).first()
+    last = HISTOGRAM_BUCKETS if edge["bucket"] is None else edge["bucket"]
+    ranked = placed.filter(F.col(b) <= last).withColumn(
         rank, F.row_number().over(Window.partitionBy(b).orderBy(*order))
     )
-    taken = ranked.filter((F.col(b) < edge["bucket"]) | (F.col(rank) <= wanted - edge["below"]))
+    taken = ranked.filter((F.col(b) < last) | (F.col(rank) <= n - (edge["below"] or 0)))
     if position is None:
         return taken.select(*df.columns)
-    starts = cumulated.select(F.col(b), (F.col(upto) - F.col(size)).alias(upto))
+    starts = cumulated.filter(F.col(b) <= last).select(
+        F.col(b), (F.col("__upto") - F.col("__size")).alias("__start")
+    )
     return (
         taken.join(F.broadcast(starts), b)
-        .withColumn(position, (F.col(upto) + F.col(rank) - 1).cast("bigint"))
+        .withColumn(position, (F.col("__start") + F.col(rank) - 1).cast("bigint"))
         .select(*df.columns, position)
     )
 
 
-def nth_bucket_end(df: DataFrame, bucket: str, offset: str, n: Column) -> DataFrame:
-    """One row ``reach``: the greatest ``offset`` up to the end of the bucket where the n-th row
-    lies, or of all rows when there are fewer."""
-    upto = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # at most 65,536 rows
-    histogram = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__size"), F.max(offset).alias("__last"))
-    cumulated = histogram.withColumn("__upto", F.sum("__size").over(upto))
-    return cumulated.filter(F.col("__upto") - F.col("__size") < n).groupBy().agg(
-        F.coalesce(F.max("__last"), F.lit(-1)).alias("reach")
+def furthest_needed(df: DataFrame, bucket: Column, offset: str, n: int) -> int:
+    """Greatest ``offset`` up to the end of the bucket where the n-th row lies (of all rows when
+    there are fewer); -1 when none is needed."""
+    placed = df.select(bucket.cast("int").alias("__bucket"), offset)
+    needed = _cumulated(placed, "__bucket", F.max(offset).alias("__last")).filter(
+        F.col("__upto") - F.col("__size") < n
     )
+    return needed.agg(F.coalesce(F.max("__last"), F.lit(-1)).alias("reach")).first()["reach"]
 
 
 def hash_bucket(key: Column) -> Column:
@@ -151,10 +153,9 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.left(key, F.lit(4)), 16, 10).cast("int")
 
 
-def scaled_bucket(offset: Column, size: Column) -> Column:
+def scaled_bucket(offset: Column, size: int) -> Column:
     """Bucket of an offset in [0, size)."""
-    ratio = offset.cast("decimal(38,0)") * F.lit(HISTOGRAM_BUCKETS).cast("decimal(6,0)")
-    return F.floor(ratio / size).cast("int")
+    return F.floor(offset / F.lit(-(-max(size, 1) // HISTOGRAM_BUCKETS))).cast("int")
 
 
 SERIAL = "__serial"

@@ -1,7 +1,8 @@
 """Sharding, sampling and round schedules over a densely indexed dataset.
 
 Every function takes a DataFrame with a dense ``source_idx`` from 0 (assigned once, at
-registration) and returns rows; nothing is collected and no table is sorted whole.
+registration).  Sizes and cut-offs, single numbers, come from small jobs over narrow columns
+and enter the plan as literals; rows are never collected and no table is sorted whole.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.ordinals import (
+    furthest_needed,
     hash_bucket,
-    nth_bucket_end,
-    number_of_rows,
     running_total,
     scaled_bucket,
     smallest,
@@ -48,10 +48,9 @@ def _with_shard_position(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("__pos", F.expr(f"{INDEX} div {shards}"))
 
 
-def _shard_size(df: DataFrame, shard: int, shards: int) -> Column:
-    """Rows of the shard (at least 1); follows from the dataset's size, as its index is dense."""
-    rest = F.pmod(number_of_rows(df) - shard - 1, F.lit(shards))
-    return F.greatest((number_of_rows(df) - shard - 1 - rest) / shards + 1, F.lit(1)).cast("bigint")
+def _shard_size(df: DataFrame, shard: int, shards: int) -> int:
+    """Rows of the shard; follows from the dataset's size (from footers), as its index is dense."""
+    return max((df.count() - shard + shards - 1) // shards, 0)
 
 
 def shuffle_key(seed: int, index: Column) -> Column:
@@ -72,15 +71,11 @@ def sample_random(
 def sample_random_all(df: DataFrame, n: int, seed: int = 0, out: str = "sample_pos") -> DataFrame:
     """``n`` rows of a seeded shuffle with their position in the sample; the whole dataset
     in its own order when it has no more than ``n`` rows.  No row is dropped."""
-    whole = F.lit(int(n)).cast("bigint") >= number_of_rows(df)
-    placed = df.withColumn("__whole", whole).withColumn(
-        "__key", F.when(F.col("__whole"), F.lit("")).otherwise(shuffle_key(seed, F.col(INDEX)))
-    )
-    bucket = F.when(
-        F.col("__whole"), scaled_bucket(F.col(INDEX), F.greatest(number_of_rows(df), F.lit(1)))
-    ).otherwise(hash_bucket(F.col("__key")))
-    taken = smallest(placed, bucket, [F.col("__key"), F.col(INDEX)], n, position=out)
-    return taken.drop("__key", "__whole")
+    if n >= df.count():
+        return df.withColumn(out, F.col(INDEX).cast("bigint"))
+    placed = df.withColumn("__key", shuffle_key(seed, F.col(INDEX)))
+    taken = smallest(placed, hash_bucket(F.col("__key")), [F.col("__key"), F.col(INDEX)], n, position=out)
+    return taken.drop("__key")
 
 
 def sample_sequential(
@@ -98,26 +93,21 @@ def sample_sequential(
     The walk's stretch is found from narrow columns; its bounds on the stored index
     then reach the scan, which skips the row groups outside.
     """
+    n = max(int(n), 0)
     size = _shard_size(df, shard, shards)
-    first = F.pmod(F.lit(max(int(start), 0)), size)
+    first = max(int(start), 0) % max(size, 1)
 
     def walk(rows: DataFrame) -> DataFrame:
         placed = _with_shard_position(usable(shard_filter(rows, shard, shards), question), shards)
-        return placed.withColumn("__rot", F.pmod(F.col("__pos") - first, size))
+        return placed.withColumn("__rot", F.pmod(F.col("__pos") - first, F.lit(max(size, 1))))
 
     bucket = scaled_bucket(F.col("__rot"), size)
-    stretch = walk(df).select("__rot", bucket.alias("__bucket"))
-    wanted = F.lit(max(int(n), 0)).cast("bigint")
-    reach = nth_bucket_end(stretch, "__bucket", "__rot", wanted)
-    # last index of the stretch, and of its part that wrapped around (negative: none)
-    end = reach.select(((first + F.col("reach")) * shards + shard).cast("bigint").alias("i"))
-    wrapped = reach.select(((first + F.col("reach") - size) * shards + shard).cast("bigint").alias("i"))
-    begin = df.sparkSession.range(1).select((first * shards + shard).cast("bigint").alias("i"))
+    reach = furthest_needed(walk(df), bucket, "__rot", n)
     index = F.col(INDEX)
-    near = df.filter(
-        ((index >= begin.scalar()) & (index <= end.scalar())) | (index <= wrapped.scalar())
-    )
-    taken = smallest(walk(near), bucket, [F.col("__rot")], max(int(n), 0), position=position)
+    ahead = index.between(first * shards, (first + reach) * shards + shard)
+    wrapped = index <= (first + reach - size) * shards + shard
+    near = df.filter(ahead | wrapped if first + reach >= size else ahead)
+    taken = smallest(walk(near), bucket, [F.col("__rot")], n, position=position)
     return taken.drop("__pos", "__rot")
 
 
@@ -161,10 +151,14 @@ def round_batches(
     """
     spark = df.sparkSession
     part = _with_shard_position(shard_filter(df, shard, shards), shards)
-    size = _shard_size(df, shard, shards)
+    size = max(_shard_size(df, shard, shards), 1)
     asked = usable(part, question)
+    total = asked.count()
+    if n <= 0 or total == 0:
+        none = F.lit(None).cast("bigint")
+        return df.withColumns({"pair_idx": none, "k": none}).limit(0)
     marks = spark.range(pairs).select(
-        F.pmod(F.lit(max(int(start), 0)) + F.col("id") * n, size).alias("__pos"),
+        F.pmod(F.lit(max(int(start), 0)) + F.col("id") * n, F.lit(size)).alias("__pos"),
         F.lit(0).alias("__task"),
         F.col("id").alias("pair_idx"),
         F.lit(None).cast("bigint").alias(INDEX),
@@ -175,13 +169,11 @@ def round_batches(
     ranked = running_total(
         tasks.unionByName(marks), [], ["__pos", "__task", "pair_idx"], F.col("__task"), "__upto"
     )
-    total = number_of_rows(asked)
     slots = (
         ranked.filter(F.col("__task") == 0)
-        .filter(total > 0)
         .select("pair_idx", F.col("__upto").alias("__first"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(n).cast("bigint"), total) - 1)))
-        .select("pair_idx", "k", F.pmod(F.col("__first") + F.col("k"), total).alias("__rank"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(min(n, total) - 1).cast("bigint"))))
+        .select("pair_idx", "k", F.pmod(F.col("__first") + F.col("k"), F.lit(max(total, 1))).alias("__rank"))
     )
     numbered = ranked.filter(F.col("__task") == 1).select(INDEX, (F.col("__upto") - 1).alias("__rank"))
     placed = slots.join(numbered, "__rank").select("pair_idx", "k", INDEX)

@@ -118,9 +118,13 @@ def recorded_targets(steps):
     return steps.select(uid, "turn_index", F.inline(pairs)).select("uid", "role", "turn_index", "text")
 
 
-def recorded_dataset(spark, d, steps=v_first_steps):
-    """Tasks with their recorded responses, indexed by conversation."""
-    tasks = v_tasks(spark, d).withColumn("source_idx", c("conv_id"))
+def recorded_dataset(spark, d, steps=v_first_steps, dense=False):
+    """Tasks with their recorded responses, indexed by conversation or densely."""
+    tasks = v_tasks(spark, d)
+    if dense:
+        tasks = rank_rows(tasks, [], ["conv_id"], "source_idx")
+    else:
+        tasks = tasks.withColumn("source_idx", c("conv_id"))
     return rollout.attach_recordings(tasks, recorded_responses(steps(spark, d)), TURNS)
 
 
@@ -510,7 +514,7 @@ def collect_once(spark, d):
     prefix = new_folder(spark, "collect")
     options = jobs.RoundOptions(batch_tasks=EVERYTHING, max_turns=TURNS, materialise=False)
     teacher = jobs.recorded_labels(_numbered_targets(spark, d))
-    jobs.collect_once(recorded_dataset(spark, d, v_first_tagged), rollout.recorded_responder, teacher, options, prefix)
+    jobs.collect_once(recorded_dataset(spark, d, v_first_tagged, dense=True), rollout.recorded_responder, teacher, options, prefix)
     stored = [store.read_store(spark, f"{prefix}_{role}.parquet") for role in ("gen", "ver")]
     return stored[0].unionByName(stored[1]).select("role", "msg_hash", "uid", "turn_index")
 
@@ -522,7 +526,7 @@ def tagged_rounds(spark, d):
     out = new_folder(spark, "tagged")
     options = jobs.RoundOptions(batch_tasks=EVERYTHING, rounds=1, max_turns=TURNS, materialise=False)
     teacher = jobs.recorded_labels(_numbered_targets(spark, d))
-    jobs.alternate_tagged(recorded_dataset(spark, d, v_first_tagged), rollout.recorded_responder, teacher, options, out)
+    jobs.alternate_tagged(recorded_dataset(spark, d, v_first_tagged, dense=True), rollout.recorded_responder, teacher, options, out)
     stored = [store.read_store(spark, f"{out}/{role}_sft") for role in ("gen", "ver")]
     whole = stored[0].unionByName(stored[1])
     return whole.select("role", c("round").cast("bigint").alias("round"), "msg_hash", "uid", "turn_index")
