@@ -47,16 +47,20 @@ def scan_jsonl_tolerant(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def well_formed(line: Column) -> Column:
-    return (py_strip(line) != "") & F.try_parse_json(line).isNotNull()
+    """Whether a line is one JSON value and nothing else.
+
+    Spark's parsers stop after the first value and ignore what follows.  Inside brackets
+    and inside braces a trailing rest is an error in at least one of the two.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    wrapped = F.try_parse_json(F.concat(F.lit('{"x":'), line, F.lit("}"))).isNotNull()
+    return (py_strip(line) != "") & F.coalesce(listed & wrapped, F.lit(False))
 
 
 def count_malformed(spark: SparkSession, path: str) -> int:
     """Lines ``scan_jsonl_tolerant`` leaves out although they are not blank."""
-    return (
-        spark.read.text(path)
-        .filter((py_strip(F.col("value")) != "") & F.try_parse_json("value").isNull())
-        .count()
-    )
+    lines = spark.read.text(path).filter(py_strip(F.col("value")) != "")
+    return lines.filter(~well_formed(F.col("value"))).count()
 
 
 def jsonl_for_training(
