@@ -121,6 +121,8 @@ def smallest(
         F.min(F.when(F.col("__upto") >= n, F.col(b))).alias("bucket"),
         F.max(F.when(F.col("__upto") < n, F.col("__upto"))).alias("below"),
     ).first()
+    if edge["bucket"] is None and position is None:
+        return df  # no more rows than wanted
     last = HISTOGRAM_BUCKETS if edge["bucket"] is None else edge["bucket"]
     ranked = placed.filter(F.col(b) <= last).withColumn(
         rank, F.row_number().over(Window.partitionBy(b).orderBy(*order))

@@ -128,20 +128,26 @@ def by_role(**responders: Responder) -> Responder:
 
 
 def attach_recordings(tasks: DataFrame, responses: DataFrame, max_turns: int) -> DataFrame:
-    """Give each task its recorded responses ``(role, turn_index, text)``.
+    """Give each task its recorded responses ``(uid, role, turn_index, text)``.
 
-    Only turns the rollout can reach are kept, so a task holds at most two per turn.
+    Only turns the rollout can reach are kept, one text per role and turn; copies of a
+    response collapse before the shuffle.
     """
-    reachable = responses.filter(F.col("turn_index") < max(int(max_turns), 1))
-    recorded = reachable.groupBy("uid").agg(
-        F.collect_list(F.struct("role", "turn_index", "text")).alias("recorded")
+    turns = range(max(int(max_turns), 1))
+    said = lambda role, t: F.max(F.when((F.col("role") == role) & (F.col("turn_index") == t), F.col("text")))
+    columns = {f"{role}_{t}": said(role, t) for role in ("generator", "verifier") for t in turns}
+    recorded = (
+        responses.filter(F.col("turn_index") < len(turns))
+        .groupBy("uid")
+        .agg(*[agg.alias(name) for name, agg in columns.items()])
+        .select("uid", F.struct(*columns).alias("recorded"))
     )
     return tasks.join(recorded, "uid", "left")
 
 
 def recorded_responder(df: DataFrame, role: str, turn: int) -> DataFrame:
-    hit = F.filter("recorded", lambda r: (r["role"] == role) & (r["turn_index"] == turn))
-    return df.withColumn("text", F.get(hit, F.lit(0))["text"])
+    """Answer from the ``recorded`` column of ``attach_recordings``."""
+    return df.withColumn("text", F.col("recorded")[f"{role}_{turn}"])
 
 
 # ---- phases ------------------------------------------------------------------------------------

@@ -20,6 +20,10 @@ from colloquy.operators.ordinals import (
 
 INDEX = "source_idx"
 HAS_QUESTION = "has_question"
+#: samples up to this size are looked up by index (see ``pushdown.inFilterThreshold`` in the session)
+LOOKUP_LIMIT = 2048
+#: tables of at most this many rows, a number known from a job's options, are broadcast
+BROADCAST_ROWS = 1 << 20
 
 
 def task_uid(split: str, index: Column) -> Column:
@@ -58,14 +62,27 @@ def shuffle_key(seed: int, index: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), index.cast("string")).cast("binary"))
 
 
+def _shuffled_first(df: DataFrame, n: int, seed: int) -> DataFrame:
+    keyed = df.withColumn("__key", shuffle_key(seed, F.col(INDEX)))
+    return smallest(keyed, hash_bucket(F.col("__key")), [F.col("__key"), F.col(INDEX)], n).drop("__key")
+
+
 def sample_random(
     df: DataFrame, n: int, seed: int = 0, shard: int = 0, shards: int = 1, question: str = "question"
 ) -> DataFrame:
     """``n`` rows of a seeded shuffle of the shard, of which those without a question are
-    dropped afterwards; so there may be fewer than ``n``."""
-    part = shard_filter(df, shard, shards).withColumn("__key", shuffle_key(seed, F.col(INDEX)))
-    taken = smallest(part, hash_bucket(F.col("__key")), [F.col("__key"), F.col(INDEX)], n)
-    return taken.drop("__key").filter(has_question(F.col(question)))
+    dropped afterwards; so there may be fewer than ``n``.
+
+    A small sample is drawn from the index column alone and its at most 2,048 indexes
+    are then looked up, so the scan of the wide columns skips all other row groups.
+    """
+    part = shard_filter(df, shard, shards)
+    if n <= LOOKUP_LIMIT:
+        drawn = [r[INDEX] for r in _shuffled_first(part.select(INDEX), n, seed).collect()]
+        taken = df.filter(F.col(INDEX).isin(drawn)) if drawn else df.limit(0)
+    else:
+        taken = _shuffled_first(part, n, seed)
+    return usable(taken, question)
 
 
 def sample_random_all(df: DataFrame, n: int, seed: int = 0, out: str = "sample_pos") -> DataFrame:
@@ -176,14 +193,16 @@ def round_batches(
         .select("pair_idx", "k", F.pmod(F.col("__first") + F.col("k"), F.lit(max(total, 1))).alias("__rank"))
     )
     numbered = ranked.filter(F.col("__task") == 1).select(INDEX, (F.col("__upto") - 1).alias("__rank"))
-    placed = slots.join(numbered, "__rank").select("pair_idx", "k", INDEX)
-    return placed.join(asked.drop("__pos"), INDEX)
+    # pairs * n rows at most: broadcast while that is few, so the tasks are not shuffled
+    small = F.broadcast if pairs * min(n, total) <= BROADCAST_ROWS else (lambda side: side)
+    placed = small(slots).join(numbered, "__rank").select("pair_idx", "k", INDEX)
+    return small(placed).join(asked.drop("__pos"), INDEX)
 
 
 def pair_tasks(rounds: DataFrame, batches: DataFrame) -> DataFrame:
     """Tasks of each round: both rounds of a pair share the pair's batch.
 
-    ``rounds`` has two rows per pair, a number set by the job, so it is broadcast.
+    ``rounds`` has two rows per pair, a number set by the job, and is broadcast.
     """
     return batches.join(F.broadcast(rounds.select("round", "role", "pair_idx")), "pair_idx")
 

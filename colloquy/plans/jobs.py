@@ -46,7 +46,7 @@ class RoundOptions:
     shards: int = 1
     max_turns: int = V.DEFAULT_MAX_TURNS
     collect_for: str = "auto"
-    storage: str = "parquet"  # "json", or "parquet_shards"
+    storage: str = "parquet"  # "json", "parquet_shards", or "append_only"
     mirror_json: bool = False
     latest_only: bool = False
     dump_transcripts: bool = False
@@ -138,8 +138,14 @@ def store_rows(rows: DataFrame, o: RoundOptions, round_idx: int, role: str, out:
         if o.mirror_json:
             store.append_json(mine.select("messages"), f"{out}/{role}_sft.jsonl")
         return
-    store.append_distinct(mine, f"{out}/{role}_sft", "seq", file_format=o.storage,
-                          position="first" if o.storage == "json" else "last")
+    if o.storage == "append_only":
+        # same set of messages as the rewriting stores, at the cost of the new rows only
+        store.append_new_only(mine, f"{out}/{role}_sft_parts", "seq", f"round={round_idx:03d}")
+    else:
+        store.append_distinct(
+            mine, f"{out}/{role}_sft", "seq", file_format=o.storage,
+            position="first" if o.storage == "json" else "last",
+        )
     if o.latest_only:
         store.write_latest(
             mine.drop("seq"), f"{out}/{role}_sft_latest", f"{role}_sft_latest", round_idx, o.truncate_tokens,

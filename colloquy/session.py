@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lets the indexes of a small sample reach the row-group filter one by one
+    "spark.sql.parquet.pushdown.inFilterThreshold": "2048",
     # call sites of single Column operations: not worth a round trip each
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -66,6 +66,16 @@ def test_shard_storage_with_mirror_and_latest(spark, setting):
     assert latest.count() > 0 and {r["round"] for r in latest.collect()} == {1}
 
 
+def test_append_only_storage_holds_the_same_messages(spark, setting):
+    kept = run(spark, setting, batch_tasks=60, rounds=2, storage="append_only")
+    whole = run(spark, setting, batch_tasks=60, rounds=2)
+    for role, rounds in (("gen", (1, 3)), ("ver", (2, 4))):
+        parts = [spark.read.parquet(f"{kept}/{role}_sft_parts/round={r:03d}") for r in rounds]
+        got = [r["msg_hash"] for p in parts for r in p.collect()]
+        want = [r["msg_hash"] for r in store.read_store(spark, f"{whole}/{role}_sft").collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_evaluation_rounds(spark, setting):
     out = run(spark, setting, batch_tasks=5, rounds=2, eval_tasks=10, eval_every=2)
     files = Files(spark, f"{out}/accuracy")
