@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import fixed_values as V
-from colloquy.functions.text import bind, boxed_last, first_present, py_strip
+from colloquy.functions.text import bind, boxed_last, first_present, py_strip, variant_kind
 
 
 def is_userish(role: Column) -> Column:
@@ -75,23 +75,19 @@ def _field(value: Column, keys) -> Column:
 
 def question_from_variant(value: Column) -> Column:
     """Question text of a string, an object, or a list of both."""
-    kind = lambda v, k: F.startswith(F.schema_of_variant(v), F.lit(k))
 
     def described(e: Column) -> Column:
+        text = F.try_variant_get(e["v"], "$", "string")
         as_object = F.struct(
-            is_userish(_field(e, V.ROLE_KEYS)).alias("asks"), _field(e, V.CONTENT_KEYS).alias("content")
-        )
-        as_text = F.struct(
-            F.lit(True).alias("asks"),
-            F.when(py_strip(F.try_variant_get(e, "$", "string")) != "", F.try_variant_get(e, "$", "string")).alias(
-                "content"
-            ),
+            is_userish(_field(e["v"], V.ROLE_KEYS)).alias("asks"), _field(e["v"], V.CONTENT_KEYS).alias("content")
         )
+        as_text = F.struct(F.lit(True).alias("asks"), F.when(py_strip(text) != "", text).alias("content"))
         empty = F.struct(F.lit(False).alias("asks"), F.lit(None).cast("string").alias("content"))
-        return F.when(kind(e, "OBJECT"), as_object).when(kind(e, "STRING"), as_text).otherwise(empty)
+        return F.when(e["kind"] == "O", as_object).when(e["kind"] == "S", as_text).otherwise(empty)
 
     def listed(items: Column) -> Column:
-        said = F.filter(F.transform(items, described), lambda d: d["content"].isNotNull())
+        kinds = F.transform(items, lambda e: F.struct(variant_kind(e).alias("kind"), e.alias("v")))
+        said = F.filter(F.transform(kinds, described), lambda d: d["content"].isNotNull())
         return bind(
             said,
             lambda s: F.coalesce(
@@ -101,16 +97,21 @@ def question_from_variant(value: Column) -> Column:
             ),
         )
 
-    single = F.coalesce(
-        F.when(is_userish(_field(value, V.ROLE_KEYS[:3])), F.coalesce(_field(value, V.CONTENT_KEYS), F.lit(""))),
-        _field(value, V.SINGLE_QUESTION_KEYS),
-        F.lit(""),
-    )
-    return (
-        F.when(kind(value, "ARRAY"), bind(F.try_variant_get(value, "$", "array<variant>"), listed))
-        .when(kind(value, "OBJECT"), single)
-        .otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("")))
-    )
+    def single(v: Column) -> Column:
+        return F.coalesce(
+            F.when(is_userish(_field(v, V.ROLE_KEYS[:3])), F.coalesce(_field(v, V.CONTENT_KEYS), F.lit(""))),
+            _field(v, V.SINGLE_QUESTION_KEYS),
+            F.lit(""),
+        )
+
+    def question(x: Column) -> Column:
+        return (
+            F.when(x["kind"] == "A", listed(F.try_variant_get(x["v"], "$", "array<variant>")))
+            .when(x["kind"] == "O", single(x["v"]))
+            .otherwise(F.coalesce(F.try_variant_get(x["v"], "$", "string"), F.lit("")))
+        )
+
+    return bind(F.struct(variant_kind(value).alias("kind"), value.alias("v")), question)
 
 
 # ---- rows with open schemas ----------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
-from colloquy.functions.text import bind
+from colloquy.functions.text import bind, variant_kind
 from colloquy.schema import MESSAGES_DDL
 
 WORD_PATTERN = r"[^ \t\n\r\f\x0B]+"
@@ -132,13 +132,19 @@ def _longest_fitting_tail(counts: Column, budget: Column) -> Column:
 
 
 def truncate_tail(
-    messages: Column, max_tokens: int | Column, counter=count_words, per_message: int = 0, per_dialogue: int = 0
+    messages: Column,
+    max_tokens: int | Column,
+    counter=count_words,
+    per_message: int = 0,
+    per_dialogue: int = 0,
+    counts: Column | None = None,
 ) -> Column:
     """Drop the oldest messages after the system head until the dialogue fits.
 
     Whole messages only; may leave the head alone, or nothing.  ``counter`` must be
     additive over messages; a chat template's constants go in ``per_message`` and
-    ``per_dialogue``.
+    ``per_dialogue``.  A tokenizer that needs Python gives ``counts``, a column of the rows with
+    the token count of each message (add it with a ``pandas_udf`` over the messages first).
     """
     limit = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
 
@@ -151,9 +157,12 @@ def truncate_tail(
             tail = bind(kept, lambda k: _last(m, k))
             return F.when(head, F.concat(F.slice(m, 1, 1), tail)).otherwise(tail)
 
-        return F.when((limit <= 0) | (F.size(m) == 0), m).otherwise(
-            bind(_token_counts(m, counter, per_message), cut)
+        given = (
+            _token_counts(m, counter, per_message)
+            if counts is None
+            else F.transform(counts, lambda n: n.cast("int") + F.lit(per_message))
         )
+        return F.when((limit <= 0) | (F.size(m) == 0), m).otherwise(bind(given, cut))
 
     return bind(messages, fit)
 
@@ -165,14 +174,20 @@ def fit_token_budget(
     join: str = " ",
     per_message: int = 0,
     per_dialogue: int = 0,
+    token_lists: Column | None = None,
 ) -> Column:
     """Fit a prompt to a budget: drop the oldest messages, and if even the last does
     not fit, keep its longest tail that does.
 
-    ``tokens`` maps a text to an array of tokens; ``join`` puts a tail back together.
+    ``tokens`` maps a text to an array of tokens; ``join`` puts a tail back together.  A
+    tokenizer that needs Python gives ``token_lists``, a column of the rows with the tokens of
+    each message as text.
     """
     limit = F.lit(budget) if isinstance(budget, int) else budget
     count = lambda text: F.size(tokens(text))
+    own_tokens = (lambda last: tokens(last["content"])) if token_lists is None else (
+        lambda last: F.try_element_at(token_lists, F.lit(-1))
+    )
 
     def fit(m: Column) -> Column:
         def cut(c: Column) -> Column:
@@ -190,7 +205,7 @@ def fit_token_budget(
                     F.coalesce(last["content"], F.lit("")) == "", last["content"]
                 ).otherwise(
                     bind(
-                        tokens(last["content"]),
+                        own_tokens(last),
                         lambda tk: F.array_join(_last(tk, F.least(F.size(tk), keep.cast("int"))), join),
                     )
                 )
@@ -208,9 +223,12 @@ def fit_token_budget(
                 )
             )
 
-        return F.when((limit <= 0) | (F.size(m) == 0), m).otherwise(
-            bind(_token_counts(m, count, per_message), cut)
+        given = (
+            _token_counts(m, count, per_message)
+            if token_lists is None
+            else F.transform(token_lists, lambda tk: F.size(tk) + F.lit(per_message))
         )
+        return F.when((limit <= 0) | (F.size(m) == 0), m).otherwise(bind(given, cut))
 
     return bind(messages, fit)
 
@@ -222,29 +240,30 @@ def _variant_text(element: Column) -> Column:
     return F.try_variant_get(element, "$", "string")
 
 
-def _kind(element: Column, kind: str) -> Column:
-    return F.startswith(F.schema_of_variant(element), F.lit(kind))
+def _described(items: Column) -> Column:
+    """List elements with their kind, looked at once."""
+    return F.transform(items, lambda e: F.struct(variant_kind(e).alias("kind"), e.alias("v")))
 
 
 def _variant_message(element: Column) -> Column:
     as_object = message(
-        F.try_variant_get(element, "$.role", "string"), F.try_variant_get(element, "$.content", "string")
+        F.try_variant_get(element["v"], "$.role", "string"), F.try_variant_get(element["v"], "$.content", "string")
     )
-    return F.when(_kind(element, "OBJECT"), as_object).otherwise(message("user", _variant_text(element)))
+    as_text = message("user", _variant_text(element["v"]))
+    return F.when(element["kind"] == "O", as_object).otherwise(as_text)
 
 
 def _variant_messages(element: Column) -> Column:
     """Messages one list element stands for."""
 
     def nested(items: Column) -> Column:
+        joined = F.array_join(F.transform(items, lambda x: _variant_text(x["v"])), " ", "None")
         return F.when(
-            F.forall(items, lambda x: _kind(x, "OBJECT")), F.transform(items, _variant_message)
-        ).otherwise(
-            messages_of(message("user", F.array_join(F.transform(items, _variant_text), " ", "None")))
-        )
+            F.forall(items, lambda x: x["kind"] == "O"), F.transform(items, _variant_message)
+        ).otherwise(messages_of(message("user", joined)))
 
     return F.when(
-        _kind(element, "ARRAY"), bind(F.try_variant_get(element, "$", "array<variant>"), nested)
+        element["kind"] == "A", bind(_described(F.try_variant_get(element["v"], "$", "array<variant>")), nested)
     ).otherwise(messages_of(_variant_message(element)))
 
 
@@ -259,10 +278,10 @@ def normalise_messages(text: Column) -> Column:
     )
 
     def unusual(v: Column) -> Column:
-        # ``[v]``: a lone value is a list of one; a variant of kind ARRAY is its own list
-        items = F.when(_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+        # a lone value is a list of one
+        items = F.when(variant_kind(v) == "A", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
         return F.when(v.isNull(), messages_of(message("user", text))).otherwise(
-            F.flatten(F.transform(items, _variant_messages))
+            F.flatten(F.transform(_described(items), _variant_messages))
         )
 
     empty = messages_of(message(F.lit(None), F.lit(None)))

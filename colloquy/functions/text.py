@@ -29,6 +29,11 @@ def first_present(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
+def variant_kind(value: Column) -> Column:
+    """First letter of a variant's type: ``A``rray, ``O``bject, ``S``tring, …"""
+    return F.left(F.schema_of_variant(value), F.lit(1))
+
+
 def py_strip(col: Column) -> Column:
     return F.btrim(col, F.lit(V.PYTHON_WHITESPACE))
 

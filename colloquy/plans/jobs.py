@@ -76,6 +76,22 @@ def sample_round_tasks(dataset: DataFrame, o: RoundOptions, pair: int) -> DataFr
     return taken.withColumn("uid", task_uid(o.split, F.col(INDEX)))
 
 
+def labelled_rollout(
+    tasks: DataFrame, student: Responder, teacher: Responder, o: RoundOptions, collect_for: str = "both",
+    protocol: Protocol = JUDGED, folder: str | None = None, grader=grade_reward,
+) -> DataFrame:
+    """Roll out and label in one go, as a workflow with an inline teacher does.
+
+    The teacher sees the prompts the students saw, so labelling after the rollout gives
+    the same rows.
+    """
+    state = rollout.run_rollout(
+        tasks, student, protocol, o.max_turns, materialise=o.materialise, folder=folder and f"{folder}/rollout"
+    )
+    steps = rollout.steps_of(state, protocol, grader)
+    return relabel(steps, teacher, collect_for, folder=folder and f"{folder}/labelled")
+
+
 def dump_dataset_head(dataset: DataFrame, o: RoundOptions, out: str) -> None:
     """The first tasks a job would take, as JSON lines."""
     if o.dataset_head > 0:
@@ -208,13 +224,10 @@ def sample_tagged_tasks(dataset: DataFrame, o: RoundOptions, seed: int) -> DataF
 
 def _tagged_rows(
     tasks: DataFrame, student: Responder, teacher: Responder, o: RoundOptions, collect_for: str,
-    protocol: Protocol, here: str, grader,
+    stop_on_fix: bool, here: str, grader,
 ) -> DataFrame:
-    state = rollout.run_rollout(
-        tasks, student, protocol, o.max_turns, materialise=o.materialise, folder=f"{here}/rollout"
-    )
-    steps = rollout.steps_of(state, protocol, grader)
-    return sft.tagged_rows(relabel(steps, teacher, collect_for, folder=f"{here}/labelled"))
+    protocol = rollout.tagged(stop_on_fix)
+    return sft.tagged_rows(labelled_rollout(tasks, student, teacher, o, collect_for, protocol, here, grader))
 
 
 def tagged_round(
@@ -226,7 +239,7 @@ def tagged_round(
     tasks = sample_tagged_tasks(dataset, o, o.seed + round_idx)
     rows = _tagged_rows(
         tasks, student, teacher, o, role if o.collect_for == "auto" else o.collect_for,
-        rollout.tagged(stop_on_fix), f"{out}/round={round_idx:03d}", grader,
+        stop_on_fix, f"{out}/round={round_idx:03d}", grader,
     )
     store_rows(rows, o, round_idx, role, out)
 
@@ -246,7 +259,7 @@ def collect_once(
     tasks = sample_tagged_tasks(dataset, o, o.seed)
     rows = _tagged_rows(
         tasks, student, teacher, o, "both" if o.collect_for == "auto" else o.collect_for,
-        rollout.tagged(stop_on_fix), f"{prefix}_work", grader,
+        stop_on_fix, f"{prefix}_work", grader,
     )
     store.write_by_role(
         rows.withColumn("seq", F.struct("uid", "turn_index")), prefix, "seq"

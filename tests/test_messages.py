@@ -105,6 +105,26 @@ def test_overheads_count_against_the_budget(ev):
     assert plain(ev([(ms,)], DDL, fit)[0]) == [ms[0], ("assistant", "d")]
 
 
+def test_tokenizers_in_python(spark):
+    """Token counts and tokens from a pandas_udf: here every character is a token."""
+    from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def lengths(ms):
+        return ms.map(lambda row: [len(m["content"] or "") for m in row])
+
+    @F.pandas_udf(ArrayType(ArrayType(StringType())))
+    def letters(ms):
+        return ms.map(lambda row: [list(m["content"] or "") for m in row])
+
+    df = spark.createDataFrame([([("system", "s"), ("user", "abc"), ("user", "de f")],)], DDL)
+    counted = df.withColumns({"n": lengths("m"), "tokens": letters("m")})
+    one = counted.select(messages.truncate_tail(c("m"), 5, counts=c("n")).alias("x")).first()["x"]
+    assert plain(one) == [("system", "s"), ("user", "de f")]
+    fit = messages.fit_token_budget(c("m"), 4, join="", token_lists=c("tokens"))
+    assert plain(counted.select(fit.alias("x")).first()["x"]) == [("system", "s"), ("user", "e f")]
+
+
 def test_token_budget(ev):
     assert ev([(1,)], "x int", messages.token_budget(4096, 1024)) == [3040]
     assert ev([(1,)], "x int", messages.token_budget(512, 400)) == [256]
