@@ -75,3 +75,15 @@ TOKEN_BUDGET_MARGIN = 32
 REWARD_THRESHOLD = 0.5
 TEACHER_STATUS = "revise"
 TEACHER_JUSTIFICATION = ""
+
+# What a missing or zero sampling parameter stands for when requests are grouped.
+SAMPLING_DEFAULTS = {
+    "temperature": 0.0,
+    "top_p": 1.0,
+    "top_k": 0,
+    "min_p": 0.0,
+    "max_tokens": 0,
+    "repetition_penalty": 1.0,
+    "presence_penalty": 0.0,
+    "frequency_penalty": 0.0,
+}

@@ -117,14 +117,18 @@ def question_from_variant(value: Column) -> Column:
 # ---- rows with open schemas ----------------------------------------------------------------
 
 
-def _text_columns(df: DataFrame, prefix: str = "") -> list[Column]:
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    if prefix:
-        nested = fields.get(prefix)
-        fields = {f.name: f.dataType for f in nested.fields} if isinstance(nested, T.StructType) else {}
-    base = F.col(prefix) if prefix else None
-    pick = lambda k: (base[k] if prefix else F.col(k)).cast("string")
-    return [pick(k) for k in V.GROUND_TRUTH_KEYS if k in fields]
+def _truth_columns(df: DataFrame) -> list[Column]:
+    return [F.col(k).cast("string") for k in V.GROUND_TRUTH_KEYS if k in df.columns]
+
+
+def _nested_truth_columns(df: DataFrame) -> list[Column]:
+    """The same keys inside a ``content`` column, a struct or a variant."""
+    kind = df.schema["content"].dataType if "content" in df.columns else None
+    if isinstance(kind, T.StructType):
+        return [F.col("content")[k].cast("string") for k in V.GROUND_TRUTH_KEYS if k in kind.names]
+    if isinstance(kind, T.VariantType):
+        return [F.try_variant_get("content", f"$.{k}", "string") for k in V.GROUND_TRUTH_KEYS]
+    return []
 
 
 def with_question_and_truth(df: DataFrame, data_source: str, accept_question: bool = True) -> DataFrame:
@@ -148,7 +152,7 @@ def with_question_and_truth(df: DataFrame, data_source: str, accept_question: bo
         question = F.coalesce(question, F.nullif(text("question"), F.lit("")), text("query"))
     none = [F.lit(None).cast("string")]
     truth = coerce_ground_truth_deep(
-        _text_columns(df) or none, messages, _text_columns(df, "content") or none
+        _truth_columns(df) or none, messages, _nested_truth_columns(df) or none
     )
     return df.withColumns(
         {"question": question, "ground_truth": truth, "data_source": F.lit(data_source)}

@@ -10,7 +10,7 @@ from colloquy.functions.grading import missing
 from colloquy.functions.messages import clean_context
 from colloquy.functions.text import py_strip
 from colloquy.operators.rollout import Responder
-from colloquy.session import new_folder
+from colloquy.session import new_folder, write_once
 
 #: which roles a collection setting labels
 LABELLED_ROLES = {
@@ -31,7 +31,8 @@ def relabel(
     """Fill in teacher targets where a wanted step has none and its prompt is usable.
 
     The teacher is a responder like the students, so rows carry their key through the
-    call and nothing is joined.  With ``materialise`` the labelled table is written once.
+    call and nothing is joined.  With ``materialise`` the labelled table is written once; one found
+    complete in ``folder`` is used as it is.
     """
     roles = LABELLED_ROLES[collect_for]
     if not roles:
@@ -54,5 +55,4 @@ def relabel(
     if not materialise:
         return labelled
     folder = folder or new_folder(steps.sparkSession, "relabel")
-    labelled.write.mode("overwrite").parquet(folder)
-    return steps.sparkSession.read.parquet(folder)
+    return write_once(labelled, folder)

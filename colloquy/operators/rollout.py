@@ -35,7 +35,7 @@ from colloquy.functions.text import (
     think_incomplete,
 )
 from colloquy.schema import STEP_COLUMNS
-from colloquy.session import complete, new_folder
+from colloquy.session import new_folder, write_once
 
 Responder = Callable[[DataFrame, str, int], DataFrame]
 
@@ -229,7 +229,6 @@ def run_rollout(
     ``materialise`` (recorded responses) the turns stay one lazy plan.
     """
     max_turns = max(int(max_turns), 1)
-    spark = tasks.sparkSession
     state = open_episodes(tasks, protocol)
     if not materialise:
         for turn in range(max_turns):
@@ -237,19 +236,13 @@ def run_rollout(
             state = verifier_phase(state, turn, max_turns, responder, protocol)
         return state
 
-    folder = folder or new_folder(spark, "rollout")
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        if not complete(spark, path):
-            df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    folder = folder or new_folder(tasks.sparkSession, "rollout")
 
     finished = []
     for turn in range(max_turns):
-        spoken = cut(generator_phase(state, turn, responder), f"turn={turn}/generator")
-        after = cut(
-            verifier_phase(spoken, turn, max_turns, responder, protocol), f"turn={turn}/verifier"
+        spoken = write_once(generator_phase(state, turn, responder), f"{folder}/turn={turn}/generator")
+        after = write_once(
+            verifier_phase(spoken, turn, max_turns, responder, protocol), f"{folder}/turn={turn}/verifier"
         )
         finished.append(after.filter("done"))
         state = after.filter("NOT done")

@@ -1,6 +1,7 @@
 """Whole jobs: one round, alternating rounds, one-shot collection, evaluation.
 
-Each job chains DataFrame operators and writes one table per stage.  What a round
+Each job chains DataFrame operators and writes one table per stage.  A job started again in
+the same folder takes finished stages as they are and goes on behind them.  What a round
 stores is decided by the round's role, whatever was labelled.
 """
 
@@ -27,6 +28,7 @@ from colloquy.operators.sampling import (
     sample_sequential,
     task_uid,
 )
+from colloquy.session import write_once
 from colloquy.sources import store
 
 ROLE_NAMES = {"gen": "generator", "ver": "verifier"}
@@ -106,13 +108,6 @@ def dump_dataset_head(dataset: DataFrame, o: RoundOptions, out: str) -> None:
         )
 
 
-def _kept(df: DataFrame, path: str, keep: bool) -> DataFrame:
-    if not keep:
-        return df
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def judged_round(
     tasks: DataFrame,
     student: Responder,
@@ -128,14 +123,14 @@ def judged_round(
     state = rollout.run_rollout(
         tasks, student, JUDGED, o.max_turns, materialise=o.materialise, folder=f"{here}/rollout"
     )
-    steps = _kept(rollout.steps_of(state, JUDGED, grader), f"{here}/steps", True)
+    steps = write_once(rollout.steps_of(state, JUDGED, grader), f"{here}/steps")
     if o.dump_transcripts:
         store.dump_json(store.transcripts(steps, tasks), f"{here}/transcripts")
     records = accuracy_records(steps.filter("role = 'generator'"), tasks, grader)
     store.write_accuracy_records(records, f"{out}/accuracy", "train", round_idx)
     collect_for = role if o.collect_for == "auto" else o.collect_for
     labelled = relabel(steps, teacher, collect_for, folder=f"{here}/labelled")
-    candidates = _kept(sft.judged_candidates(labelled, grader), f"{here}/candidates", True)
+    candidates = write_once(sft.judged_candidates(labelled, grader), f"{here}/candidates")
     kept = candidates.filter(F.col("reason") == sft.KEPT)
     store_rows(kept, o, round_idx, role, out)
     return candidates
@@ -152,7 +147,8 @@ def store_rows(rows: DataFrame, o: RoundOptions, round_idx: int, role: str, out:
             mine.drop("seq"), f"{out}/{role}_sft_shards", f"{role}_sft", round_idx, o.truncate_tokens, count_words
         )
         if o.mirror_json:
-            store.append_json(mine.select("messages"), f"{out}/{role}_sft.jsonl")
+            # one folder per round, so that a repeated round does not double its lines
+            store.dump_json(mine.select("messages"), f"{out}/{role}_sft.jsonl/round={round_idx:03d}")
         return
     if o.storage == "append_only":
         # same set of messages as the rewriting stores, at the cost of the new rows only
@@ -204,7 +200,7 @@ def alternate(
         pair = (round_idx - 1) // 2
         folder = f"{out}/tasks/pair={pair:03d}"
         if role == "gen":
-            sample_round_tasks(dataset, o, pair).write.mode("overwrite").parquet(folder)
+            write_once(sample_round_tasks(dataset, o, pair), folder)
         tasks = spark.read.parquet(folder)
         if o.dump_tasks:
             store.dump_json(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on; a cluster's own values win over these.
 DEFAULTS = {
@@ -90,3 +90,10 @@ class Files:
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished Spark write lies at ``path``."""
     return Files(spark, path).exists(f"{path}/_SUCCESS")
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back; one that is complete there already is not computed again."""
+    if not complete(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -137,5 +137,5 @@ def register(
     # a narrow flag, so that sampling need not read the questions to find the empty ones
     flagged = coerced.withColumn(HAS_QUESTION, has_question(F.col("question")))
     write_indexed(flagged, target)
-    versions.retire(keep=target)
+    versions.retire()
     return read_indexed(spark, target)

@@ -48,11 +48,11 @@ class Snapshots:
         taken = self._versions()
         return f"{self.home}/v{int(taken[-1][1:]) + 1 if taken else 0:06d}"
 
-    def retire(self, keep: str) -> None:
-        """Delete all versions but one."""
-        for name in self._versions():
-            if f"{self.home}/{name}" != keep:
-                self._files.delete(f"{self.home}/{name}")
+    def retire(self, keep: int = 1) -> None:
+        """Delete all complete versions but the newest ``keep``."""
+        whole = [n for n in self._versions() if self._files.exists(f"{self.home}/{n}/{self._marker}")]
+        for name in whole[:-keep]:
+            self._files.delete(f"{self.home}/{name}")
 
 
 def with_hash(rows: DataFrame, messages: str = "messages") -> DataFrame:
@@ -109,6 +109,7 @@ def append_distinct(
     if file_format == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.save(target)
+    versions.retire(keep=2)  # the one before stays for readers that have it open
     if dedupes and seen.get["rejected"]:
         warnings.warn(f"{seen.get['rejected']} rows without messages rejected")
     return target
@@ -150,16 +151,15 @@ def _prepared(rows: DataFrame, max_tokens: int, counter) -> DataFrame:
 def write_shard(
     rows: DataFrame, folder: str, label: str, round_idx: int, max_tokens: int = 0, counter=count_words
 ) -> None:
-    """Add one round's rows, not deduplicated, as partition ``label=/round=``; no rows, no files."""
+    """Add one round's rows, not deduplicated, as partition ``label=/round=``; no rows, no files.
+
+    Other partitions are not touched; writing a round again replaces it, so a repeated
+    round does not double its rows.
+    """
     if rows.isEmpty():
         return
-    (
-        _prepared(rows, max_tokens, counter)
-        .withColumns({"label": F.lit(label), "round": F.lit(round_idx)})
-        .write.mode("append")
-        .partitionBy("label", "round")
-        .parquet(folder)
-    )
+    prepared = _prepared(rows.drop("label", "round"), max_tokens, counter)
+    prepared.write.mode("overwrite").parquet(f"{folder}/label={label}/round={round_idx}")
 
 
 def write_latest(
@@ -175,7 +175,7 @@ def write_latest(
         .withColumns({"label": F.lit(label), "round": F.lit(round_idx)})
         .write.parquet(target)
     )
-    versions.retire(keep=target)
+    versions.retire()
     return target
 
 

@@ -71,7 +71,7 @@ def running_accuracy(spark: SparkSession, source: str, home: str, checkpoint: st
         versions = Snapshots(spark, home)
         target = versions.next()
         table.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total"))).write.parquet(target)
-        versions.retire(keep=target)
+        versions.retire()
 
     (
         counted.writeStream.outputMode("complete")

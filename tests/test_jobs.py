@@ -76,6 +76,17 @@ def test_append_only_storage_holds_the_same_messages(spark, setting):
         assert sorted(got) == sorted(want)
 
 
+def test_a_job_can_be_started_again(spark, setting):
+    dataset, teacher = setting
+    out = new_folder(spark, "job")
+    o = jobs.RoundOptions(max_turns=2, batch_tasks=40, storage="parquet_shards", mirror_json=True)
+    sizes = []
+    for answers in (rollout.recorded_responder, None):  # the second time nobody is asked
+        jobs.alternate(dataset, answers or (lambda df, r, t: df.withColumn("text", F.lit("other"))), teacher, o, out)
+        sizes.append((spark.read.parquet(f"{out}/gen_sft_shards").count(), spark.read.json(f"{out}/gen_sft.jsonl").count()))
+    assert sizes[0] == sizes[1] and sizes[0][0] == sizes[0][1] > 0
+
+
 def test_evaluation_rounds(spark, setting):
     out = run(spark, setting, batch_tasks=5, rounds=2, eval_tasks=10, eval_every=2)
     files = Files(spark, f"{out}/accuracy")

@@ -207,3 +207,5 @@ def test_rows_with_open_schemas(spark):
     )
     got = [r["ground_truth"] for r in coerce.with_question_and_truth(deep, "d").collect()]
     assert got == ["4", "just text", "g", "raw \\boxed{1}"]
+    variant = spark.sql("""SELECT parse_json('{"answer":"","gt":7}') AS content""")
+    assert coerce.with_question_and_truth(variant, "d").first()["ground_truth"] == "7"

@@ -102,8 +102,12 @@ def as_tuples(df):
     return out
 
 
-def test_rollout_equals_the_simulation(spark, tasks):
-    state = rollout.run_rollout(tasks, students(), rollout.JUDGED, TURNS)
+@pytest.fixture(scope="module")
+def state(tasks):
+    return rollout.run_rollout(tasks, students(), rollout.JUDGED, TURNS)
+
+
+def test_rollout_equals_the_simulation(tasks, state):
     got = as_tuples(rollout.steps_of(state))
     want = {}
     for t in tasks.collect():
@@ -115,8 +119,7 @@ def test_rollout_equals_the_simulation(spark, tasks):
     assert episodes == {k[0]: v[-1] for k, v in want.items()}
 
 
-def test_replay_equals_the_rollout(spark, tasks):
-    state = rollout.run_rollout(tasks, students(), rollout.JUDGED, TURNS)
+def test_replay_equals_the_rollout(tasks, state):
     steps = rollout.steps_of(state)
     recorded = steps.select("uid", "role", "turn_index", F.col("student_response_raw").alias("text"))
     again = rollout.run_rollout(
@@ -146,13 +149,13 @@ def test_turn_limit_of_zero_means_one(spark, tasks):
     assert {r["turn_index"] for r in rollout.steps_of(state).collect()} == {0}
 
 
-def test_early_stop_keeps_nothing_after_correct(spark, tasks):
-    steps = rollout.steps_of(rollout.run_rollout(tasks, students(), rollout.JUDGED, TURNS))
-    for r in steps.filter("role = 'verifier'").collect():
-        later = steps.filter((F.col("uid") == r["uid"]) & (F.col("turn_index") > r["turn_index"]))
+def test_early_stop_keeps_nothing_after_correct(state):
+    last = {}
+    for r in rollout.steps_of(state).filter("role = 'verifier'").collect():
+        last[r["uid"]] = max(last.get(r["uid"], 0), r["turn_index"])
+    for r in rollout.steps_of(state).filter("role = 'verifier'").collect():
         if r["student_response_raw"].endswith("correct."):
-            assert later.isEmpty()
-            break
+            assert r["turn_index"] == last[r["uid"]]
 
 
 def test_tagged_rollout(spark, tasks):
