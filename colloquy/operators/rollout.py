@@ -37,6 +37,8 @@ from colloquy.functions.text import (
 from colloquy.schema import STEP_COLUMNS
 from colloquy.session import new_folder, write_once
 
+ROLES = ("generator", "verifier")
+
 Responder = Callable[[DataFrame, str, int], DataFrame]
 
 
@@ -127,27 +129,47 @@ def by_role(**responders: Responder) -> Responder:
     return lambda df, role, turn: responders[role](df, role, turn)
 
 
-def attach_recordings(tasks: DataFrame, responses: DataFrame, max_turns: int) -> DataFrame:
-    """Give each task its recorded responses ``(uid, role, turn_index, text)``.
+def by_episode(responses: DataFrame, max_turns: int, out: str) -> DataFrame:
+    """Responses ``(uid, role, turn_index, text)`` as one row per episode.
 
-    Only turns the rollout can reach are kept, one text per role and turn; copies of a
-    response collapse before the shuffle.
+    ``out`` holds, per role, an array of texts by turn.  Only turns the rollout can reach are
+    kept, one text per role and turn; copies of a response collapse before the shuffle.
     """
     turns = range(max(int(max_turns), 1))
     said = lambda role, t: F.max(F.when((F.col("role") == role) & (F.col("turn_index") == t), F.col("text")))
-    columns = {f"{role}_{t}": said(role, t) for role in ("generator", "verifier") for t in turns}
-    recorded = (
+    columns = {f"{role}_{t}": said(role, t) for role in ROLES for t in turns}
+    whole = (
         responses.filter(F.col("turn_index") < len(turns))
         .groupBy("uid")
         .agg(*[agg.alias(name) for name, agg in columns.items()])
-        .select("uid", F.struct(*columns).alias("recorded"))
     )
-    return tasks.join(recorded, "uid", "left")
+    per_role = [F.array(*[F.col(f"{role}_{t}") for t in turns]).alias(role) for role in ROLES]
+    return whole.select("uid", F.struct(*per_role).alias(out))
+
+
+def attach_recordings(tasks: DataFrame, responses: DataFrame, max_turns: int) -> DataFrame:
+    """Give each task its recorded responses."""
+    return tasks.join(by_episode(responses, max_turns, "recorded"), "uid", "left")
 
 
 def recorded_responder(df: DataFrame, role: str, turn: int) -> DataFrame:
     """Answer from the ``recorded`` column of ``attach_recordings``."""
-    return df.withColumn("text", F.col("recorded")[f"{role}_{turn}"])
+    return df.withColumn("text", F.get(F.col("recorded")[role], F.lit(turn)))
+
+
+def recorded_teacher(labels: DataFrame, max_turns: int) -> Responder:
+    """A teacher that answers from a table ``(uid, role, turn_index, text)``.
+
+    Joined by episode: the steps of a rollout lie together by ``uid`` already, so their
+    long contexts are not shuffled again.
+    """
+
+    def respond(df: DataFrame, role: str, turn: int) -> DataFrame:
+        joined = df.join(by_episode(labels, max_turns, "__labels"), "uid", "left")
+        mine = F.when(F.col("role") == "generator", F.col("__labels.generator")).otherwise(F.col("__labels.verifier"))
+        return joined.withColumn("text", F.get(mine, F.col("turn_index").cast("int"))).drop("__labels")
+
+    return respond
 
 
 # ---- phases ------------------------------------------------------------------------------------

@@ -135,7 +135,8 @@ def replayed_steps(spark, d):
 
 
 def labelled_steps(spark, d):
-    return joins.apply_labels(replayed_steps(spark, d), recorded_targets(v_first_steps(spark, d)))
+    teacher = rollout.recorded_teacher(recorded_targets(v_first_steps(spark, d)), TURNS)
+    return relabel_steps(replayed_steps(spark, d), teacher, materialise=False)
 
 
 def _step_columns(steps):
@@ -297,9 +298,7 @@ def relabel(spark, d):
 @query("relabel_replay", with_views(["v_steps", "v_tasks"], """
 SELECT uid, role, turn_index, target AS teacher_target, 'revise' AS teacher_status FROM steps""", _REPLAY))
 def relabel_replay(spark, d):
-    teacher = jobs.recorded_labels(recorded_targets(v_first_steps(spark, d)))
-    labelled = relabel_steps(replayed_steps(spark, d), teacher, materialise=False)
-    return labelled.select("uid", "role", "turn_index", "teacher_target", "teacher_status")
+    return labelled_steps(spark, d).select("uid", "role", "turn_index", "teacher_target", "teacher_status")
 
 
 @query("relabel_counts", with_views(["v_steps", "v_tasks"], """
@@ -436,8 +435,8 @@ def sft_build_pag(spark, d):
 SELECT uid, role, turn_index, {Q.text_json('messages')} AS messages FROM ({_TAGGED_ROWS}) r""", _TAGGED_FULL))
 def sft_build_dagger(spark, d):
     state, protocol = _tagged_state(spark, d, stop_on_fix=False)
-    steps = joins.apply_labels(rollout.steps_of(state, protocol), recorded_targets(v_first_tagged(spark, d)))
-    rows = sft.tagged_rows(steps)
+    teacher = rollout.recorded_teacher(recorded_targets(v_first_tagged(spark, d)), TURNS)
+    rows = sft.tagged_rows(relabel_steps(rollout.steps_of(state, protocol), teacher, materialise=False))
     return rows.select("uid", "role", "turn_index", as_json(c("messages")).alias("messages"))
 
 
@@ -482,7 +481,7 @@ def dagger_round(spark, d):
     options = jobs.RoundOptions(
         batch_tasks=EVERYTHING, rounds=1, max_turns=TURNS, dump_transcripts=True, materialise=False
     )
-    teacher = jobs.recorded_labels(recorded_targets(v_first_steps(spark, d)))
+    teacher = rollout.recorded_teacher(recorded_targets(v_first_steps(spark, d)), TURNS)
     jobs.alternate(recorded_dataset(spark, d), rollout.recorded_responder, teacher, options, out)
     stored = [store.read_store(spark, f"{out}/{role}_sft") for role in ("gen", "ver")]
     whole = stored[0].unionByName(stored[1])
@@ -513,7 +512,7 @@ FROM hashed GROUP BY role, msg_hash"""
 def collect_once(spark, d):
     prefix = new_folder(spark, "collect")
     options = jobs.RoundOptions(batch_tasks=EVERYTHING, max_turns=TURNS, materialise=False)
-    teacher = jobs.recorded_labels(_numbered_targets(spark, d))
+    teacher = rollout.recorded_teacher(_numbered_targets(spark, d), TURNS)
     jobs.collect_once(recorded_dataset(spark, d, v_first_tagged, dense=True), rollout.recorded_responder, teacher, options, prefix)
     stored = [store.read_store(spark, f"{prefix}_{role}.parquet") for role in ("gen", "ver")]
     return stored[0].unionByName(stored[1]).select("role", "msg_hash", "uid", "turn_index")
@@ -525,7 +524,7 @@ def tagged_rounds(spark, d):
     """A generator and a verifier round of the tagged protocol, each on the whole dataset."""
     out = new_folder(spark, "tagged")
     options = jobs.RoundOptions(batch_tasks=EVERYTHING, rounds=1, max_turns=TURNS, materialise=False)
-    teacher = jobs.recorded_labels(_numbered_targets(spark, d))
+    teacher = rollout.recorded_teacher(_numbered_targets(spark, d), TURNS)
     jobs.alternate_tagged(recorded_dataset(spark, d, v_first_tagged, dense=True), rollout.recorded_responder, teacher, options, out)
     stored = [store.read_store(spark, f"{out}/{role}_sft") for role in ("gen", "ver")]
     whole = stored[0].unionByName(stored[1])

@@ -16,7 +16,6 @@ from colloquy import fixed_values as V
 from colloquy.functions.grading import grade_reward
 from colloquy.functions.messages import count_words
 from colloquy.operators import rollout, sft
-from colloquy.operators.joins import join_responses
 from colloquy.operators.metrics import accuracy, accuracy_records
 from colloquy.operators.relabel import relabel
 from colloquy.operators.rollout import JUDGED, Protocol, Responder
@@ -61,11 +60,6 @@ class RoundOptions:
     materialise: bool = True
 
 
-def recorded_labels(labels: DataFrame) -> Responder:
-    """A teacher that answers from a table ``(uid, role, turn_index, text)``."""
-    return lambda df, role, turn: join_responses(df, labels)
-
-
 def sample_round_tasks(dataset: DataFrame, o: RoundOptions, pair: int) -> DataFrame:
     """Tasks of a pair of rounds: ``uid, question, ground_truth`` plus carried columns."""
     if o.sample_mode == "sequential":

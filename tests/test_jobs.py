@@ -32,7 +32,7 @@ def test_figures(spark):
 @pytest.fixture(scope="module")
 def setting(spark):
     dataset = E.recorded_dataset(spark, D).cache()
-    teacher = jobs.recorded_labels(E.recorded_targets(v_first_steps(spark, D)).cache())
+    teacher = rollout.recorded_teacher(E.recorded_targets(v_first_steps(spark, D)).cache(), 2)
     return dataset, teacher
 
 
