@@ -1,8 +1,9 @@
 """Ranks and running totals that do not put one key into one task.
 
 A plain ``row_number() over (partition by key order by x)`` sorts all rows of a key in
-a single task, and without a key it sorts the whole table there.  Here the integer
-order column is cut into blocks of a fixed width.  Rows are ranked inside their
+a single task, and without a key it sorts the whole table there.  That is fine while the
+range of the order column bounds a key's rows.  Beyond that, the integer order column is
+cut into blocks of a fixed width.  Rows are ranked inside their
 block (a window over ``(key, block)``, so a hot key spreads over many tasks), block
 totals are added up on their own (one row per block, pre-aggregated before the
 shuffle), and the two are joined.  Results equal those of the plain window.
@@ -38,6 +39,21 @@ def _plain_keys(df: DataFrame, keys: list[str], level: int) -> dict[str, Column]
     return made
 
 
+def _levels_for(df: DataFrame, order: str, width: int) -> int:
+    """How often to cut into blocks, from the range of the order column (one small job).
+
+    None while a key cannot hold more than ``width`` rows; else as often as it takes to leave
+    at most ``width`` blocks per key, however sparse the column.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    span = 0 if low is None else int(high) - int(low) + 1
+    levels = 0
+    while span > width:
+        span = span // width + 1
+        levels += 1
+    return levels
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
@@ -50,11 +66,16 @@ def running_total(
     """Add ``out``: the sum of ``value`` over the rows of the key up to and including this one.
 
     ``order[0]`` must be an integer column; the remaining columns break ties, and together
-    with ``keys`` they must be unique.  Block totals are themselves added up in blocks
-    ``levels`` - 1 times before a plain window takes over.
+    with ``keys`` they must be unique.  Block totals are themselves added up the same way,
+    ``levels`` deep; a plain window serves where its groups are bounded by ``width``.
     """
     width = width or BLOCK_WIDTH
-    levels = levels if levels is not None else (1 if keys else 2)
+    if levels is None:
+        levels = _levels_for(df, order[0], width)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    if levels == 0:
+        plain_window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*so_far)
+        return df.withColumn(out, F.sum(value.cast("bigint")).over(plain_window))
     block, before, own = f"__block{levels}", f"__before{levels}", f"__value{levels}"
     plain = _plain_keys(df, keys, levels)
     placed = df.withColumns(
@@ -62,18 +83,10 @@ def running_total(
     )
     by, whole = list(plain), [*plain, block]
     totals = placed.groupBy(*whole).agg(F.sum(own).alias(own))
-    if levels > 1:
-        summed = running_total(totals, by, [block], F.col(own), before, width, levels - 1)
-    else:
-        up_to_here = Window.partitionBy(*by).orderBy(block).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        summed = totals.withColumn(before, F.sum(own).over(up_to_here))
+    summed = running_total(totals, by, [block], F.col(own), before, width, levels - 1)
     # the first block of a key needs no offset, so short keys never reach the join
     offsets = summed.withColumn(before, F.col(before) - F.col(own)).filter(F.col(before) != 0)
-    inside = Window.partitionBy(*whole).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    inside = Window.partitionBy(*whole).orderBy(*order).rowsBetween(*so_far)
     local = placed.withColumn(out, F.sum(own).over(inside)).drop(own)
     return (
         local.join(offsets.drop(own), whole, "left")

@@ -19,7 +19,7 @@ def rows(spark):
     return df.cache()
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
+@pytest.mark.parametrize("levels", [0, 1, 2, 3])
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_running_total_equals_the_plain_window(rows, keys, levels):
     w = Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
@@ -39,8 +39,8 @@ def test_ranks_start_at_zero(rows):
 def test_rows_are_shuffled_once(spark, rows):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = ordinals.rank_rows(rows, ["k"], ["o"], "r")._jdf.queryExecution().sparkPlan().toString()
-        executed = ordinals.rank_rows(rows, ["k"], ["o"], "r")._jdf.queryExecution().executedPlan().toString()
+        plan = ordinals.rank_rows(rows, ["k"], ["o"], "r", width=64)._jdf.queryExecution().sparkPlan().toString()
+        executed = ordinals.rank_rows(rows, ["k"], ["o"], "r", width=64)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan
@@ -48,6 +48,18 @@ def test_rows_are_shuffled_once(spark, rows):
     assert left.count("Exchange") == 1
 
 
+def test_sparse_orders_get_more_levels(spark, rows):
+    assert ordinals._levels_for(rows, "o", 1 << 16) == 0
+    assert ordinals._levels_for(rows, "o", 64) == 1
+    sparse = rows.select("k", (F.col("o") * 1_000_003_000_007).alias("o"))
+    assert ordinals._levels_for(sparse, "o", 1 << 16) == 3
+    assert ordinals._levels_for(rows.filter("false"), "o", 64) == 0
+    w = Window.partitionBy("k").orderBy("o")
+    want = sparse.withColumn("r", F.row_number().over(w) - 1)
+    got = ordinals.rank_rows(sparse, ["k"], ["o"], "r")
+    assert sorted(map(tuple, got.select("o", "r").collect())) == sorted(map(tuple, want.select("o", "r").collect()))
+
+
 @pytest.mark.parametrize("n", [0, 1, 37, 1000, 2999, 5000])
 def test_smallest(rows, n):
     keyed = rows.withColumn("h", F.md5(F.col("o").cast("string").cast("binary")))
