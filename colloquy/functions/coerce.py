@@ -149,7 +149,7 @@ def with_question_and_truth(df: DataFrame, data_source: str, accept_question: bo
     messages = F.col("messages") if is_chat else no_messages()
     question = coerce_question(text("problem"), messages)
     if accept_question:
-        question = F.coalesce(question, F.nullif(text("question"), F.lit("")), text("query"))
+        question = F.coalesce(question, question_or_query(text("question"), text("query")))
     none = [F.lit(None).cast("string")]
     truth = coerce_ground_truth_deep(
         _truth_columns(df) or none, messages, _nested_truth_columns(df) or none

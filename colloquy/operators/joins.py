@@ -56,5 +56,8 @@ def apply_labels(steps: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_task(steps: DataFrame, tasks: DataFrame, columns=("question", "ground_truth")) -> DataFrame:
-    """Each step with its task's columns; tasks are unique per uid."""
+    """Each step with its task's columns; tasks are unique per uid.
+
+    Tasks have one row per key, so AQE can split the steps of a hot one.
+    """
     return steps.drop(*columns).join(tasks.select("uid", *columns), "uid", "left")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
 from colloquy.functions.grading import grade_reward, is_rewarded
 from colloquy.functions.text import boxed_last, final_verdict, safe_ratio
+from colloquy.operators.joins import with_task
 
 
 def last_step(steps: DataFrame, key: str = "uid", order: str = "turn_index") -> DataFrame:
@@ -25,7 +26,7 @@ def accuracy_records(generator_steps: DataFrame, tasks: DataFrame, grader=grade_
     final = last_step(generator_steps.select("uid", "turn_index", "student_response"))
     said = F.coalesce(F.col("student_response"), F.lit(""))
     graded = (
-        final.join(tasks.select("uid", "question", "ground_truth"), "uid", "left")
+        with_task(final, tasks)
         .withColumn("generator_message", said)
         .withColumn("reward", grader(F.col("generator_message"), F.col("ground_truth")))
     )
@@ -77,8 +78,6 @@ def early_stop(steps: DataFrame, max_turns: int, verdict: str = "verdict", key:
 
     Steps beyond ``max_turns`` go first, so a group holds at most that many rows per role.
     """
-    from pyspark.sql import Window
-
     limit = max(int(max_turns), 1)
     stop = F.min(F.when(F.col(verdict) == V.VERDICT_CORRECT, F.col("turn_index"))).over(Window.partitionBy(key))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
@@ -48,25 +48,36 @@ def quality_reason(grader=grade_reward, context: str | None = "context"):
     return reason.otherwise(KEPT)
 
 
-def judged_candidates(steps: DataFrame, grader=grade_reward) -> DataFrame:
-    """All steps with the reason and, where kept, the training messages."""
+def _reasoned(steps: DataFrame, grader) -> DataFrame:
     context = drop_trailing_assistant(clean_context(F.col("chat_completions")))
+    return steps.withColumn("context", context).withColumn("reason", quality_reason(grader))
+
+
+def _judged_messages() -> Column:
+    """Training messages of a step that is kept."""
     rebuilt = messages_of(
         message("system", F.lit(V.JUDGED_VERIFIER_SYSTEM)),
         message("user", prompts.verify_prompt(F.col("question"), F.col("generator_message"))),
     )
-    reasoned = steps.withColumn("context", context).withColumn("reason", quality_reason(grader))
     generator = repair_generator_context(F.col("context"), F.col("question"))
     verifier = F.when(F.size("context") == 0, rebuilt).otherwise(F.col("context"))
     chosen = F.when(F.col("role") == "generator", generator).otherwise(verifier)
-    return reasoned.withColumn(
-        "messages", F.when(F.col("reason") == KEPT, with_target(chosen, F.col("teacher_target")))
-    ).drop("context")
+    return with_target(chosen, F.col("teacher_target"))
+
+
+def judged_candidates(steps: DataFrame, grader=grade_reward) -> DataFrame:
+    """All steps with the reason and, where kept, the training messages."""
+    kept = F.when(F.col("reason") == KEPT, _judged_messages())
+    return _reasoned(steps, grader).withColumn("messages", kept).drop("context")
 
 
 def judged_rows(steps: DataFrame, grader=grade_reward) -> DataFrame:
-    """Training rows of the judged protocol with their lineage."""
-    return _rows(judged_candidates(steps, grader).filter(F.col("reason") == KEPT))
+    """Training rows of the judged protocol with their lineage.
+
+    The reason is needed by the filter only, so answers are graded once.
+    """
+    kept = _reasoned(steps, grader).filter(F.col("reason") == KEPT)
+    return _rows(kept.withColumn("messages", _judged_messages()))
 
 
 def tagged_rows(steps: DataFrame) -> DataFrame:
