@@ -2,7 +2,9 @@
 
 from colloquy.llm import (  # noqa: F401
     decontamination,
+    topk,
     url_rules,
+    warc,
 )
 from colloquy.llm.registry import ORACLE, QUERIES
 
