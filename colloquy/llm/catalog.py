@@ -2,6 +2,8 @@
 
 from colloquy.llm import (  # noqa: F401
     decontamination,
+    pii,
+    quality,
     topk,
     url_rules,
     warc,
