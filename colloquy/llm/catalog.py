@@ -2,6 +2,7 @@
 
 from colloquy.llm import (  # noqa: F401
     decontamination,
+    extraction,
     pii,
     quality,
     topk,
