@@ -5,6 +5,7 @@ from colloquy.llm import (  # noqa: F401
     extraction,
     pii,
     quality,
+    segmentation,
     topk,
     url_rules,
     warc,
