@@ -3,6 +3,7 @@
 from colloquy.llm import (  # noqa: F401
     decontamination,
     extraction,
+    neardup,
     pii,
     quality,
     segmentation,
