@@ -6,6 +6,7 @@ from colloquy.llm import (  # noqa: F401
     neardup,
     pii,
     quality,
+    recompression,
     segmentation,
     topk,
     url_rules,
