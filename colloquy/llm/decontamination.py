@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, table
+from colloquy.llm.common import LOWER, UPPER, ascii_lower, table
 from colloquy.llm.registry import query
 
 #: Runs of these are words.
@@ -51,11 +51,20 @@ def scan(docs: DataFrame, text: str, windows: DataFrame, max_set: int = MAX_SET)
     """
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most n
     known = windows.select("hash", "gram").distinct().limit(max_set + 1).collect()
-    cut = docs.select(F.struct(*docs.columns).alias("row"), words_of(F.col(text)).alias("w"))
+    cut = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("__text"))
     if len(known) > max_set:
-        return _joined(cut, windows, sizes)
+        return _joined(cut.select("row", words_of(F.col("__text")).alias("w")), windows, sizes)
     found = [_hashed(s, hashes(known), grams(known)) for s in sizes if known]
-    return cut.select("row", _count().alias("n_words"), _sorted(found).alias("found"))
+    seen = cut.select("row", _bound(found).alias("seen"))
+    return seen.select("row", F.col("seen.n_words").alias("n_words"), F.col("seen.found").alias("found"))
+
+
+def _bound(parts: list[str]) -> Column:
+    """Words and hits in one expression that cuts the text once, wherever the optimizer puts it."""
+    lower = f"if(octet_length(__text) = char_length(__text), lower(__text), translate(__text, '{UPPER}', '{LOWER}'))"
+    found = f"array_sort(concat(cast(array() as {_FOUND}){''.join(', ' + p for p in parts)}))"
+    seen = f"named_struct('n_words', {_COUNT}, 'found', {found})"
+    return F.expr(f"transform(array(regexp_extract_all({lower}, r'{WORD}', 0)), w -> {seen})[0]")
 
 
 def hashes(known: list) -> str:
@@ -66,15 +75,10 @@ def grams(known: list) -> str:
     return ",".join({f"'{r['gram']}'" for r in known})  # words hold no quote and no backslash
 
 
-def _count() -> Column:
-    return F.coalesce(F.size("w"), F.lit(0)).cast("long")
-
-
-def _sorted(parts: list[Column]) -> Column:
-    return F.array_sort(F.concat(F.array().cast(_FOUND), *parts))
+_COUNT = "cast(greatest(coalesce(size(w), 0), 0) as bigint)"
 
 
-def _hashed(size: int, hash_set: str | None, gram_set: str | None) -> Column:
+def _hashed(size: int, hash_set: str | None, gram_set: str | None) -> str:
     """Windows of one size: all of them, or those in the set, verified by their words."""
     places = f"transform(sequence(0, size(w) - {size}), i -> (i as at, xxhash64(slice(w, i + 1, {size})) as h))"
     if hash_set:
@@ -82,17 +86,17 @@ def _hashed(size: int, hash_set: str | None, gram_set: str | None) -> Column:
     full = f"transform({places}, x -> (x.at as at, {size} as size, array_join(slice(w, x.at + 1, {size}), ' ') as gram))"
     if gram_set:
         full = f"filter({full}, x -> x.gram in ({gram_set}))"
-    return F.expr(f"case when size(w) >= {size} then {full} else array() end").cast(_FOUND)
+    return f"cast(case when size(w) >= {size} then {full} else array() end as {_FOUND})"
 
 
 def _joined(cut: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     tagged = cut.withColumn("tag", F.monotonically_increasing_id())
-    flat = tagged.select("tag", F.explode(F.concat(*[_hashed(s, None, None) for s in sizes])).alias("f"))
+    flat = tagged.select("tag", F.explode(F.concat(*[F.expr(_hashed(s, None, None)) for s in sizes])).alias("f"))
     known = windows.select("gram", "size").distinct()
     met = flat.join(known, (F.col("f.gram") == known["gram"]) & (F.col("f.size") == known["size"]), "left_semi")
     found = met.groupBy("tag").agg(F.collect_list("f").alias("found"))  # at most the windows of one text
-    back = tagged.select("tag", "row", _count().alias("n_words")).join(found, "tag", "left")
-    return back.select("row", "n_words", _sorted([F.coalesce("found", F.array().cast(_FOUND))]).alias("found"))
+    back = tagged.select("tag", "row", F.expr(_COUNT).alias("n_words")).join(found, "tag", "left")
+    return back.select("row", "n_words", F.array_sort(F.coalesce("found", F.array().cast(_FOUND))).alias("found"))
 
 
 def hit_words(found: Column) -> Column:

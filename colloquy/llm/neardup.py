@@ -64,6 +64,7 @@ def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     least = np.empty((M, len(full)), np.uint64)
     # in pieces that stay in the processor's cache
     groups = np.unique(np.searchsorted(bounds[full], np.arange(0, bounds[-1], 1 << 15)))
+    groups = groups[groups < len(full)]
     for a, b in zip(groups, np.append(groups[1:], len(full))):
         lo, hi = bounds[full[a]], bounds[full[b - 1] + 1]
         some, cuts = hashes[lo:hi], bounds[full[a:b]] - lo
