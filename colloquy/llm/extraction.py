@@ -105,7 +105,8 @@ def tokens(page: str) -> list[tuple[str, str | None, bool]]:
         if not closing:
             own = name in SKIPPED and not (name == "header" and inside)
             if (own or (name not in CONTENT and name not in VOID and name not in ("html", "body") and hinted(m[2]))):
-                out.append(("#", None, inside > 0))
+                if not _after_skipped(out):
+                    out.append(("#", None, inside > 0))
                 if name in RAW:
                     stop = for_raw.get(name) or for_raw.setdefault(name, re.compile(rf"</{name}(?=[\s/>])", re.I))
                     found = stop.search(page, at)
@@ -126,6 +127,12 @@ def tokens(page: str) -> list[tuple[str, str | None, bool]]:
                 block = "flow" if closing else name if name in KNOWN else "other"
 
 
+def _after_skipped(out: list[tuple[str, str | None, bool]]) -> bool:
+    """Whether nothing but white space has come since a skipped element: neighbours count as one."""
+    last = -2 if len(out) > 1 and out[-1][1] is not None and not out[-1][1].strip() else -1
+    return bool(out) and out[last][0] == "#"
+
+
 def counted(page: str) -> dict[str, list[int]]:
     """Of a labelled page: (in content, outside) by feature; words count one by one."""
     out: dict[str, list[int]] = defaultdict(lambda: [0, 0])

@@ -322,8 +322,10 @@ def _sampled(texts: list[str], keys: np.ndarray, k: int, lattice: Lattice) -> li
     split = [_WORD.findall(" " + t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    code, distinct = pd.factorize(np.array([w for s in split for w in s], dtype=object))
-    del split
+    flat = [w for s in split for w in s]
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    code = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
+    del split, flat
     words = Words(list(distinct), lattice)
     inner = np.arange(first[-1]) - np.repeat(first[:-1], sizes)
     lane = mixed(np.repeat(keys, sizes) ^ mixed(inner.astype(np.uint64)))  # a stream of its own for each word of a text
