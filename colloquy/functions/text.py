@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
 
-# Innermost braces three deep, written out; possessive, so long texts cannot backtrack.
-_BRACES_3 = r"\{[^{}]*+\}"
-_BRACES_2 = rf"\{{(?:[^{{}}]++|{_BRACES_3})*+\}}"
-BOXED_BALANCED_PATTERN = rf"\\boxed\{{((?:[^{{}}]++|{_BRACES_2})*+)\}}"
+BOX = "\\boxed{"
 
 
 def bind(value: Column, body) -> Column:
@@ -68,10 +65,32 @@ def boxed_first(text: Column) -> Column:
 
 
 def boxed_last(text: Column) -> Column:
-    """Content of the last box with balanced braces; NULL when none, or when it is empty."""
-    return blank_to_null(
-        F.try_element_at(F.regexp_extract_all(text, F.lit(BOXED_BALANCED_PATTERN), F.lit(1)), F.lit(-1))
+    """Content of the last box whose braces balance, however deep; NULL when none, or when it is empty.
+
+    Boxes are tried from the last one back, so a text whose last box is whole reads only its tail.
+    """
+    boxes = F.size(F.split(text, re.escape(BOX))) - 1
+    tail = lambda i: F.call_function("substring_index", text, F.lit(BOX), (-i).cast("int"))
+    tried = F.aggregate(
+        F.sequence(F.lit(1), boxes),
+        F.lit(None).cast("string"),
+        lambda found, i: F.coalesce(found, _up_to_closing_brace(tail(i))),
     )
+    return blank_to_null(F.when(boxes > 0, tried))
+
+
+def _up_to_closing_brace(text: Column) -> Column:
+    """What comes before the brace that closes one opened before ``text``; NULL when none does."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[{}]|[^{}]++"), F.lit(0))
+
+    def read(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        further = F.struct(depth.alias("depth"), (state["size"] + F.when(depth > 0, F.length(piece)).otherwise(0)).alias("size"))
+        return F.when(state["depth"] > 0, further).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+    inside = lambda state: F.when(state["depth"] == 0, state["size"])
+    return bind(F.aggregate(pieces, start, read, inside), lambda size: F.substring(text, F.lit(1), size))
 
 
 def extract_tag(text: Column, tag: str) -> Column:

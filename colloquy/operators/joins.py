@@ -19,9 +19,20 @@ def merge_replicas(*replicas: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), replicas)
 
 
-def join_responses(requests: DataFrame, responses: DataFrame, keys=STEP_KEY, text: str = "text") -> DataFrame:
-    """Responses onto requests; a lost one becomes the empty string."""
-    joined = requests.join(responses.select(*keys, text), list(keys), "left")
+def one_per_key(rows: DataFrame, keys, text: str, arrival: str | None = None) -> DataFrame:
+    """``keys`` and ``text``, once per key: the last arrival's, or without an arrival the largest text.
+
+    A NULL text gives way to any other. Copies collapse within each task, before the shuffle.
+    """
+    order = F.struct(F.col(text).isNotNull(), *([F.col(arrival)] if arrival else []), F.col(text))
+    return rows.groupBy(*keys).agg(F.max_by(text, order).alias(text))
+
+
+def join_responses(
+    requests: DataFrame, responses: DataFrame, keys=STEP_KEY, text: str = "text", arrival: str | None = None
+) -> DataFrame:
+    """Responses onto requests; a lost one becomes the empty string, a repeated one counts once."""
+    joined = requests.join(one_per_key(responses, keys, text, arrival), list(keys), "left")
     return joined.withColumn(text, py_strip(F.coalesce(F.col(text), F.lit(""))))
 
 
@@ -39,9 +50,9 @@ def pending_requests(requests: DataFrame, labels: DataFrame) -> DataFrame:
     return requests.join(labels.select(*STEP_KEY), list(STEP_KEY), "left_anti")
 
 
-def apply_labels(steps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Teacher labels onto steps; a target already there stays."""
-    fresh = labels.select(*STEP_KEY, F.coalesce(py_strip(F.col("text")), F.lit("")).alias("__label"))
+def apply_labels(steps: DataFrame, labels: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Teacher labels onto steps; a target already there stays, a repeated label counts once."""
+    fresh = one_per_key(labels, STEP_KEY, "text", arrival).select(*STEP_KEY, F.coalesce(py_strip(F.col("text")), F.lit("")).alias("__label"))
     takes = missing(F.col("teacher_target")) & F.col("__label").isNotNull()
     joined = steps.join(fresh, list(STEP_KEY), "left")
     return joined.withColumns(

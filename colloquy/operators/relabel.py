@@ -55,4 +55,4 @@ def relabel(
     if not materialise:
         return labelled
     folder = folder or new_folder(steps.sparkSession, "relabel")
-    return write_once(labelled, folder)
+    return write_once(labelled, folder, collect_for)

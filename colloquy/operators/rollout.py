@@ -55,6 +55,8 @@ class Protocol:
     feed_back: Callable[[Column, Column, Column], Column]
     #: whether public texts leave out the reasoning
     hides_reasoning: bool
+    #: tells protocols apart in the folders of a job
+    label: str = ""
 
 
 def _judged_ask(question: Column, raw: Column) -> Column:
@@ -69,6 +71,7 @@ JUDGED = Protocol(
     closes=lambda said: F.coalesce(final_verdict(said) == V.VERDICT_CORRECT, F.lit(False)),
     feed_back=lambda question, said, asked: prompts.regenerate_prompt(question, strip_think(said)),
     hides_reasoning=True,
+    label="judged",
 )
 
 
@@ -81,6 +84,7 @@ def tagged(stop_on_fix: bool = False) -> Protocol:
         closes=fixes if stop_on_fix else (lambda said: F.lit(False)),
         feed_back=lambda question, said, asked: F.when(said == "", asked).otherwise(said),
         hides_reasoning=False,
+        label=f"tagged, stop_on_fix={stop_on_fix}",
     )
 
 
@@ -247,7 +251,7 @@ def run_rollout(
     With ``materialise`` each phase is written below ``folder`` and read back: model
     output is neither repeatable nor cheap, so it is computed once, and this also cuts
     the lineage.  A phase found complete in ``folder`` is not run again, so a job that was
-    cut short goes on where it stopped.  Closed episodes leave the loop.  Without
+    cut short goes on where it stopped; one made with another protocol or limit raises.  Closed episodes leave the loop.  Without
     ``materialise`` (recorded responses) the turns stay one lazy plan.
     """
     max_turns = max(int(max_turns), 1)
@@ -259,12 +263,13 @@ def run_rollout(
         return state
 
     folder = folder or new_folder(tasks.sparkSession, "rollout")
+    made_by = (protocol.label, protocol.verifier_system, max_turns)
 
     finished = []
     for turn in range(max_turns):
-        spoken = write_once(generator_phase(state, turn, responder), f"{folder}/turn={turn}/generator")
+        spoken = write_once(generator_phase(state, turn, responder), f"{folder}/turn={turn}/generator", made_by)
         after = write_once(
-            verifier_phase(spoken, turn, max_turns, responder, protocol), f"{folder}/turn={turn}/verifier"
+            verifier_phase(spoken, turn, max_turns, responder, protocol), f"{folder}/turn={turn}/verifier", made_by
         )
         finished.append(after.filter("done"))
         state = after.filter("NOT done")

@@ -20,10 +20,6 @@ from colloquy.operators.ordinals import (
 
 INDEX = "source_idx"
 HAS_QUESTION = "has_question"
-#: samples up to this size are looked up by index (see ``pushdown.inFilterThreshold`` in the session)
-LOOKUP_LIMIT = 2048
-#: tables of at most this many rows, a number known from a job's options, are broadcast
-BROADCAST_ROWS = 1 << 20
 
 
 def task_uid(split: str, index: Column) -> Column:
@@ -53,8 +49,11 @@ def _with_shard_position(df: DataFrame, shards: int) -> DataFrame:
 
 
 def _shard_size(df: DataFrame, shard: int, shards: int) -> int:
-    """Rows of the shard; follows from the dataset's size (from footers), as its index is dense."""
-    return max((df.count() - shard + shards - 1) // shards, 0)
+    """Rows of the shard; follows from the dataset's size and its index, which must be dense (checked)."""
+    rows, last = df.agg(F.count(F.lit(1)), F.max(INDEX)).first()
+    if rows and last != rows - 1:
+        raise ValueError(f"{INDEX} must number the rows from 0 without gaps: {rows} rows, but the last is {last}")
+    return max((rows - shard + shards - 1) // shards, 0)
 
 
 def shuffle_key(seed: int, index: Column) -> Column:
@@ -73,16 +72,11 @@ def sample_random(
     """``n`` rows of a seeded shuffle of the shard, of which those without a question are
     dropped afterwards; so there may be fewer than ``n``.
 
-    A small sample is drawn from the index column alone and its at most 2,048 indexes
-    are then looked up, so the scan of the wide columns skips all other row groups.
+    The sample is drawn from the index column alone and then met with the wide columns; how, Spark
+    decides by the sample's size.
     """
-    part = shard_filter(df, shard, shards)
-    if n <= LOOKUP_LIMIT:
-        drawn = [r[INDEX] for r in _shuffled_first(part.select(INDEX), n, seed).collect()]
-        taken = df.filter(F.col(INDEX).isin(drawn)) if drawn else df.limit(0)
-    else:
-        taken = _shuffled_first(part, n, seed)
-    return usable(taken, question)
+    drawn = _shuffled_first(shard_filter(df.select(INDEX), shard, shards), n, seed)
+    return usable(df, question).join(drawn, INDEX, "left_semi")
 
 
 def sample_random_all(df: DataFrame, n: int, seed: int = 0, out: str = "sample_pos") -> DataFrame:
@@ -193,10 +187,8 @@ def round_batches(
         .select("pair_idx", "k", F.pmod(F.col("__first") + F.col("k"), F.lit(max(total, 1))).alias("__rank"))
     )
     numbered = ranked.filter(F.col("__task") == 1).select(INDEX, (F.col("__upto") - 1).alias("__rank"))
-    # pairs * n rows at most: broadcast while that is few, so the tasks are not shuffled
-    small = F.broadcast if pairs * min(n, total) <= BROADCAST_ROWS else (lambda side: side)
-    placed = small(slots).join(numbered, "__rank").select("pair_idx", "k", INDEX)
-    return small(placed).join(asked.drop("__pos"), INDEX)
+    placed = slots.join(numbered, "__rank").select("pair_idx", "k", INDEX)
+    return placed.join(asked.drop("__pos"), INDEX)
 
 
 def pair_tasks(rounds: DataFrame, batches: DataFrame) -> DataFrame:

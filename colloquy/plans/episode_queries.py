@@ -325,6 +325,7 @@ def relabel_join(spark, d):
     already = steps.filter(~grading.missing(c("teacher_target")))
     due = joins.pending_requests(joins.select_unlabelled(steps), already)
     labels = answers.join(due.select("uid", "role", "turn_index"), ["uid", "role", "turn_index"], "left_semi")
+    labels = labels.unionByName(labels.filter("turn_index % 2 = 0"))  # some came twice
     return joins.apply_labels(steps, labels).select("uid", "turn_index", "teacher_target", "teacher_status")
 
 
@@ -333,12 +334,17 @@ SELECT 'train_' || conv_id AS uid, role, turn_index, CASE WHEN (conv_id + turn_i
   CASE role WHEN 'generator' THEN {Q.strip('g_raw')} ELSE {Q.strip('v_raw')} END END AS text
 FROM v_steps, (SELECT unnest(['generator', 'verifier']) AS role) r"""))
 def join_responses(spark, d):
-    """Two replicas' outputs merged and joined back; every seventh answer was lost."""
+    """Two replicas' outputs merged and joined back; every seventh answer was lost, every fifth came
+    once more, and an earlier, shorter one with it."""
     steps = v_steps(spark, d)
     arrived = recorded_responses(steps.filter("(conv_id + turn_index) % 7 <> 0"))
+    arrived = arrived.withColumn("seq", F.lit(2))
+    again = arrived.filter("turn_index % 5 = 0")
+    partial = again.withColumns({"text": F.concat(F.lit("zz"), F.left("text", F.lit(3))), "seq": F.lit(1)})
+    arrived = arrived.unionByName(again).unionByName(partial)
     replicas = [arrived.filter("role = 'generator'"), arrived.filter("role = 'verifier'")]
     requests = recorded_responses(steps).select("uid", "role", "turn_index")
-    return joins.join_responses(requests, joins.merge_replicas(*replicas))
+    return joins.join_responses(requests, joins.merge_replicas(*replicas), arrival="seq")
 
 
 # ---- steps, accuracy, outcomes --------------------------------------------------------------------------

@@ -7,9 +7,10 @@ stores is decided by the round's role, whatever was labelled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
@@ -58,6 +59,12 @@ class RoundOptions:
     eval_every: int = 1
     eval_seed: int = 0
     materialise: bool = True
+    #: tokens of a message: (content Column) -> Column
+    counter: Callable[[Column], Column] = count_words
+
+    def sampling(self) -> tuple:
+        """What decides the tasks of a pair of rounds."""
+        return (self.split, self.batch_tasks, self.seed, self.sample_mode, self.sample_start, self.shard, self.shards)
 
 
 def sample_round_tasks(dataset: DataFrame, o: RoundOptions, pair: int) -> DataFrame:
@@ -117,14 +124,14 @@ def judged_round(
     state = rollout.run_rollout(
         tasks, student, JUDGED, o.max_turns, materialise=o.materialise, folder=f"{here}/rollout"
     )
-    steps = write_once(rollout.steps_of(state, JUDGED, grader), f"{here}/steps")
+    steps = write_once(rollout.steps_of(state, JUDGED, grader), f"{here}/steps", (o.sampling(), o.max_turns))
     if o.dump_transcripts:
         store.dump_json(store.transcripts(steps, tasks), f"{here}/transcripts")
     records = accuracy_records(steps.filter("role = 'generator'"), tasks, grader)
     store.write_accuracy_records(records, f"{out}/accuracy", "train", round_idx)
     collect_for = role if o.collect_for == "auto" else o.collect_for
     labelled = relabel(steps, teacher, collect_for, folder=f"{here}/labelled")
-    candidates = write_once(sft.judged_candidates(labelled, grader), f"{here}/candidates")
+    candidates = write_once(sft.judged_candidates(labelled, grader), f"{here}/candidates", (o.sampling(), o.max_turns, collect_for))
     kept = candidates.filter(F.col("reason") == sft.KEPT)
     store_rows(kept, o, round_idx, role, out)
     return candidates
@@ -138,7 +145,7 @@ def store_rows(rows: DataFrame, o: RoundOptions, round_idx: int, role: str, out:
     )
     if o.storage == "parquet_shards":
         store.write_shard(
-            mine.drop("seq"), f"{out}/{role}_sft_shards", f"{role}_sft", round_idx, o.truncate_tokens, count_words
+            mine.drop("seq"), f"{out}/{role}_sft_shards", f"{role}_sft", round_idx, o.truncate_tokens, o.counter
         )
         if o.mirror_json:
             # one folder per round, so that a repeated round does not double its lines
@@ -155,7 +162,7 @@ def store_rows(rows: DataFrame, o: RoundOptions, round_idx: int, role: str, out:
     if o.latest_only:
         store.write_latest(
             mine.drop("seq"), f"{out}/{role}_sft_latest", f"{role}_sft_latest", round_idx, o.truncate_tokens,
-            count_words,
+            o.counter,
         )
 
 
@@ -194,7 +201,7 @@ def alternate(
         pair = (round_idx - 1) // 2
         folder = f"{out}/tasks/pair={pair:03d}"
         if role == "gen":
-            write_once(sample_round_tasks(dataset, o, pair), folder)
+            write_once(sample_round_tasks(dataset, o, pair), folder, o.sampling())
         tasks = spark.read.parquet(folder)
         if o.dump_tasks:
             store.dump_json(

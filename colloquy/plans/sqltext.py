@@ -36,9 +36,13 @@ def boxed_first(x: str) -> str:
 
 
 def boxed_last(x: str) -> str:
-    return (
-        rf"nullif(regexp_extract_all({x}, '\\boxed\{{((?:[^{{}}]|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*)\}}', 1)[-1], '')"
-    )
+    """Counts the braces before every place after each box; the last box that closes wins."""
+    parts = f"string_split({x}, chr(92) || 'boxed{{')"
+    count = lambda brace: f"length(substr(r, 1, p)) - length(replace(substr(r, 1, p), '{brace}', ''))"
+    closes = f"list_min(list_filter(range(1, length(r) + 1), lambda p: 1 + {count('{')} - ({count('}')}) = 0))"
+    content = f"list_transform([array_to_string({parts}[i + 1:], chr(92) || 'boxed{{')], lambda r: substr(r, 1, {closes} - 1))[1]"
+    each = f"list_transform(range(len({parts}) - 1, 0, -1), lambda i: {content})"
+    return f"nullif(list_filter({each}, lambda b: b IS NOT NULL)[1], '')"
 
 
 def tag(x: str, name: str) -> str:

@@ -83,6 +83,22 @@ class Files:
                 return True
         return False
 
+    def read_text(self, path: str) -> str | None:
+        if not self.exists(path):
+            return None
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        stream = self._fs.create(self._path(path), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -92,8 +108,21 @@ def complete(spark: SparkSession, path: str) -> bool:
     return Files(spark, path).exists(f"{path}/_SUCCESS")
 
 
-def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back; one that is complete there already is not computed again."""
-    if not complete(df.sparkSession, path):
+def write_once(df: DataFrame, path: str, made_by: object = None) -> DataFrame:
+    """Write a table and read it back; one that is complete there already is not computed again.
+
+    ``made_by`` says what the table depends on besides its input (options, protocol, turn). It is
+    kept next to the table with the columns; one that was made otherwise raises.
+    """
+    spark = df.sparkSession
+    files = Files(spark, path)
+    mark = f"{path}.made_by"
+    own = f"{df.schema.simpleString()}\n{made_by!r}"
+    if complete(spark, path):
+        other = files.read_text(mark)
+        if other is not None and other != own:
+            raise RuntimeError(f"{path} was made with other options; take another folder, or remove it\nthere: {other}\nhere: {own}")
+    else:
+        files.write_text(mark, own)
         df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

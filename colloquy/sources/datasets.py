@@ -32,14 +32,27 @@ def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def scan_shards(spark: SparkSession, path: str) -> DataFrame:
-    """All Parquet files below a folder, at any depth; a single file as it is."""
+    """All Parquet files below a folder, at any depth, with every column any of them has; a single
+    file as it is."""
     if not Files(spark, path).is_folder(path):
         return spark.read.parquet(path)
     return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .option("mergeSchema", "true")
+        .parquet(path)
     )
 
 
+def scan_json_list(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A JSON file that holds a list of objects, or one object over several lines.
+
+    Such a file is one value and can't be split; a folder of them is read file by file.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.option("multiLine", "true").json(path)
+
+
 def scan_jsonl_tolerant(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON lines with blank and malformed lines left out."""
     lines = spark.read.text(path).filter(well_formed(F.col("value")))

@@ -7,10 +7,12 @@ is being read, and a job that dies half-way leaves the old version in force.
 
 from __future__ import annotations
 
+import json
 import warnings
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.hashing import message_hash, text_hash
 from colloquy.functions.messages import count_words, normalise_messages, truncate_tail
@@ -95,8 +97,8 @@ def append_distinct(
         # counted on the way through, without a pass of its own
         rows = rows.observe(seen, F.count_if(F.col(messages).isNull()).alias("rejected"))
         rows = with_hash(rows.filter(F.col(messages).isNotNull()), messages)
-    # the schema is known, so old JSON versions are read without inference
-    old = read_store(spark, home, file_format, rows.schema if file_format == "json" else None)
+    # the schema is kept with each version, so old JSON is read without inference and loses no column
+    old = read_store(spark, home, file_format, _kept_schema(spark, versions) if file_format == "json" else None)
     merged = rows if old is None else union_rows(old, rows)
     if dedupes:
         merged = (
@@ -108,6 +110,7 @@ def append_distinct(
     writer = merged.write.mode("errorifexists").format(file_format)
     if file_format == "json":
         writer = writer.option("ignoreNullFields", "false")
+        Files(spark, home).write_text(f"{target}.schema", merged.schema.json())
     writer.save(target)
     versions.retire(keep=2)  # the one before stays for readers that have it open
     if dedupes and seen.get["rejected"]:
@@ -115,6 +118,13 @@ def append_distinct(
     return target
 
 
+def _kept_schema(spark: SparkSession, versions: Snapshots) -> T.StructType | None:
+    """The schema written next to the newest version; ``None`` where there is none (it is inferred)."""
+    version = versions.current()
+    text = version and Files(spark, versions.home).read_text(f"{version}.schema")
+    return T.StructType.fromJson(json.loads(text)) if text else None
+
+
 def append_new_only(rows: DataFrame, home: str, order: str, part: str, messages: str = "messages") -> str:
     """Append the rows whose hash is not stored, as folder ``part`` of an append-only table.
 
@@ -225,33 +235,35 @@ def write_by_role(rows: DataFrame, prefix: str, order: str) -> None:
 
 def count_rows(spark: SparkSession, path: str) -> int:
     """Rows of a file or folder: Parquet from footers, JSON lines by non-blank line, a JSON list
-    by its length; what is missing or cannot be read counts 0."""
+    by its length. What is missing counts 0; what cannot be read raises."""
     files = Files(spark, path)
     if not files.exists(path):
         return 0
-    try:
-        if path.lower().endswith(".jsonl"):
-            return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()
-        if path.lower().endswith(".json"):
-            return _count_json_documents(spark, path)
-        if not files.is_folder(path):
-            if path.lower().endswith(".parquet"):
-                return spark.read.parquet(path).count()
-            return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()
-        if not files.has_parquet(path):
-            return 0
-        return (
-            spark.read.option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .parquet(path)
-            .count()
-        )
-    except Exception as error:
-        warnings.warn(f"cannot count rows of {path}: {error}")
+    if path.lower().endswith(".jsonl"):
+        return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()
+    if path.lower().endswith(".json"):
+        return _count_json_documents(spark, path, files)
+    if not files.is_folder(path):
+        if path.lower().endswith(".parquet"):
+            return spark.read.parquet(path).count()
+        return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()
+    if not files.has_parquet(path):
         return 0
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(path)
+        .count()
+    )
+
+
+#: a JSON document is one value in one task; larger ones belong into lines
+LARGEST_JSON_DOCUMENT = 1 << 30
 
 
-def _count_json_documents(spark: SparkSession, path: str) -> int:
+def _count_json_documents(spark: SparkSession, path: str, files: Files) -> int:
+    if not files.is_folder(path) and files.size(path) > LARGEST_JSON_DOCUMENT:
+        raise ValueError(f"{path} is one JSON document of over {LARGEST_JSON_DOCUMENT} bytes; write it as JSON lines")
     text = spark.read.text(path, wholetext=True)
     value = F.try_parse_json("value")
     kind = F.schema_of_variant(value)

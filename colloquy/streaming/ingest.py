@@ -55,26 +55,32 @@ def read_ingested(spark: SparkSession, home: str) -> DataFrame:
 def running_accuracy(spark: SparkSession, source: str, home: str, checkpoint: str) -> None:
     """Keep accuracy per (tag, round) up to date as record files land.
 
-    State is one row per tag and round; the newest table is a version below ``home``.
+    An episode counts once for each tag and round, by the record that landed last (by the time of
+    its file), so a round that is written again replaces what it had said. The newest table is
+    a version below ``home``.
     """
     schema = (
         T.StructType.fromDDL(ACCURACY_RECORD_DDL).add("tag", T.StringType()).add("round", T.LongType())
     )
-    counted = (
+    last = (
         spark.readStream.schema(schema)
         .json(source)
-        .groupBy("tag", "round")
-        .agg(F.count_if("is_correct").alias("correct"), F.count(F.lit(1)).alias("total"))
+        .withColumn("landed", F.col("_metadata.file_modification_time"))
+        .groupBy("tag", "round", "episode_id")
+        .agg(F.max_by("is_correct", F.struct("landed", "is_correct")).alias("is_correct"))
     )
 
     def publish(table: DataFrame, batch_id: int) -> None:
         versions = Snapshots(spark, home)
         target = versions.next()
-        table.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total"))).write.parquet(target)
+        counted = table.groupBy("tag", "round").agg(
+            F.count_if("is_correct").alias("correct"), F.count(F.lit(1)).alias("total")
+        )
+        counted.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("total"))).write.parquet(target)
         versions.retire()
 
     (
-        counted.writeStream.outputMode("complete")
+        last.writeStream.outputMode("complete")
         .foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -32,67 +32,81 @@ def tokens(content):
     return (content or "").split()
 
 
-def trimmed(ms, limit):
-    if limit <= 0 or len(ms) <= limit:
-        return ms
-    head = ms[:1] if ms[0][0] == "system" else []
-    room = limit - len(head)
-    return ms if room == 0 else head + ms[len(ms) - room :]
+def is_head(ms):
+    return [m for m in ms[:1] if m[0] == "system"]
+
+
+def ends(ms):
+    """Every way to keep the system message and an end of the rest, the longest first."""
+    rest = ms[len(is_head(ms)) :]
+    return [is_head(ms) + rest[i:] for i in range(len(rest) + 1)]
+
+
+def check_trimmed(got, ms, limit):
+    """The longest such end of at most ``limit`` messages; all of them where no limit can hold."""
+    if limit <= len(is_head(ms)):
+        assert got == ms
+    else:
+        assert got in ends(ms) and len(got) == min(limit, len(ms))
 
 
 def test_trim_history(ev):
     data = dialogues(60, 1) + [[("system", "s")] + [("user", str(i)) for i in range(14)], [("user", str(i)) for i in range(15)]]
     for limit in (0, 1, 2, 9, 12):
         got = ev([(d,) for d in data], DDL, messages.trim_history(c("m"), limit))
-        assert [plain(g) for g in got] == [trimmed(d, limit) for d in data]
+        for g, d in zip(got, data, strict=True):
+            check_trimmed(plain(g), d, limit)
 
 
 def total(ms):
     return sum(len(tokens(content)) for _, content in ms)
 
 
-def truncated(ms, limit):
-    if limit <= 0 or not ms:
-        return ms
-    head = ms[:1] if ms[0][0] == "system" else []
-    body = ms[len(head) :]
-    while body and total(head + body) > limit:
-        body = body[1:]
-    return head + body
+def check_truncated(got, ms, limit):
+    """An end within the limit, and the next longer one is not; the shortest where none is within."""
+    longer_first = ends(ms)
+    at = longer_first.index(got)
+    if limit > 0:
+        assert total(got) <= limit or at == len(longer_first) - 1
+        assert at == 0 or total(longer_first[at - 1]) > limit
+    else:
+        assert got == ms
 
 
 def test_truncate_tail(ev):
     data = dialogues(120, 2)
     for limit in (0, 1, 3, 8, 40):
         got = ev([(d,) for d in data], DDL, messages.truncate_tail(c("m"), limit))
-        assert [plain(g) for g in got] == [truncated(d, limit) for d in data]
+        for g, d in zip(got, data, strict=True):
+            check_truncated(plain(g), d, limit)
 
 
-def fitted(ms, budget):
+def check_fitted(got, ms, budget):
+    """As a truncation while a message of the rest is left whole; else the last message's own end."""
+    rest = ms[len(is_head(ms)) :]
+    whole = [e for e in ends(ms)[: len(rest)] if total(e) <= budget]
     if budget <= 0 or not ms or total(ms) <= budget:
-        return ms
-    head = ms[:1] if ms[0][0] == "system" else []
-    body = ms[len(head) :]
-    for start in range(len(body)):
-        if total(head + body[start:]) <= budget:
-            return head + body[start:]
-    if not body:
-        return head
-    role, content = body[-1]
-    if not content:
-        return head + body[-1:]
-    best = ""
-    for k in range(1, len(tokens(content)) + 1):
-        if total(head) + k <= budget:
-            best = " ".join(tokens(content)[-k:])
-    return head + [(role, best)]
+        assert got == ms
+    elif whole:
+        assert got == max(whole, key=len)
+    elif not rest:
+        assert got == is_head(ms)
+    else:
+        (role, content), room = rest[-1], max(budget - total(is_head(ms)), 0)
+        assert got[:-1] == is_head(ms) and got[-1][0] == role
+        if content:
+            words = tokens(got[-1][1])
+            assert words == tokens(content)[len(tokens(content)) - len(words) :] and len(words) == min(room, len(tokens(content)))
+        else:
+            assert got[-1][1] == content
 
 
 def test_fit_token_budget(ev):
     data = dialogues(150, 3, words=9)
     for budget in (0, 1, 2, 4, 9, 30):
         got = ev([(d,) for d in data], DDL, messages.fit_token_budget(c("m"), budget))
-        assert [plain(g) for g in got] == [fitted(d, budget) for d in data]
+        for g, d in zip(got, data, strict=True):
+            check_fitted(plain(g), d, budget)
 
 
 def test_overheads_count_against_the_budget(ev):

@@ -36,12 +36,14 @@ def test_boxes(ev):
     rows = [
         ("x \\boxed{\\frac{1}{2}} y \\boxed{3}",), ("none",), ("\\boxed{}",), ("\\boxed{a} \\boxed{b{c{d}}}",),
         ("\\boxed{open",), ("\\boxed{\\frac{1}{2}}",), (None,), ("\\boxed{" + "9" * 50_000 + "}",),
+        ("\\boxed{7} \\boxed{\\frac{\\sqrt{a_{1}}}{2}}",), ("\\boxed{7} \\boxed{{{open}",), ("\\boxed{" + "{" * 60 + "}" * 60 + "} x",),
     ]
     assert ev(rows, "t string", text.boxed_first(c("t"))) == [
-        "\\frac{1", None, None, "a", None, "\\frac{1", None, "9" * 50_000
+        "\\frac{1", None, None, "a", None, "\\frac{1", None, "9" * 50_000, "7", "7", "{" * 60
     ]
     assert ev(rows, "t string", text.boxed_last(c("t"))) == [
-        "3", None, None, "b{c{d}}", None, "\\frac{1}{2}", None, "9" * 50_000
+        "3", None, None, "b{c{d}}", None, "\\frac{1}{2}", None, "9" * 50_000,
+        "\\frac{\\sqrt{a_{1}}}{2}", "7", "{" * 60 + "}" * 60,
     ]
 
 
