@@ -31,8 +31,9 @@ def _uid():
     return F.concat(F.lit("train_"), c("conv_id").cast("string"))
 
 
-# ---- oracle: two turns of the judged protocol, written out --------------------------------------
+# ---- oracle: the turns of the protocols, one after the other -------------------------------------
 
+EACH = range(TURNS)
 _SYS, _VSYS = Q.msg("system", Q.lit(V.GENERATOR_SYSTEM)), Q.msg("system", Q.lit(V.JUDGED_VERIFIER_SYSTEM))
 _TSYS = Q.msg("system", Q.lit(V.TAGGED_VERIFIER_SYSTEM))
 
@@ -41,40 +42,52 @@ def _said(alias: str, column: str) -> str:
     return f"coalesce({Q.strip(f'{alias}.{column}')}, '')"
 
 
-def _pair(view: str) -> str:
-    """Both turns' recorded texts and targets of every task that has a question."""
-    return f"""SELECT t.conv_id, t.uid, t.question, t.ground_truth,
-  {_said('a', 'g_raw')} AS g0, {_said('a', 'v_raw')} AS v0, {_said('b', 'g_raw')} AS g1, {_said('b', 'v_raw')} AS v1,
-  {_said('a', 'g_target')} AS gt0, {_said('a', 'v_target')} AS vt0, {_said('b', 'g_target')} AS gt1, {_said('b', 'v_target')} AS vt1
-FROM v_tasks t LEFT JOIN {view} a ON a.conv_id = t.conv_id AND a.turn_index = 0
-LEFT JOIN {view} b ON b.conv_id = t.conv_id AND b.turn_index = 1 WHERE t.question <> ''"""
+def _recorded(view: str) -> str:
+    """All turns' recorded texts and targets of every task that has a question."""
+    columns = {"g": "g_raw", "v": "v_raw", "gt": "g_target", "vt": "v_target"}
+    said = ",\n  ".join(f"{_said(f's{t}', column)} AS {short}{t}" for t in EACH for short, column in columns.items())
+    turns = "\n".join(f"LEFT JOIN {view} s{t} ON s{t}.conv_id = t.conv_id AND s{t}.turn_index = {t}" for t in EACH)
+    return f"SELECT t.conv_id, t.uid, t.question, t.ground_truth,\n  {said}\nFROM v_tasks t {turns} WHERE t.question <> ''"
+
+
+def _each(one) -> str:
+    return ", ".join(one(t) for t in EACH)
+
+
+def _reached(t: int, stop: str) -> str:
+    """Turn ``t`` is played unless an earlier one stopped."""
+    return " AND ".join(["true", *[f"NOT {stop}{u}" for u in range(t)]])
+
+
+def _talk(system: str, asked: list[str], answers: list[str]) -> str:
+    """A history: a system message if any, then questions and answers in turn."""
+    said = [m for pair in zip(asked, answers) for m in (Q.msg("user", pair[0]), Q.msg("assistant", pair[1]))]
+    return "[" + ", ".join([*([system] if system else []), *said, *[Q.msg("user", a) for a in asked[len(answers) :]]]) + "]"
 
 
 _JUDGED = {
-    "pair": _pair("v_steps"),
-    "shown": f"""SELECT *, {Q.verify_shown('question', 'g0')} AS ask0, {Q.verify_shown('question', 'g1')} AS ask1,
-  {Q.regenerate('question', Q.strip_think('v0'))} AS regen, coalesce({Q.verdict('v0')} = 'correct', false) AS ok0,
-  coalesce({Q.verdict('v1')} = 'correct', false) AS ok1 FROM pair""",
+    "pair": _recorded("v_steps"),
+    "shown": f"""SELECT *, {_each(lambda t: f"{Q.verify_shown('question', f'g{t}')} AS ask{t}")},
+  {_each(lambda t: f"{Q.regenerate('question', Q.strip_think(f'v{t}'))} AS regen{t}")},
+  {_each(lambda t: f"coalesce({Q.verdict(f'v{t}')} = 'correct', false) AS ok{t}")} FROM pair""",
 }
-# steps of a table shaped like ``shown``
-_JUDGED_STEPS = f"""
-SELECT uid, question, ground_truth, 'generator' AS role, 0::BIGINT AS turn_index, ok0 OR ok1_reached AS is_correct,
-  [{_SYS}, {Q.msg('user', 'question')}, {Q.msg('assistant', 'g0')}] AS chat, [{_SYS}, {Q.msg('user', 'question')}] AS prompt,
-  NULL::DOUBLE AS reward, g0 AS raw, NULL AS gen_raw, gt0 AS target FROM x
-UNION ALL SELECT uid, question, ground_truth, 'verifier', 0, ok0 OR ok1_reached,
-  [{_VSYS}, {Q.msg('user', 'ask0')}, {Q.msg('assistant', 'v0')}], [{_VSYS}, {Q.msg('user', 'ask0')}],
-  CASE WHEN {Q.simple_grade('g0', 'ground_truth')} THEN 1 ELSE 0 END, v0, g0, vt0 FROM x
-UNION ALL SELECT uid, question, ground_truth, 'generator', 1, ok1_reached,
-  [{_SYS}, {Q.msg('user', 'question')}, {Q.msg('assistant', 'g0')}, {Q.msg('user', 'regen')}, {Q.msg('assistant', 'g1')}],
-  [{_SYS}, {Q.msg('user', 'question')}, {Q.msg('assistant', 'g0')}, {Q.msg('user', 'regen')}],
-  NULL, g1, NULL, gt1 FROM x WHERE NOT ok0
-UNION ALL SELECT uid, question, ground_truth, 'verifier', 1, ok1_reached,
-  [{_VSYS}, {Q.msg('user', 'ask0')}, {Q.msg('assistant', 'v0')}, {Q.msg('user', 'ask1')}, {Q.msg('assistant', 'v1')}],
-  [{_VSYS}, {Q.msg('user', 'ask0')}, {Q.msg('assistant', 'v0')}, {Q.msg('user', 'ask1')}],
-  CASE WHEN {Q.simple_grade('g1', 'ground_truth')} THEN 1 ELSE 0 END, v1, g1, vt1 FROM x WHERE NOT ok0"""
+
+
+def _judged_turn(t: int) -> str:
+    """Both steps of turn ``t`` of a table shaped like ``shown``."""
+    g, v, asks = [f"g{u}" for u in range(t + 1)], [f"v{u}" for u in range(t + 1)], [f"ask{u}" for u in range(t + 1)]
+    questions = ["question", *[f"regen{u}" for u in range(t)]]
+    return f"""SELECT uid, question, ground_truth, 'generator' AS role, {t}::BIGINT AS turn_index, closed AS is_correct,
+  {_talk(_SYS, questions, g)} AS chat, {_talk(_SYS, questions, g[:-1])} AS prompt,
+  NULL::DOUBLE AS reward, g{t} AS raw, NULL AS gen_raw, gt{t} AS target FROM x WHERE {_reached(t, 'ok')}
+UNION ALL SELECT uid, question, ground_truth, 'verifier', {t}, closed,
+  {_talk(_VSYS, asks, v)}, {_talk(_VSYS, asks, v[:-1])},
+  CASE WHEN {Q.simple_grade(f'g{t}', 'ground_truth')} THEN 1 ELSE 0 END, v{t}, g{t}, vt{t} FROM x WHERE {_reached(t, 'ok')}"""
+
+
 _JUDGED_STEPS = {
-    "x": "SELECT *, NOT ok0 AND ok1 AS ok1_reached FROM shown",
-    "st": _JUDGED_STEPS,
+    "x": f"SELECT *, {' OR '.join(f'ok{t}' for t in EACH)} AS closed FROM shown",
+    "st": "\nUNION ALL ".join(map(_judged_turn, EACH)),
     "steps": f"""SELECT uid, question, ground_truth, role, turn_index, is_correct, chat, prompt, reward, raw,
   {Q.strip_think('raw')} AS public, gen_raw, {Q.strip_think('gen_raw')} AS gen_public, target FROM st""",
 }
@@ -178,17 +191,17 @@ def _q_stub_verifier(last: str) -> str:
     return f"'<think>v</think> ' || CASE WHEN length({last}) % 2 = 0 THEN 'correct' ELSE 'incorrect' END"
 
 
-_STUB = {
-    "s0": f"SELECT *, '' AS gt0, '' AS vt0, '' AS gt1, '' AS vt1, {_q_stub_generator('question')} AS g0 FROM v_tasks WHERE question <> ''",
-    "s1": f"SELECT *, {Q.verify_shown('question', 'g0')} AS ask0 FROM s0",
-    "s2": f"SELECT *, {_q_stub_verifier('ask0')} AS v0 FROM s1",
-    "s3": f"SELECT *, {Q.regenerate('question', Q.strip_think('v0'))} AS regen FROM s2",
-    "s4": f"SELECT *, {_q_stub_generator('regen')} AS g1 FROM s3",
-    "s5": f"SELECT *, {Q.verify_shown('question', 'g1')} AS ask1 FROM s4",
-    "s6": f"SELECT *, {_q_stub_verifier('ask1')} AS v1 FROM s5",
-    "shown": f"SELECT *, {Q.verdict('v0')} = 'correct' AS ok0, {Q.verdict('v1')} = 'correct' AS ok1 FROM s6",
-    **_JUDGED_STEPS,
-}
+_NO_TARGETS = _each(lambda t: f"'' AS gt{t}, '' AS vt{t}")
+_STUB = {"a0": f"SELECT *, {_NO_TARGETS}, {_q_stub_generator('question')} AS g0 FROM v_tasks WHERE question <> ''"}
+for _t in EACH:
+    _STUB |= {
+        f"b{_t}": f"SELECT *, {Q.verify_shown('question', f'g{_t}')} AS ask{_t} FROM a{_t}",
+        f"c{_t}": f"SELECT *, {_q_stub_verifier(f'ask{_t}')} AS v{_t} FROM b{_t}",
+        f"d{_t}": f"SELECT *, {Q.regenerate('question', Q.strip_think(f'v{_t}'))} AS regen{_t}, "
+        f"{Q.verdict(f'v{_t}')} = 'correct' AS ok{_t} FROM c{_t}",
+        f"a{_t + 1}": f"SELECT *, {_q_stub_generator(f'regen{_t}')} AS g{_t + 1} FROM d{_t}",
+    }
+_STUB |= {"shown": f"SELECT * FROM a{TURNS}", **_JUDGED_STEPS}
 
 
 @query("rollout_pag", with_views("v_tasks", _STEP_OUT, _STUB))
@@ -202,29 +215,30 @@ def rollout_pag(spark, d):
 # ---- tagged protocol --------------------------------------------------------------------------------
 
 _TAGGED_PAIR = {
-    "pair": _pair("v_dagger").replace("WHERE t.question <> ''", ""),
-    "shown": f"""SELECT *, {Q.tagged_verify('question', 'g0')} AS ask0, {Q.tagged_verify('question', 'g1')} AS ask1,
-  CASE WHEN v0 = '' THEN {Q.tagged_verify('question', 'g0')} ELSE v0 END AS fed,
-  {Q.boxed_first(Q.tag('v0', 'fixed_answer'))} IS NOT NULL AS fix0, {Q.boxed_first(Q.tag('v1', 'fixed_answer'))} IS NOT NULL AS fix1,
-  {Q.simple_grade('g0', 'ground_truth')} AS ok0, {Q.simple_grade('g1', 'ground_truth')} AS ok1 FROM pair""",
+    "pair": _recorded("v_dagger").replace("WHERE t.question <> ''", ""),
+    "shown": f"""SELECT *, {_each(lambda t: f"{Q.tagged_verify('question', f'g{t}')} AS ask{t}")},
+  {_each(lambda t: f"CASE WHEN v{t} = '' THEN {Q.tagged_verify('question', f'g{t}')} ELSE v{t} END AS fed{t}")},
+  {_each(lambda t: f"{Q.boxed_first(Q.tag(f'v{t}', 'fixed_answer'))} IS NOT NULL AS fix{t}")},
+  {_each(lambda t: f"{Q.simple_grade(f'g{t}', 'ground_truth')} AS ok{t}")} FROM pair""",
 }
 
 
-def _tagged_steps(second: str) -> str:
-    """Steps of two turns; ``second`` says when the second one is played."""
-    return f"""
-SELECT uid, question, 'generator' AS role, 0::BIGINT AS turn_index,
-  [{_SYS}, {Q.msg('user', 'question')}, {Q.msg('assistant', 'g0')}] AS chat, NULL::DOUBLE AS reward, g0 AS raw, NULL AS gen_raw, gt0 AS target FROM shown
-UNION ALL SELECT uid, question, 'verifier', 0, [{Q.msg('user', 'ask0')}, {Q.msg('assistant', 'v0')}],
-  CASE WHEN ok0 THEN 1 ELSE 0 END, v0, g0, vt0 FROM shown
-UNION ALL SELECT uid, question, 'generator', 1, [{_SYS}, {Q.msg('user', 'question')}, {Q.msg('assistant', 'g0')}, {Q.msg('user', 'fed')}, {Q.msg('assistant', 'g1')}],
-  NULL, g1, NULL, gt1 FROM shown WHERE {second}
-UNION ALL SELECT uid, question, 'verifier', 1, [{Q.msg('user', 'ask1')}, {Q.msg('assistant', 'v1')}],
-  CASE WHEN ok1 THEN 1 ELSE 0 END, v1, g1, vt1 FROM shown WHERE {second}"""
+def _tagged_turn(t: int, reached: str) -> str:
+    questions = ["question", *[f"fed{u}" for u in range(t)]]
+    return f"""SELECT uid, question, 'generator' AS role, {t}::BIGINT AS turn_index,
+  {_talk(_SYS, questions, [f'g{u}' for u in range(t + 1)])} AS chat, NULL::DOUBLE AS reward, g{t} AS raw, NULL AS gen_raw, gt{t} AS target
+FROM shown WHERE {reached}
+UNION ALL SELECT uid, question, 'verifier', {t}, {_talk('', [f'ask{t}'], [f'v{t}'])},
+  CASE WHEN ok{t} THEN 1 ELSE 0 END, v{t}, g{t}, vt{t} FROM shown WHERE {reached}"""
 
 
-_TAGGED_STOP = {**_TAGGED_PAIR, "steps": _tagged_steps("NOT fix0")}
-_TAGGED_FULL = {**_TAGGED_PAIR, "steps": _tagged_steps("true")}
+def _tagged_steps(stop: str | None) -> str:
+    """Steps of all turns; ``stop`` names the flag that ends an episode."""
+    return "\nUNION ALL ".join(_tagged_turn(t, _reached(t, stop) if stop else "true") for t in EACH)
+
+
+_TAGGED_STOP = {**_TAGGED_PAIR, "steps": _tagged_steps("fix")}
+_TAGGED_FULL = {**_TAGGED_PAIR, "steps": _tagged_steps(None)}
 _TAGGED_ROWS = f"""SELECT uid, role, turn_index, CASE WHEN role = 'generator' THEN list_concat(chat[:-2], [{Q.msg('assistant', 'target')}])
   ELSE [{_TSYS}, {Q.msg('user', Q.tagged_verify('question', 'gen_raw'))}, {Q.msg('assistant', 'target')}] END AS messages
 FROM steps WHERE target <> ''"""
@@ -239,7 +253,7 @@ def _tagged_state(spark, d, stop_on_fix):
 
 @query("replay_dagger", with_views(["v_dagger", "v_tasks"], f"""
 SELECT s.uid, role, turn_index, reward, raw AS student_response, gen_raw AS generator_message,
-  {Q.text_json('chat')} AS chat_completions, CASE WHEN fix0 THEN ok0 WHEN fix1 THEN ok1 ELSE ok0 OR ok1 END AS is_correct
+  {Q.text_json('chat')} AS chat_completions, CASE {' '.join(f'WHEN fix{t} THEN ok{t}' for t in EACH)} ELSE {' OR '.join(f'ok{t}' for t in EACH)} END AS is_correct
 FROM steps s JOIN shown USING (uid)""", _TAGGED_STOP))
 def replay_dagger(spark, d):
     state, protocol = _tagged_state(spark, d, stop_on_fix=True)
@@ -251,16 +265,14 @@ def replay_dagger(spark, d):
     )
 
 
-_STUB_TAGGED = {
-    "t0": f"SELECT *, '' AS gt0, '' AS vt0, '' AS gt1, '' AS vt1, {_q_stub_generator('question')} AS g0 FROM v_tasks",
-    "t1": f"SELECT *, {Q.tagged_verify('question', 'g0')} AS ask0 FROM t0",
-    "t2": f"SELECT *, {_q_stub_verifier('ask0')} AS v0 FROM t1",
-    "t3": f"SELECT *, v0 AS fed, {_q_stub_generator('v0')} AS g1 FROM t2",
-    "t4": f"SELECT *, {Q.tagged_verify('question', 'g1')} AS ask1 FROM t3",
-    "t5": f"SELECT *, {_q_stub_verifier('ask1')} AS v1 FROM t4",
-    "shown": f"SELECT *, {Q.simple_grade('g0', 'ground_truth')} AS ok0, {Q.simple_grade('g1', 'ground_truth')} AS ok1 FROM t5",
-    "steps": _tagged_steps("true"),
-}
+_STUB_TAGGED = {"a0": f"SELECT *, {_NO_TARGETS}, {_q_stub_generator('question')} AS g0 FROM v_tasks"}
+for _t in EACH:
+    _STUB_TAGGED |= {
+        f"b{_t}": f"SELECT *, {Q.tagged_verify('question', f'g{_t}')} AS ask{_t}, {Q.simple_grade(f'g{_t}', 'ground_truth')} AS ok{_t} FROM a{_t}",
+        f"c{_t}": f"SELECT *, {_q_stub_verifier(f'ask{_t}')} AS v{_t} FROM b{_t}",
+        f"a{_t + 1}": f"SELECT *, v{_t} AS fed{_t}, {_q_stub_generator(f'v{_t}')} AS g{_t + 1} FROM c{_t}",
+    }
+_STUB_TAGGED |= {"shown": f"SELECT * FROM a{TURNS}", "steps": _tagged_steps(None)}
 
 
 @query("rollout_dagger", with_views("v_tasks", f"""

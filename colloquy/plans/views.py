@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colloquy import fixed_values as V
 from colloquy.functions.text import to_record_json
 from colloquy.operators.ordinals import rank_rows
 
 #: messages per row of ``v_dialogues``; longer conversations span several rows
 PART = 16
-#: turns of the replayed rollouts
-TURNS = 2
+#: turns of the replayed rollouts: the limit a rollout has by default
+TURNS = V.DEFAULT_MAX_TURNS
 
 STEPS_PROJECTION = [
     "conv_id",
