@@ -8,11 +8,11 @@ are candidates. A candidate pair's similarity is estimated from its registers an
 maximum likelihood, and pairs that come near the threshold are confirmed on the full sets.
 
 Documents with equal sets are one class, held by its smallest id, before anything is paired. In a
-bucket of a band no pairs are listed: in each round its most shared members (1, then 2, 4, ...) are
+bucket of a band no pairs are listed: in each round its most shared members (1, then 8, 64, ...) are
 pivots that the others are held against; then pivots leave the bucket, and the bucket is done when
 all that is left in it is one component. So a group of near copies costs about one pair a member, and
 yet every pair of a bucket is confirmed, refused or already joined in the end. A pair at the
-threshold of 0.8 shares no band with a chance below 1e-7 (32 bands of 4).
+threshold of 0.8 shares no band with a chance of about 1e-7 (40 bands of 5).
 
 Shingles are compared by 64-bit hashes.
 
@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +38,8 @@ from colloquy.llm.hashing import Words, mixed, shingles
 from colloquy.llm.registry import query
 
 #: Registers, base and rate of their scale, and largest value; registers of a band.
-M, B, A, Q = 128, 1.001, 20.0, (1 << 16) - 2
-ROWS = 4
+M, B, A, Q = 200, 1.001, 20.0, (1 << 16) - 2
+ROWS = 5
 #: Standard errors below the threshold from which an estimate refuses a pair.
 MARGIN = 5.0
 #: Characters of text worked on at once.
@@ -157,17 +156,16 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     met = met.filter(F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b"))
     least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / M)
 
-    @F.pandas_udf("double")
-    def similarity(left: pd.Series, right: pd.Series, n_left: pd.Series, n_right: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(left), 4096):
-            part = slice(at, at + 4096)
-            both = [np.frombuffer(b"".join(x[part]), np.uint16).reshape(-1, M) for x in (left, right)]
-            out.append(estimate(*both, *[x[part].to_numpy(float) for x in (n_left, n_right)]))
-        return pd.Series(np.concatenate(out) if out else [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                sides = [np.frombuffer(b"".join(part.column(f"registers_{c}").to_pylist()), np.uint16).reshape(-1, M) for c in "ab"]
+                sizes = [part.column(f"n_shingles_{c}").to_numpy().astype(float) for c in "ab"]
+                near = pa.array(estimate(*sides, *sizes) >= least)
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in "ab"], names=["a", "b"])
 
-    near = similarity("registers_a", "registers_b", "n_shingles_a", "n_shingles_b")
-    return met.filter(near >= least).select("a", "b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -182,7 +180,7 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """The pairs ``a, b`` (b the pivot) whose full sets are similar enough."""
+    """The pairs ``a, b`` (b the pivot) whose full sets are similar enough; texts without a pair stay out."""
     pivots = pairs.groupBy("a").agg(F.collect_set("b").alias("also"))  # at most the bands of a times the round's pivots
     named = pairs.select(F.col("b").alias("doc"), F.array().cast("array<long>").alias("also")).distinct()
     members = shingle_sets(texts.join(pivots.withColumnRenamed("a", "doc"), "doc"), n)
@@ -204,7 +202,8 @@ def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataF
         pivots = stored(pivots.select("key", F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("place").alias("place")), "pivots")
         met = members.join(pivots, "key").filter((F.col("doc") != F.col("b")) & (F.col("root") != F.col("root_b")))
         pairs = stored(likely(met.select(F.col("doc").alias("a"), "b").distinct(), classes, per_cent / 100), "pairs")
-        links = stored(confirmed(pairs, texts, n, per_cent), "confirmed")
+        # the first round is about many texts: dealt out in the same way at every size
+        links = stored(confirmed(pairs, texts.hint("merge") if at_once == 1 else texts, n, per_cent), "confirmed")
         left = members.join(pivots.select("key", F.col("b").alias("doc")), ["key", "doc"], "left_anti")
         own = roots.select(F.col("doc").alias("d"), F.col("root").alias("r"))
         between = links.join(own.toDF("a", "root_a"), "a").join(own.toDF("b", "root_b"), "b")
@@ -213,7 +212,7 @@ def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataF
         left = _renamed(left, found)
         open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         members = stored(left.join(open_, "key"), "members")
-        at_once *= 2
+        at_once *= 8
     return roots
 
 

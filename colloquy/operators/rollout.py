@@ -98,7 +98,7 @@ def model_responder(
 
     Rows pass through as Arrow batches with their keys, so the order of answers between
     tasks does not matter.  ``slots`` spreads the requests by uid; an episode then stays
-    with one task.
+    with one task.  Of a batch only the keys and prompts of open rows become Python objects.
     """
 
     def respond(df: DataFrame, role: str, turn: int) -> DataFrame:
@@ -108,11 +108,11 @@ def model_responder(
 
         def run(batches):
             for rows in batches:
-                active = rows.column("active").to_pylist()
-                uids = rows.column("uid").to_pylist()
-                prompts_ = rows.column("prompt").to_pylist()
+                due = [i for i, on in enumerate(rows.column("active").to_pylist()) if on]
+                open_ = rows.select(["uid", "prompt"]).take(pa.array(due, pa.int64()))
+                uids = dict(zip(due, open_.column("uid").to_pylist()))
+                prompts_ = dict(zip(due, open_.column("prompt").to_pylist()))
                 texts = [None] * rows.num_rows
-                due = [i for i, on in enumerate(active) if on]
                 size = batch if batch > 0 else max(len(due), 1)
                 for start in range(0, len(due), size):
                     chunk = due[start : start + size]

@@ -458,30 +458,23 @@ def sft_build_dagger(spark, d):
     return rows.select("uid", "role", "turn_index", as_json(c("messages")).alias("messages"))
 
 
-_FUNNEL = {
-    "stopped": f"""SELECT * FROM (
-      SELECT *, min(CASE WHEN verdict = 'correct' THEN turn_index END) OVER (PARTITION BY conv_id) AS stop
-      FROM (SELECT *, {Q.verdict('v_raw')} AS verdict FROM v_steps) v) s
-    WHERE turn_index < {TURNS} AND (stop IS NULL OR turn_index <= stop)""",
-    "two": """SELECT 'generator' AS role, ground_truth, g_raw AS raw, NULL AS gen_raw, coalesce(g_target, '') AS target FROM stopped
-      UNION ALL SELECT 'verifier', ground_truth, v_raw, g_raw, coalesce(v_target, '') FROM stopped""",
-}
+# all tasks, those without a question too
+_FUNNEL = {**_REPLAY, "pair": _recorded("v_steps").replace("WHERE t.question <> ''", "")}
+_FUNNEL_REASON = _REASON.replace(
+    "WHEN role = 'generator' AND NOT", "WHEN role = 'generator' AND question = '' THEN 'empty_question'\n  WHEN role = 'generator' AND NOT", 1
+)
 
 
-@query("sft_funnel", with_views("v_steps", f"""
-SELECT role, {_REASON} AS reason, count(*) AS n, 0::BIGINT AS without_ground_truth FROM two GROUP BY ALL""", _FUNNEL))
+@query("sft_funnel", with_views(["v_steps", "v_tasks"], f"""
+SELECT role, {_FUNNEL_REASON} AS reason, count(*) AS n, 0::BIGINT AS without_ground_truth FROM steps GROUP BY ALL""", _FUNNEL))
 def sft_funnel(spark, d):
-    judged = v_first_steps(spark, d).withColumn("verdict", final_verdict(c("v_raw")))
-    kept = metrics.early_stop(judged, TURNS, key="conv_id")
-    none = F.lit(None).cast("string")
-    both = F.array(
-        F.struct(F.lit("generator").alias("role"), c("g_raw").alias("student_response_raw"),
-                 none.alias("generator_message_raw"), c("g_target").alias("teacher_target")),
-        F.struct(F.lit("verifier").alias("role"), c("v_raw").alias("student_response_raw"),
-                 c("g_raw").alias("generator_message_raw"), c("v_target").alias("teacher_target")),
+    """Every candidate of the judged protocol, by the reason that decides on it."""
+    state = rollout.run_rollout(
+        recorded_dataset(spark, d), rollout.recorded_responder, rollout.JUDGED, TURNS, materialise=False
     )
-    rows = kept.select("ground_truth", F.lit("?").alias("question"), F.inline(both))
-    return sft.funnel(rows.withColumn("reason", sft.quality_reason(context=None)))
+    teacher = rollout.recorded_teacher(recorded_targets(v_first_steps(spark, d)), TURNS)
+    steps = relabel_steps(rollout.steps_of(state, rollout.JUDGED), teacher, materialise=False)
+    return sft.funnel(sft.judged_candidates(steps))
 
 
 # ---- jobs ------------------------------------------------------------------------------------------------------
