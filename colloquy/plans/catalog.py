@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from colloquy.plans import (  # noqa: F401
+    dialogue_queries,
     episode_queries,
     row_queries,
     sampling_queries,

@@ -13,7 +13,8 @@ HOT = [
     "last_user_message", "gen_accuracy", "gen_accuracy_detail", "early_stop", "last_step", "episode_correct_any",
     "join_responses", "relabel_join", "distinct_messages", "sft_append_parquet", "sft_append_jsonl", "sft_new_only",
     "request_batches", "param_batches", "sample_random", "sample_sequential", "round_batches", "replay_pag",
-    "replay_dagger", "sft_build_pag", "sft_funnel", "transcripts", "stream_sft_ingest",
+    "clean_context_rows", "drop_trailing_assistant_rows", "trim_history_rows", "truncate_tail_rows",
+    "fit_token_budget_rows", "coerce_question_rows", "replay_dagger", "sft_build_pag", "sft_funnel", "transcripts", "stream_sft_ingest",
 ]
 
 
