@@ -6,8 +6,8 @@ finds the contiguous region with the highest sum; its blocks are the text. Eleme
 reading matter by their name, class or id (menus, footers, forms, comments, ...) count as one tag
 each: their words neither score nor appear, also inside the region.
 
-The weights come from the ``LABELLED`` labelled pages with the lowest hash of their URL; they are a
-few numbers per kind of tag. All pages are cut where they lie, and whole.
+The weights come from the ``LABELLED`` labelled pages with the lowest hash of their URL and id; they are
+a few numbers per kind of tag. All pages are cut where they lie, and whole.
 
 Defined results: null or empty html, and pages without words outside of menus and the like, give an
 empty text; broken, unclosed or cut-off markup is read as far as it goes; without labelled pages all
@@ -141,10 +141,13 @@ def counted(page: str) -> dict[str, list[int]]:
     return out
 
 
-def learn(pages: DataFrame, html: str, url: str) -> dict[str, float]:
+def learn(pages: DataFrame, html: str, url: str, page_id: str) -> dict[str, float]:
     """Weights of the features, from a bounded sample of the pages that mark their content."""
-    marked = pages.filter(F.col(html).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html).alias("html"), F.col(url).alias("url"))
-    sample = marked.orderBy(F.xxhash64("url"), "url").limit(LABELLED)
+    marked = pages.filter(F.col(html).rlike(r"(?i)<(article|main)[\s>]"))
+    marked = marked.select(F.col(html).alias("html"), F.struct(F.col(url).alias("u"), F.col(page_id).alias("p")).alias("key"))
+    # the sample is drawn by its keys, so that no task gathers pages
+    drawn = marked.select("key").orderBy(F.xxhash64("key"), "key").limit(LABELLED).distinct()
+    sample = marked.join(F.broadcast(drawn), marked["key"].eqNullSafe(drawn["key"]), "left_semi")
 
     def make(rows: list[dict]) -> dict:
         total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -211,4 +214,4 @@ def extract(pages: DataFrame, page_id: str, url: str, html: str, weights: dict[s
 @query("op1_extraction")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return extract(pages, "page_id", "url", "html", learn(pages, "html", "url"))
+    return extract(pages, "page_id", "url", "html", learn(pages, "html", "url", "page_id"))

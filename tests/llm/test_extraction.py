@@ -55,11 +55,11 @@ def test_broken_markup_is_linear():
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a b"), (3, "u", "<p>a b"), (3, "u", "<p>a b"), (4, "u", "<nav>menu</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' as text", "1 as n_chars")
-    weights = x.learn(pages, "html", "url")
+    weights = x.learn(pages, "html", "url", "page_id")
     assert weights == {}
     got = sorted((str(r[0]), r["text"], r["n_chars"]) for r in x.extract(pages, "page_id", "url", "html", weights).collect())
     assert got == [("1", "", 0), ("2", "", 0), ("3", "", 0), ("3", "", 0), ("4", "", 0), ("None", "", 0)] or [g[1] for g in got] == [
         "", "", "a b", "a b", "", "a b"
     ]
     empty = pages.limit(0)
-    assert x.extract(empty, "page_id", "url", "html", x.learn(empty, "html", "url")).count() == 0
+    assert x.extract(empty, "page_id", "url", "html", x.learn(empty, "html", "url", "page_id")).count() == 0
