@@ -272,7 +272,11 @@ def _count_json_documents(spark: SparkSession, path: str, files: Files) -> int:
     counted = (
         F.when(value.isNull(), 0).when(F.startswith(kind, F.lit("ARRAY")), length).when(empty, 0).otherwise(1)
     )
-    return text.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("n")).first()["n"]
+    broken = F.count_if(value.isNull() & (py_strip(F.col("value")) != ""))
+    found = text.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("n"), broken.alias("broken")).first()
+    if found["broken"]:
+        raise ValueError(f"{path} is not JSON")
+    return found["n"]
 
 
 def count_messages(spark: SparkSession, *paths: str) -> int:

@@ -1,6 +1,5 @@
 import json
 import os
-import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,12 +130,13 @@ def test_counts(spark, tmp_path):
     assert count("deep") == 6
     assert count("deep/two.parquet") == 3
     assert count("lines.jsonl") == 2
-    assert (count("list.json"), count("one.json"), count("none.json"), count("bad.json")) == (3, 1, 0, 0)
+    assert (count("list.json"), count("one.json"), count("none.json")) == (3, 1, 0)
+    with pytest.raises(ValueError, match="not JSON"):
+        count("bad.json")
     assert count("notes.txt") == 2
     assert count("missing.parquet") == 0
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        assert count("bad.parquet") == 0
+    with pytest.raises(Exception, match="bad.parquet"):
+        count("bad.parquet")
     assert store.count_messages(spark, f"{base}/deep/two.parquet", f"{base}/deep/x/one.parquet") == 6
 
 

@@ -26,7 +26,7 @@ def test_ingest_equals_the_batch_result(spark):
 def test_running_accuracy(spark):
     base = new_folder(spark, "running")
     record = lambda ok, n: spark.range(n).select(
-        F.lit("e").alias("episode_id"), F.lit("q").alias("question"), F.lit("1").alias("ground_truth"),
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("episode_id"), F.lit("q").alias("question"), F.lit("1").alias("ground_truth"),
         F.lit("m").alias("generator_message"), F.lit("m").alias("prediction_used"), F.lit("1").alias("parsed_prediction"),
         F.lit(float(ok)).alias("reward"), F.lit(ok).alias("is_correct"),
     )
@@ -37,3 +37,8 @@ def test_running_accuracy(spark):
     running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
     got = {(r["tag"], r["round"]): (r["correct"], r["total"], r["accuracy"]) for r in store.read_store(spark, f"{base}/out").collect()}
     assert got == {("train", 1): (3, 3, 1.0), ("train", 2): (0, 2, 0.0), ("eval", 2): (1, 1, 1.0)}
+    # a round that is written again replaces what it had said, whatever its new files are called
+    store.write_accuracy_records(record(False, 3), f"{base}/in", "train", 1)
+    running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
+    got = {(r["tag"], r["round"]): (r["correct"], r["total"]) for r in store.read_store(spark, f"{base}/out").collect()}
+    assert got == {("train", 1): (0, 3), ("train", 2): (0, 2), ("eval", 2): (1, 1)}
