@@ -8,8 +8,9 @@ are candidates. A candidate pair's similarity is estimated from its registers an
 maximum likelihood, and pairs that come near the threshold are confirmed on the full sets.
 
 Documents with equal sets are one class, held by its smallest id, before anything is paired. In a
-bucket of a band no pairs are listed: in each round its most shared members (1, then 8, 64, ...) are
-pivots that the others are held against; then pivots leave the bucket, and the bucket is done when
+bucket of a band no pairs are listed: first every document is held against the most shared member of all
+its buckets, which joins a group of near copies; then, in each round, the most shared members of what
+is not yet one component (1, then 8, 64, ...) are pivots that the others are held against; then pivots leave the bucket, and the bucket is done when
 all that is left in it is one component. So a group of near copies costs about one pair a member, and
 yet every pair of a bucket is confirmed, refused or already joined in the end. A pair at the
 threshold of 0.8 shares no band with a chance of about 1e-7 (40 bands of 5).
@@ -130,7 +131,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``key, doc`` of every band that more than one class shares, with ``pop``: the sizes of a class's bands."""
+    """``key, doc, n`` of every band that more than one class shares, with ``pop``: the sizes of a class's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,14 +139,14 @@ def buckets(classes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2048)
                 register = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(-1, M)
                 keys = bands(register)
-                doc = np.repeat(part.column("doc").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(doc)], names=["key", "doc"])
+                own = [pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in ("doc", "n_shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *own], names=["key", "doc", "n"])
 
-    flat = classes.select("doc", "registers").mapInArrow(run, "key long, doc long")
+    flat = classes.select("doc", "n_shingles", "registers").mapInArrow(run, "key long, doc long, n long")
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(flat.join(shared, "key"), "buckets")
     popular = members.groupBy("doc").agg(F.sum("size").alias("pop"))
-    return members.join(popular, "doc").select("key", "doc", "pop")
+    return members.join(popular, "doc").select("key", "doc", "n", "pop")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +154,6 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     own = classes.select("doc", "n_shingles", "registers")
     side = lambda c: own.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own.columns[1:]])
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.filter(F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b"))
     least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / M)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +195,22 @@ def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataF
     """``doc, root`` of the classes that share a bucket with another."""
     members = stored(buckets(classes).withColumn("root", F.col("doc")), "members")
     roots = members.select("doc", "root").distinct()
-    at_once = 1
+    at_once = 0
     while members.limit(1).count():
         first = Window.partitionBy("key").orderBy(F.desc("pop"), "doc")
-        pivots = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= at_once)
-        pivots = stored(pivots.select("key", F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("place").alias("place")), "pivots")
-        met = members.join(pivots, "key").filter((F.col("doc") != F.col("b")) & (F.col("root") != F.col("root_b")))
-        pairs = stored(likely(met.select(F.col("doc").alias("a"), "b").distinct(), classes, per_cent / 100), "pairs")
-        # the first round is about many texts: dealt out in the same way at every size
-        links = stored(confirmed(pairs, texts.hint("merge") if at_once == 1 else texts, n, per_cent), "confirmed")
-        left = members.join(pivots.select("key", F.col("b").alias("doc")), ["key", "doc"], "left_anti")
+        placed = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max(at_once, 1))
+        pivots = stored(placed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pop", "root")]), "pivots")
+        met = members.join(pivots, "key").filter((F.col("doc") != F.col("doc_b")) & (F.col("root") != F.col("root_b")))
+        met = met.filter(100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b"))  # else the sizes alone refuse
+        if at_once:
+            asked = met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
+        else:  # to begin with, everyone is held against the most shared of their pivots only
+            asked = met.groupBy(F.col("doc").alias("a")).agg(F.max_by("doc_b", F.struct("pop_b", -F.col("doc_b"))).alias("b"))
+        pairs = stored(likely(asked, classes, per_cent / 100), "pairs")
+        links = stored(confirmed(pairs, texts.hint("merge") if not at_once else texts, n, per_cent), "confirmed")
+        # a pivot that its whole bucket was held against is done there
+        done = pivots.select("key", F.col("doc_b").alias("doc"))
+        left = members.join(done, ["key", "doc"], "left_anti") if at_once else members
         own = roots.select(F.col("doc").alias("d"), F.col("root").alias("r"))
         between = links.join(own.toDF("a", "root_a"), "a").join(own.toDF("b", "root_b"), "b")
         found = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
@@ -212,7 +218,7 @@ def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataF
         left = _renamed(left, found)
         open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         members = stored(left.join(open_, "key"), "members")
-        at_once *= 8
+        at_once = 8 * at_once or 1
     return roots
 
 
