@@ -18,13 +18,13 @@ def test_figures(spark):
     accuracy = QUERIES["gen_accuracy"](spark, D).first()
     assert (accuracy["correct"], accuracy["total"]) == (25, 98)
     stopped = QUERIES["early_stop"](spark, D).collect()
-    assert len(stopped) == 158
-    assert sum(r["verdict"] == "correct" for r in stopped) == 34
+    assert len(stopped) == 191
+    assert sum(r["verdict"] == "correct" for r in stopped) == 44
     funnel = {(r["role"], r["reason"]): r["n"] for r in QUERIES["sft_funnel"](spark, D).collect()}
     assert funnel == {
-        ("generator", "kept"): 50, ("generator", "no_target"): 37, ("generator", "gt_mismatch"): 47,
-        ("generator", "think_incomplete"): 24, ("verifier", "kept"): 50, ("verifier", "no_target"): 34,
-        ("verifier", "gt_mismatch"): 74,
+        ("generator", "kept"): 47, ("generator", "no_target"): 158, ("generator", "gt_mismatch"): 60,
+        ("generator", "think_incomplete"): 23, ("generator", "empty_question"): 15, ("verifier", "kept"): 66,
+        ("verifier", "no_target"): 154, ("verifier", "gt_mismatch"): 83,
     }
     assert QUERIES["sft_append_parquet"](spark, D).count() == 118
 
