@@ -3,8 +3,11 @@
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learnt
 from labelled pages: those that mark their own content with ``article`` or ``main``. One linear scan
 finds the contiguous region with the highest sum; its blocks are the text. Elements that are not
-reading matter by their name, class or id (menus, footers, forms, comments, ...) count as one tag
-each: their words neither score nor appear, also inside the region.
+reading matter by their name (menus, footers, forms, ...) count as one tag each: their words neither
+score nor appear, also inside the region. So do blocks whose whole class name, id or role says so
+(``comments``, ``nav-menu``), unless they hold most of the page's words. Where a hint is only a part of
+a name (``related-work``, ``has-sidebar``), all words stay and have a learnt weight of their own.
+An element ends where a browser ends it, also one that is never closed.
 
 The weights come from the ``LABELLED`` labelled pages with the lowest hash of their URL and id; they are
 a few numbers per kind of tag. All pages are cut where they lie, and whole.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +38,7 @@ LABELLED, COST, SMOOTH = 1_000, 5.0, 2.0
 CONTENT = frozenset("article main".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 SKIPPED = RAW | frozenset(
-    "head nav header footer aside form menu dialog button select option svg math object canvas audio video "
-    "map datalist fieldset figcaption".split()
+    "head nav header footer aside form menu dialog button select option svg canvas audio video datalist fieldset".split()
 )
 #: Words of a class, id or role that mark an element as no reading matter.
 HINTS = frozenset(
@@ -54,67 +57,121 @@ KNOWN = INLINE | CONTENT | frozenset(
     "html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre "
     "figure address br hr center details summary".split()
 )
-#: Open elements that a tag of the same kind ends.
-SELF_ENDING = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
+#: What ends an open paragraph.
+BLOCKS = (KNOWN | frozenset("nav header footer aside form menu dialog fieldset".split())) - INLINE - VOID
+#: Elements without a closing tag: what a tag of the name ends, unless one of the others was opened since.
+SELF_ENDING = {
+    "p": (("p",), ()), "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
+    "option": (("option",), ("select",)),
+}
+
+#: Elements that no hint can end up on.
+PLAIN = INLINE | VOID | CONTENT | RAW | {"html", "body"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[/]?([A-Za-z][^\s/>"'<]*)((?:[^'"<>]++|"[^"]*+"|'[^']*+'|['"])*+)>?|<[!?][^<>]*+>?""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def hinted(attributes: str) -> bool:
-    return any(w in HINTS for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def hinted(attributes: str) -> int:
+    """2 if a whole class name, id or role is made of hints, 1 if a part of one is a hint."""
+    names = [n for m in _NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    found = [[w in HINTS for w in _WORD.findall(n)] for n in names]
+    return 2 if any(x and all(x) for x in found) else int(any(map(any, found)))
 
 
-def tokens(page: str) -> list[tuple[str, str | None, bool]]:
-    """(feature, text, content) in order: text for words, None for tags; content where the page says so.
-
-    Features: ``w:block`` of words in a kind of block, ``l:block`` inside a link, ``<name>`` and ``</name>``
-    of tags, ``#`` of a skipped element.
+def parsed(page: str) -> tuple[list[tuple[str | None, bool, str]], dict[int, int]]:
+    """(name, closing, attributes) of tags and (None, False, text) of texts in order, and for each block
+    that opens the place behind its end. What lies in a raw element is left out.
     """
-    out: list[tuple[str, str | None, bool]] = []
-    at, block, link, inside = 0, "flow", False, 0
-    skip, depth = None, 0
+    parts: list[tuple[str | None, bool, str]] = []
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)
     for_raw = {}
+    at = 0
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            name, i = stack.pop()
+            places[name].pop()
+            ends[i] = len(parts)
+
     while True:
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and skip is None:
-            text = entities.unescape(page[at:end])
-            if text:
-                out.append((("l:" if link else "w:") + block, text, inside > 0))
+        if end > at and (text := entities.unescape(page[at:end])):
+            parts.append((None, False, text))
         if m is None:
-            return out
+            close(0)
+            return parts, ends
         at = m.end()
         if not m[1]:
             continue
         name, closing = m[1].lower(), page[m.start() + 1] == "/"
-        if skip is not None:
-            if name in CONTENT and not closing or name == "body":
-                skip = None
-            elif name == skip:
-                depth += -1 if closing else name not in SELF_ENDING
-                if depth <= 0 or not closing and name in SELF_ENDING:
-                    skip = None
-                if closing or skip is not None:
-                    continue
-            elif skip in SELF_ENDING and name not in INLINE and name not in VOID and not closing and name in KNOWN:
-                skip = None
-            else:
+        ended, barrier = SELF_ENDING.get(name, ((name,), ()))
+        if closing:
+            place = last((name,))
+            ends_one = place > last(barrier)
+            if ends_one:
+                close(place + 1)  # unclosed ones inside end before the tag, its own element behind it
+            parts.append((name, True, ""))
+            if ends_one:
+                close(place)
+            continue
+        if stack and stack[-1][0] == "head" and name not in RAW and name not in VOID:
+            close(len(stack) - 1)
+        if stack and stack[-1][0] == "p" and name in BLOCKS:
+            close(len(stack) - 1)
+        if name in SELF_ENDING and (place := last(ended)) > last(barrier):
+            close(place)
+        if name in RAW and not (m[2].endswith("/") and (places["svg"] or places["math"])):
+            stop = for_raw.get(name) or for_raw.setdefault(name, re.compile(rf"</{name}(?=[\s/>])", re.I))
+            found = stop.search(page, at)
+            behind = page.find(">", found.end()) if found else -1
+            at = behind + 1 if behind >= 0 else len(page)
+        elif name not in VOID and name not in INLINE:
+            places[name].append(len(stack))
+            stack.append((name, len(parts)))
+        parts.append((name, False, m[2]))
+
+
+def tokens(page: str) -> list[tuple[str, str | None, bool]]:
+    """(feature, text, content) in order: text for words, None for tags; content where the page says so.
+
+    Features: ``w:block`` of words in a kind of block, ``h:block`` inside an element with a hint in its name,
+    ``l:block`` inside a link, ``<name>`` and ``</name>`` of tags, ``#`` of a skipped element.
+    """
+    parts, ends = parsed(page)
+    words = [0, *accumulate(0 if name else len(said.split()) for name, _, said in parts)]
+    out: list[tuple[str, str | None, bool]] = []
+    block, link, inside = "flow", False, 0
+    skipped = hint_ends = 0
+    for i, (name, closing, said) in enumerate(parts):
+        if i < skipped:
+            if not (name in CONTENT and not closing or name == "body"):
                 continue
+            skipped = i
+        if name is None:
+            out.append((("l:" if link else "h:" if i < hint_ends else "w:") + block, said, inside > 0))
+            continue
         if not closing:
-            own = name in SKIPPED and not (name == "header" and inside)
-            if (own or (name not in CONTENT and name not in VOID and name not in ("html", "body") and hinted(m[2]))):
+            own, hint, end = name in SKIPPED and not (name == "header" and inside), 0, ends.get(i, i + 1)
+            if not own and said and name not in PLAIN:
+                hint = hinted(said)
+                if hint and 2 * (words[end] - words[i]) > words[-1]:
+                    hint = 0  # it holds most of the page's words
+            if own or hint == 2:
                 if not _after_skipped(out):
                     out.append(("#", None, inside > 0))
-                if name in RAW:
-                    stop = for_raw.get(name) or for_raw.setdefault(name, re.compile(rf"</{name}(?=[\s/>])", re.I))
-                    found = stop.search(page, at)
-                    close = page.find(">", found.end()) if found else -1
-                    at = close + 1 if close >= 0 else len(page)
-                elif name not in VOID:
-                    skip, depth = name, 1
+                skipped = end
                 continue
+            if hint:
+                hint_ends = max(hint_ends, end)
         feature = f"</{name}>" if closing else f"<{name}>"
         if name in CONTENT:
             inside = max(0, inside - 1) if closing else inside + 1
@@ -125,6 +182,7 @@ def tokens(page: str) -> list[tuple[str, str | None, bool]]:
             link = False
             if name not in VOID:
                 block = "flow" if closing else name if name in KNOWN else "other"
+    return out
 
 
 def _after_skipped(out: list[tuple[str, str | None, bool]]) -> bool:
@@ -164,7 +222,7 @@ def learn(pages: DataFrame, html: str, url: str, page_id: str) -> dict[str, floa
 
 def weight(feature: str, yes: int, no: int) -> float:
     share = (yes + SMOOTH / 2) / (yes + no + SMOOTH)
-    return share if feature[0] in "wl" else -COST * (1 - share)
+    return share if feature[0] in "wlh" else -COST * (1 - share)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
