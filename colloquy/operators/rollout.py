@@ -18,14 +18,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import fixed_values as V
 from colloquy.functions import prompts
 from colloquy.functions.grading import grade_reward, is_rewarded
-from colloquy.functions.messages import append, message, trim_history
+from colloquy.functions.messages import append, message, messages_of, trim_history
 from colloquy.functions.text import (
     boxed_first,
     final_verdict,
@@ -176,6 +176,16 @@ def recorded_teacher(labels: DataFrame, max_turns: int) -> Responder:
     return respond
 
 
+def keyed_teacher(labels: DataFrame) -> Responder:
+    """A teacher that answers from a table ``(uid, role, turn_index, text)``, step by step, at any turn."""
+
+    def respond(df: DataFrame, role: str, turn: int) -> DataFrame:
+        once = labels.groupBy("uid", "role", "turn_index").agg(F.max("text").alias("text"))
+        return df.join(once, ["uid", "role", "turn_index"], "left")
+
+    return respond
+
+
 # ---- phases ------------------------------------------------------------------------------------
 
 
@@ -306,6 +316,67 @@ def episodes_of(state: DataFrame, protocol: Protocol = JUDGED, grader=grade_rewa
     )
 
 
+def steps_of_turns(turns: DataFrame, protocol: Protocol = JUDGED, grader=grade_reward, block: int = 64) -> DataFrame:
+    """The steps table of recorded turns ``(uid, question, ground_truth, turn_index, generator, verifier)``.
+
+    Turns count from 0 without a gap, and each is a step of either role: no limit, no early stop, and
+    ``is_correct`` is NULL. The history limits bound what a step's contexts show, so a step needs the
+    turns just before it only: an episode is cut into blocks, each with copies of those before it.
+    """
+    depth = max(V.ROLLOUT_HISTORY_LIMIT, V.TRAINING_HISTORY_LIMIT) // 2
+    home = F.expr(f"turn_index div {block}")
+    blocks = F.when(F.col("turn_index") % block >= block - depth, F.array(home, home + 1)).otherwise(F.array(home))
+    said = lambda name: py_strip(F.coalesce(F.col(name), F.lit(""))).alias(name)
+    near = Window.partitionBy("uid", "__block").orderBy("turn_index").rowsBetween(-depth, 0)
+    seen = (
+        turns.select(
+            "uid", F.coalesce("question", F.lit("")).alias("question"), "ground_truth", "turn_index",
+            said("generator"), said("verifier"), F.explode(blocks).alias("__block"),
+        )
+        .withColumn("__turns", F.collect_list(F.struct("turn_index", "generator", "verifier")).over(near))
+        .filter(F.col("__block") == home)
+    )
+    question, seen_turns = F.col("question"), F.col("__turns")
+    ask = lambda x: protocol.ask(question, x["generator"])
+
+    def fed(x: Column, i: Column) -> Column:
+        before = F.get(seen_turns, i - 1)
+        return F.when(x["turn_index"] == 0, question).otherwise(protocol.feed_back(question, before["verifier"], ask(before)))
+
+    def history(opening: Column, asks, answers: str) -> Column:
+        talk = F.transform(seen_turns, lambda x, i: messages_of(message("user", asks(x, i)), message("assistant", x[answers])))
+        known = F.when(F.get(seen_turns, F.lit(0))["turn_index"] == 0, talk).otherwise(F.slice(talk, 2, depth))
+        return F.concat(F.slice(opening, 1, 1), F.flatten(known))
+
+    each = seen.withColumn("role", F.explode(F.array(F.lit("generator"), F.lit("verifier"))))
+    verifies = F.col("role") == "verifier"
+    whole = F.when(
+        verifies, history(prompts.verifier_opening(protocol.verifier_system), lambda x, i: ask(x), "verifier")
+    ).otherwise(history(prompts.generator_opening(question), fed, "generator"))
+    up_to_now = F.col("__history")
+    context = trim_history(up_to_now, V.TRAINING_HISTORY_LIMIT)
+    public = strip_think if protocol.hides_reasoning else (lambda c: c)
+    if not protocol.hides_reasoning:
+        context = F.when(verifies, F.slice(up_to_now, -2, 2)).otherwise(context)
+    none = F.lit(None).cast("string")
+    return each.withColumns(
+        {"__history": whole, "student_response_raw": F.when(verifies, F.col("verifier")).otherwise(F.col("generator"))}
+    ).withColumns(
+        {
+            "is_correct": F.lit(None).cast("boolean"),
+            "chat_completions": context,
+            "teacher_prompt": trim_history(F.slice(up_to_now, F.lit(1), F.size(up_to_now) - 1), V.ROLLOUT_HISTORY_LIMIT),
+            "student_response": public(F.col("student_response_raw")),
+            "generator_message": F.when(verifies, public(F.col("generator"))),
+            "generator_message_raw": F.when(verifies, F.col("generator")),
+            "reward": F.when(verifies, grader(F.col("generator"), F.col("ground_truth"))),
+            "teacher_status": none,
+            "teacher_justification": none,
+            "teacher_target": none,
+        }
+    ).select(*STEP_COLUMNS)
+
+
 def steps_of(state: DataFrame, protocol: Protocol = JUDGED, grader=grade_reward) -> DataFrame:
     """The steps table: one row per (uid, role, turn_index), unlabelled.
 

@@ -3,6 +3,7 @@
 from colloquy.plans import (  # noqa: F401
     dialogue_queries,
     episode_queries,
+    recorded_queries,
     row_queries,
     sampling_queries,
     store_queries,
