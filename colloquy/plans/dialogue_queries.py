@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from colloquy import fixed_values as V
+from colloquy.functions import coerce, messages
 from colloquy.operators import dialogues
+from colloquy.plans import sqltext as Q
 from colloquy.plans.registry import query
 from colloquy.plans.views import v_messages, with_views
 
@@ -70,3 +73,46 @@ def coerce_question_rows(spark, d):
     return v_messages(spark, d).groupBy("conv_id").agg(
         F.min_by(F.when(asked, c("content")), F.when(asked, c("pos"))).alias("question")
     )
+
+
+_USERISH = f"lower(role) IN ({', '.join(Q.lit(r) for r in V.USER_ROLES)})"
+
+
+@query("question_text_rows", with_views("v_messages", f"""
+SELECT conv_id, coalesce(max_by(content, pos) FILTER (WHERE content <> '' AND {_USERISH}),
+  max_by(content, pos) FILTER (WHERE content <> ''), '') AS question FROM v_messages GROUP BY conv_id"""))
+def question_text_rows(spark, d):
+    """The last thing a user said, else the last that anyone said, over the whole conversation."""
+    said = coerce.has_text(c("content"))
+    last = lambda cond: F.max_by(F.when(cond, c("content")), F.when(cond, c("pos")))
+    return v_messages(spark, d).groupBy("conv_id").agg(
+        F.coalesce(last(said & coerce.is_userish(c("role"))), last(said), F.lit("")).alias("question")
+    )
+
+
+_DEEP = [
+    "CASE conv_id % 5 WHEN 0 THEN 'g' || CAST(conv_id AS STRING) WHEN 1 THEN '' ELSE NULL END AS ground_truth",
+    "CASE conv_id % 7 WHEN 0 THEN 'so ' || chr(92) || 'boxed{1}' WHEN 1 THEN '' ELSE NULL END AS solution",
+    "CASE conv_id % 2 WHEN 0 THEN 'n' || CAST(conv_id AS STRING) ELSE '' END AS nested_answer",
+    "'x' || CAST(conv_id AS STRING) AS nested_label",
+    # every third conversation's text ends in a box
+    """CASE WHEN conv_id % 3 = 1 AND first <> '' THEN first || ' ' || chr(92) || 'boxed{' || chr(92) || 'frac{1}{' || CAST(conv_id AS STRING) || '}}'
+  ELSE first END AS said""",
+]
+
+
+@query("coerce_ground_truth_deep_rows", with_views("v_messages", f"""
+SELECT conv_id, coalesce(nullif(ground_truth, ''), nullif(solution, ''), {Q.boxed_last('said')}, nullif(said, ''),
+  nullif(nested_answer, ''), nested_label) AS truth
+FROM (SELECT conv_id, {', '.join(_DEEP)} FROM (
+  SELECT conv_id, (min_by({{'c': content}}, pos) FILTER (WHERE role = 'assistant')).c AS first FROM v_messages GROUP BY conv_id) f) s"""))
+def coerce_ground_truth_deep_rows(spark, d):
+    """The first assistant message of the whole conversation stands for its messages."""
+    spoke = c("role") == "assistant"
+    first = F.min_by(F.when(spoke, F.struct("content")), F.when(spoke, c("pos")))
+    found = v_messages(spark, d).groupBy("conv_id").agg(first["content"].alias("first"))
+    rows = found.selectExpr("conv_id", *_DEEP)
+    nested = F.struct(c("nested_answer").alias("answer"), c("nested_label").alias("label"))
+    said = messages.messages_of(messages.message("assistant", c("said")))
+    raw = rows.select("conv_id", "ground_truth", "solution", said.alias("messages"), nested.alias("content"))
+    return coerce.with_question_and_truth(raw, "views").select("conv_id", c("ground_truth").alias("truth"))

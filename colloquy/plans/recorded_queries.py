@@ -1,12 +1,16 @@
-"""Queries over all recorded steps of conversations of any length: labels, counts, funnel."""
+"""Queries over all recorded steps of conversations of any length: labels, counts, funnel, training rows."""
 
 from pyspark.sql import functions as F
 
+from colloquy.functions import hashing
 from colloquy.operators import metrics, rollout, sft
 from colloquy.operators.relabel import relabel
-from colloquy.plans.episode_queries import _FUNNEL_REASON, _said, _uid, recorded_targets
+from colloquy.plans import sqltext as Q
+from colloquy.plans.episode_queries import _FUNNEL_REASON, _SYS, _VSYS, _said, _uid, recorded_targets
 from colloquy.plans.registry import query
-from colloquy.plans.views import v_steps, v_tasks, with_views
+from colloquy.plans.views import as_json, v_steps, v_tasks, with_views
+from colloquy.session import new_folder
+from colloquy.sources import datasets
 
 c = F.col
 
@@ -51,3 +55,45 @@ SELECT role, {_FUNNEL_REASON} AS reason, count(*) AS n, 0::BIGINT AS without_gro
 def sft_funnel_rows(spark, d):
     """Every recorded step by the reason that decides on it."""
     return sft.funnel(sft.judged_candidates(labelled_rows(spark, d)))
+
+
+# the last eight messages before a target are the last four turns
+_TRAINING = {
+    **_TURNS,
+    "fed": f"""SELECT *, {Q.verify_shown('question', 'g')} AS ask, CASE WHEN turn_index = 0 THEN question
+  ELSE {Q.regenerate('question', Q.strip_think('pv'))} END AS user_turn
+FROM (SELECT *, lag(v) OVER (PARTITION BY uid ORDER BY turn_index) AS pv FROM turns) x""",
+    "talks": f"""SELECT *, list([{Q.msg('user', 'user_turn')}, {Q.msg('assistant', 'g')}]) OVER near AS gl,
+  list([{Q.msg('user', 'ask')}, {Q.msg('assistant', 'v')}]) OVER near AS vl
+FROM fed WINDOW near AS (PARTITION BY uid ORDER BY turn_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
+    "said": f"""SELECT uid, question, ground_truth, 'generator' AS role, turn_index, g AS raw, NULL AS gen_raw, gt AS target,
+  list_concat([{_SYS}], flatten(gl)[:-2]) AS context FROM talks
+UNION ALL SELECT uid, question, ground_truth, 'verifier', turn_index, v, g, vt, list_concat([{_VSYS}], flatten(vl)[:-2]) FROM talks""",
+    "rows": f"""SELECT uid, role, turn_index, list_concat(context, [{Q.msg('assistant', 'target')}]) AS messages
+FROM said WHERE {_FUNNEL_REASON} = 'kept'""",
+}
+
+
+def training_rows(spark, d):
+    """Training rows of all recorded steps, each bounded by the training history limit."""
+    return sft.judged_rows(labelled_rows(spark, d))
+
+
+@query("message_hash_rows", with_views(["v_steps", "v_tasks"], f"""
+SELECT uid, role, turn_index, sha1({Q.canonical('messages')}) AS msg_hash, length({Q.canonical('messages')}) AS canonical_length
+FROM rows""", _TRAINING))
+def message_hash_rows(spark, d):
+    return training_rows(spark, d).select(
+        "uid", "role", "turn_index", "msg_hash",
+        F.length(hashing.canonical_messages(c("messages"))).cast("bigint").alias("canonical_length"),
+    )
+
+
+@query("jsonl_to_parquet_rows", with_views(["v_steps", "v_tasks"], f"""
+SELECT uid, role, turn_index, {Q.text_json('messages')} AS messages FROM rows""", _TRAINING))
+def jsonl_to_parquet_rows(spark, d):
+    path = f"{new_folder(spark, 'sft-rows')}.jsonl"
+    training_rows(spark, d).select(as_json(F.struct("uid", "role", "turn_index", "messages")).alias("value")).write.text(path)
+    columns = "uid string, role string, turn_index bigint"
+    out = datasets.jsonl_for_training(spark, path, new_folder(spark, "training-rows"), columns=columns)
+    return spark.read.parquet(out).select("uid", "role", "turn_index", as_json(c("messages")).alias("messages"))

@@ -51,3 +51,12 @@ def test_contexts_are_those_of_a_rollout(spark, long):
         got = rollout.steps_of_turns(turns, protocol, block=8).drop("is_correct").select(*want.columns)
         key = lambda r: (r["uid"], r["role"], r["turn_index"])
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["message_hash_rows", "jsonl_to_parquet_rows", "question_text_rows", "coerce_ground_truth_deep_rows"])
+def test_no_pieces(spark, long, monkeypatch, name):
+    monkeypatch.setattr(ordinals, "BLOCK_WIDTH", 32)
+    got = QUERIES[name](spark, long)
+    check(got, connect(long, ["conversations"]), ORACLE[name])
+    if "conv_id" in got.columns:
+        assert got.count() == got.select("conv_id").distinct().count()
