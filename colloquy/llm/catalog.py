@@ -1,6 +1,7 @@
 """All queries of this package."""
 
 from colloquy.llm import (  # noqa: F401
+    alignment,
     decontamination,
     extraction,
     neardup,

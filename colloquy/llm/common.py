@@ -33,6 +33,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes, such as a tokenizer's, from any path or URI that Spark can read."""
+    uri = path if "://" in path else f"file://{path}"
+    return bytes(spark.read.format("binaryFile").load(uri).select("content").first()["content"])
+
+
 def by_chunks(
     df: DataFrame,
     make: Callable[[list[dict]], list[dict]] | Callable,
