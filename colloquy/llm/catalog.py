@@ -6,9 +6,11 @@ from colloquy.llm import (  # noqa: F401
     extraction,
     neardup,
     pii,
+    prefix_trie,
     quality,
     recompression,
     segmentation,
+    simhash,
     topk,
     url_rules,
     warc,

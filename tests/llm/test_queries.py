@@ -12,8 +12,8 @@ def con():
     return connect(f"{DATA}/sf0.01", TABLES)
 
 
-def test_ten_operators():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
