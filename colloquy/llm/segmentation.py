@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,9 @@ from colloquy.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Paths drawn, added to a merge rank, and characters of text worked on at once.
-K, OFFSET, CHUNK = 2, 10, 3 << 20
+K, OFFSET, CHUNK = 2, 10, 1 << 19
+#: Letters of the words whose lattices a task remembers; words of more letters are cut where no piece lies across.
+REMEMBERED, LONG = 3 << 18, 64
 #: Paths of a word that may be listed where draws keep meeting barred ones; words with more are drawn on.
 LISTED = 4096
 
@@ -116,6 +119,10 @@ class Lattice:
         text = np.flatnonzero(vocabulary.kinds == 0)
         self.longest = max(len(vocabulary.pieces[i]) for i in text)
         self.weights, self.byte_ids = vocabulary.weights, vocabulary.byte_ids
+        self.logs = np.log(self.weights)
+        self.found_weights = self.weights.copy()
+        self.found_weights[0] = 0.0  # no piece
+        self.wide = -(-self.longest // 8) * 8  # columns of a lattice's rows
         self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.longest, _BASE)]))
         length = np.array([len(p) if k == 0 else 0 for p, k in zip(vocabulary.pieces, vocabulary.kinds)])
         codes = np.array([list(map(ord, p[: self.longest].ljust(self.longest))) for p in vocabulary.pieces], np.uint64)
@@ -153,8 +160,8 @@ class Words:
         self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         letters = mixed(self.codes.astype(np.uint64))
         rows, span = len(letters), min(lattice.longest, int(lengths.max(initial=1)))
-        self.share = np.ones((rows, span), np.float32)  # cumulated over the length of the last piece
-        self.piece = np.zeros((rows, span), np.uint16 if len(lattice.key) < 1 << 16 else np.int32)
+        self.share = np.ones((rows, lattice.wide), np.float32)  # cumulated over the length of the last piece
+        self.piece = np.zeros((rows, lattice.wide), np.uint16 if len(lattice.key) < 1 << 16 else np.int32)
         self.total = np.zeros(len(words))  # logarithm of the sum over all paths
         self.many = np.ones(len(words))  # how many paths there are
         ways = np.zeros((len(words), span))
@@ -173,8 +180,7 @@ class Words:
             prefix[:n, 0] = prefix[:n, 1] * _BASE + letters[at]
             keys = prefix[:n, :1] - prefix[:n, 1 : wide + 1] * lattice.powers[1 : wide + 1]
             found = lattice.find(keys.ravel()).reshape(n, wide)
-            p = lattice.weights[found]
-            p[found == 0] = 0.0
+            p = lattice.found_weights[found]
             bare = np.flatnonzero(found[:, 0] == 0)
             p[bare, 0] = self.bytes_weight(self.codes[at[bare]])
             with np.errstate(over="ignore", invalid="ignore"):
@@ -205,7 +211,7 @@ class Words:
                 out.append((min(log, 0.0), name, np.array(tail, np.int32)))
                 continue
             at = first + end - 1
-            for size in range(1, min(end, self.piece.shape[1]) + 1):
+            for size in range(1, min(end, self.lattice.longest) + 1):
                 piece = int(self.piece[at, size - 1])
                 if piece:
                     ids, p = [piece], self.lattice.weights[piece]
@@ -220,31 +226,110 @@ class Words:
     def draw(self, word: np.ndarray, key: np.ndarray) -> Paths:
         """A path for each entry of ``word``, by hashes of ``key``; backwards from the word's end."""
         n = len(word)
-        at = self.offset[word] + self.length[word] - 1
-        left = self.length[word].copy()
-        log = -self.total[word]
-        name = np.zeros(n, np.uint64)
-        steps, live, step = [], np.arange(n), np.uint64(0)
+        order = np.argsort(word)  # entries of one word read the same rows, one after the other
+        at = (self.offset + self.length - 1)[word[order]]
+        left, keys = self.length[word[order]], key[order]
+        sums, names = -self.total[word[order]], np.zeros(n, np.uint64)
+        steps, live, step = [], order, np.uint64(0)
+        log, name = np.empty(n), np.empty(n, np.uint64)
         while len(live):
-            u = uniform(key[live] + step * _BASE).astype(np.float32)
-            rows = at[live]
-            size = 1 + (self.share[rows] <= u[:, None]).sum(axis=1)
-            size = np.minimum(size, np.minimum(left[live], self.share.shape[1]))
-            piece = self.piece[rows, size - 1].astype(np.int64)
-            code = self.codes[rows]
-            piece[piece == 0] = -code[piece == 0].astype(np.int64) - 1
-            p = self.lattice.weights[np.maximum(piece, 0)]
-            p[piece < 0] = self.bytes_weight(code[piece < 0])
-            log[live] += np.log(p)
-            name[live] = name[live] * _BASE + size.astype(np.uint64)
+            u = uniform(keys + step * _BASE).astype(np.float32)
+            below = (self.share[at] <= u[:, None]).view(np.uint64)  # eight columns in one number
+            size = 1 + np.bitwise_count(below).sum(axis=1, dtype=np.int64)
+            size = np.minimum(size, np.minimum(left, self.lattice.longest))
+            piece = self.piece[at, size - 1].astype(np.int64)
+            p = self.lattice.logs[piece]
+            bare = np.flatnonzero(piece == 0)
+            if len(bare):
+                code = self.codes[at[bare]]
+                piece[bare] = -code.astype(np.int64) - 1
+                p[bare] = np.log(self.bytes_weight(code))
+            sums += p
+            names = names * _BASE + size.astype(np.uint64)
             steps.append((live, piece))
-            at[live] -= size
-            left[live] -= size
-            live = live[left[live] > 0]
+            at, left = at - size, left - size
+            done, more = np.flatnonzero(left == 0), np.flatnonzero(left)
+            log[live[done]], name[live[done]] = sums[done], names[done]
+            live, at, left, keys, sums, names = (x[more] for x in (live, at, left, keys, sums, names))
             step += np.uint64(1)
         return Paths(np.minimum(log, 0.0), name, steps)
 
 
+class Memory(Words):
+    """Lattices of a chunk's words, and before them those of words to remember: met twice, up to ``REMEMBERED`` letters."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.known: dict[str, int] = {}  # of words to remember
+        self.held = 0  # their letters
+        self.seen = np.zeros(1 << 22, bool)  # places of words met in chunks before
+        self._room(REMEMBERED)
+        self.offset, self.length, self.total, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def _room(self, letters: int) -> None:
+        old = (self.share, self.piece, self.codes) if self.held else ()
+        self.share = np.empty((letters, self.lattice.wide), np.float32)
+        self.piece = np.empty((letters, self.lattice.wide), np.uint16 if len(self.lattice.key) < 1 << 16 else np.int32)
+        self.codes = np.empty(letters, np.uint32)
+        for new, kept in zip((self.share, self.piece, self.codes), old):
+            new[: self.held] = kept[: self.held]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of every word; lattices are built of those not remembered."""
+        n = len(self.known)
+        new = list(set(words).difference(self.known))
+        self.known.update(zip(new, range(n, n + len(new))))
+        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for w in new:
+            del self.known[w]
+        # words met twice come first, so that remembering them moves nothing
+        mark = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.seen) - 1)
+        often = (np.bincount(out, minlength=n + len(new))[n:] > 1) | self.seen[mark]
+        self.seen[mark] = True
+        order = np.argsort(~often, kind="stable")
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        out[out >= n] = n + place[out[out >= n] - n]
+        new = [new[i] for i in order]
+        built = Words(new, self.lattice)
+        letters = len(built.codes)
+        if self.held + letters > len(self.codes):
+            self._room(self.held + letters * 5 // 4)
+        at = slice(self.held, self.held + letters)
+        self.share[at], self.piece[at], self.codes[at] = built.share, built.piece, built.codes
+        more = {"offset": built.offset + self.held, "length": built.length, "total": built.total, "many": built.many}
+        for name, values in more.items():
+            setattr(self, name, np.concatenate([getattr(self, name)[:n], values]))
+        ends = self.held + np.cumsum(built.length)
+        kept = min(int(often.sum()), int(np.searchsorted(ends, REMEMBERED, "right")))
+        if kept:
+            self.known.update(zip(new[:kept], range(n, n + kept)))
+            self.held = int(ends[kept - 1])
+        return out
+
+
+def words_of(text: str, lattice: Lattice) -> list[str]:
+    """The words of a text and the blank before it; long ones cut wherever no piece of several letters lies across."""
+    words = _WORD.findall(" " + text)
+    if max(map(len, words)) <= LONG:
+        return words
+    return [part for w in words for part in (_parts(w, lattice) if len(w) > LONG else [w])]
+
+
+def _parts(word: str, lattice: Lattice) -> list[str]:
+    letters = mixed(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    covered = np.zeros(len(word) + 1, np.int64)  # +1 and -1 where pieces begin to lie across a cut, and end
+    key = letters.copy()
+    for size in range(2, min(lattice.longest, len(word)) + 1):
+        key = key[:-1] * _BASE + letters[size - 1 :]
+        at = np.flatnonzero(lattice.find(key))
+        np.add.at(covered, at + 1, 1)
+        np.add.at(covered, at + size, -1)
+    cuts = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
+    ends = np.concatenate([cuts[cuts > 0], [len(word)]]).tolist()
+    return [word[a:b] for a, b in zip([0, *ends], ends)]
+
+
 @dataclass
 class Paths:
     """Log-probability and name of each path; its pieces in steps from the back."""
@@ -312,21 +397,19 @@ class Search:
         return value, m, int(np.argmax(self.paths[m]["bound"])) + self.paths[m]["start"] if value > -np.inf else -1
 
 
-def sampled(texts: list[str], keys: np.ndarray, k: int, lattice: Lattice) -> list[list[dict]]:
+def sampled(texts: list[str], keys: np.ndarray, k: int, lattice: Lattice, memory: Memory | None = None) -> list[list[dict]]:
     """For each text, its paths as dicts of ``ids, log_prob, perturbed, inclusion``."""
     with np.errstate(over="ignore"):  # hashes wrap around
-        return _sampled(texts, keys, k, lattice)
+        return _sampled(texts, keys, k, memory or Memory(lattice))
 
 
-def _sampled(texts: list[str], keys: np.ndarray, k: int, lattice: Lattice) -> list[list[dict]]:
-    split = [_WORD.findall(" " + t) for t in texts]
+def _sampled(texts: list[str], keys: np.ndarray, k: int, words: Memory) -> list[list[dict]]:
+    lattice = words.lattice
+    split = [words_of(t, lattice) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    flat = [w for s in split for w in s]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    code = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
-    del split, flat
-    words = Words(list(distinct), lattice)
+    code = words.numbers(list(chain.from_iterable(split)))
+    del split
     inner = np.arange(first[-1]) - np.repeat(first[:-1], sizes)
     lane = mixed(np.repeat(keys, sizes) ^ mixed(inner.astype(np.uint64)))  # a stream of its own for each word of a text
 
@@ -336,12 +419,23 @@ def _sampled(texts: list[str], keys: np.ndarray, k: int, lattice: Lattice) -> li
         return paths.log, paths.name, ids, count, np.concatenate([[0], np.cumsum(count)])
 
     log, name, ids, count, at = drawn(np.arange(first[-1]), 0)
+    # the first paths of all texts at once, as ``emit`` takes one
+    before = np.zeros(first[-1])
+    for a, b in zip(first[:-1], first[1:]):
+        np.cumsum(log[a : b - 1], out=before[a + 1 : b])
+    many = words.many[code]
+    u = uniform(keys)
+    values = -np.log(-np.log(u))
+    with np.errstate(divide="ignore"):
+        weight = before + np.log1p(-np.minimum(np.exp(log), 1.0))
+        weight[many <= 1] = -np.inf
+        u = uniform(np.repeat(keys + _BASE, sizes) + inner.astype(np.uint64) * _MIX)
+        bound = -np.logaddexp(-np.repeat(values, sizes), -(weight - np.log(-np.log(u))))
     runs = []
-    for d in range(len(texts)):
-        a, b = first[d], first[d + 1]
-        run = Search(keys[d], int(a), words.many[code[a:b]])
-        u = uniform(keys[d : d + 1])[0]
-        run.emit(log[a:b], name[a:b], -np.log(-np.log(u)), 0, [], 0.0, ids[at[a] : at[b]], count[a:b])
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        run = Search(keys[d], a, many[a:b])
+        path = {"log": log[a:b], "name": name[a:b], "value": values[d], "start": 0, "barred": [name[a]], "mass": float(np.exp(log[a]))}
+        run.paths.append(path | {"bound": bound[a:b], "ids": ids[at[a] : at[b]], "count": count[a:b]})
         runs.append(run)
     for turn in range(1, k):
         picked = [(r, *r.best()) for r in runs]
@@ -430,10 +524,10 @@ def sample(docs: DataFrame, doc_id: str, text: str, vocabulary: Vocabulary, k: i
     held: dict = {}
 
     def make(rows: list[dict]) -> dict:
-        if "lattice" not in held:
-            held["lattice"] = Lattice(vocabulary)
+        if "memory" not in held:
+            held["memory"] = Memory(Lattice(vocabulary))
         keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-        found = sampled([r["text"] or "" for r in rows], mixed(keys), k, held["lattice"])
+        found = sampled([r["text"] or "" for r in rows], mixed(keys), k, held["memory"].lattice, held["memory"])
         made = [row(r["doc_id"], r["text"] or "", rank, p) for r, some in zip(rows, found) for rank, p in enumerate(some, 1)]
         return {f.name: [m[i] for m in made] for i, f in enumerate(fields)}
 
@@ -444,7 +538,7 @@ def encoded(docs: DataFrame, doc_id="doc_id", text="text", k: int = K, model: st
     """``doc_id, rank, ids, log_prob, perturbed, inclusion`` of the k paths of every document."""
 
     def row(key, _, rank, p):
-        return key, rank, p["ids"].tolist(), p["log_prob"], p["perturbed"], p["inclusion"]
+        return key, rank, p["ids"], p["log_prob"], p["perturbed"], p["inclusion"]
 
     schema = "rank int, ids array<int>, log_prob double, perturbed double, inclusion double"
     return sample(docs, doc_id, text, Vocabulary.load(model), k, schema, row)
