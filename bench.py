@@ -18,9 +18,9 @@ from colloquy.session import build_session
 
 HEADLINE = [
     "verdict", "strip_think", "boxed_last", "grade_answers", "gen_accuracy", "normalize_messages",
-    "fit_token_budget", "truncate_tail", "message_hash", "distinct_messages", "sft_append_parquet",
+    "fit_token_budget_rows", "truncate_tail_rows", "message_hash_rows", "distinct_messages", "sft_append_parquet",
     "sft_new_only", "sample_random", "sample_sequential", "round_batches", "request_batches",
-    "replay_pag", "replay_dagger", "sft_build_pag", "sft_funnel", "transcripts", "rollout_pag",
+    "replay_pag", "replay_dagger", "sft_build_pag", "sft_funnel_rows", "transcripts", "rollout_pag",
     "dagger_round", "stream_sft_ingest",
 ]
 

@@ -26,6 +26,11 @@ def first_user_content(messages: Column) -> Column:
     return _first_content(messages, lambda m: (F.lower(m["role"]) == "user") & (m["content"] != ""))
 
 
+def first_user_value(messages: Column) -> Column:
+    """The first user message's content of any type, if it has one."""
+    return _first_content(messages, lambda m: (F.lower(m["role"]) == "user") & m["content"].isNotNull())
+
+
 def first_assistant_content(messages: Column) -> Column:
     """Content of the first assistant message, which may be empty or NULL."""
     return _first_content(messages, lambda m: m["role"] == "assistant")
@@ -114,18 +119,35 @@ def question_from_variant(value: Column) -> Column:
     return bind(F.struct(variant_kind(value).alias("kind"), value.alias("v")), question)
 
 
+def question_text(value: Column, kind: T.DataType) -> Column:
+    """Question text of a column of any type: text as it is, strings, messages, objects or lists of them."""
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.when(value.isNotNull(), question_from_strings(value))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), question_from_variant(F.parse_json(F.to_json(value))))
+    if isinstance(kind, T.VariantType):
+        return F.when(value.isNotNull(), question_from_variant(value))
+    return value.cast("string")
+
+
 # ---- rows with open schemas ----------------------------------------------------------------
 
 
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """Text of a value; lists and objects as JSON."""
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+    return F.to_json(value) if nested else value.cast("string")
+
+
 def _truth_columns(df: DataFrame) -> list[Column]:
-    return [F.col(k).cast("string") for k in V.GROUND_TRUTH_KEYS if k in df.columns]
+    return [_as_text(F.col(k), df.schema[k].dataType) for k in V.GROUND_TRUTH_KEYS if k in df.columns]
 
 
 def _nested_truth_columns(df: DataFrame) -> list[Column]:
     """The same keys inside a ``content`` column, a struct or a variant."""
     kind = df.schema["content"].dataType if "content" in df.columns else None
     if isinstance(kind, T.StructType):
-        return [F.col("content")[k].cast("string") for k in V.GROUND_TRUTH_KEYS if k in kind.names]
+        return [_as_text(F.col("content")[k], kind[k].dataType) for k in V.GROUND_TRUTH_KEYS if k in kind.names]
     if isinstance(kind, T.VariantType):
         return [F.try_variant_get("content", f"$.{k}", "string") for k in V.GROUND_TRUTH_KEYS]
     return []
@@ -140,14 +162,18 @@ def with_question_and_truth(df: DataFrame, data_source: str, accept_question: bo
     from colloquy.functions.messages import no_messages
 
     have = {f.name: f.dataType for f in df.schema.fields}
-    text = lambda k: F.col(k).cast("string") if k in have else F.lit(None).cast("string")
-    is_chat = (
-        isinstance(have.get("messages"), T.ArrayType)
-        and isinstance(have["messages"].elementType, T.StructType)
-        and {"role", "content"} <= set(have["messages"].elementType.names)
-    )
-    messages = F.col("messages") if is_chat else no_messages()
+    text = lambda k: question_text(F.col(k), have[k]) if k in have else F.lit(None).cast("string")
+    listed = have.get("messages")
+    item = listed.elementType if isinstance(listed, T.ArrayType) else None
+    is_chat = isinstance(item, T.StructType) and {"role", "content"} <= set(item.names)
+    messages, asked = (F.col("messages"), None) if is_chat else (no_messages(), None)
+    if is_chat and not isinstance(item["content"].dataType, T.StringType):
+        asked = question_text(first_user_value(messages), item["content"].dataType)
+        said = lambda m: F.struct(m["role"].alias("role"), _as_text(m["content"], item["content"].dataType).alias("content"))
+        messages = F.transform(messages, said)
     question = coerce_question(text("problem"), messages)
+    if asked is not None:
+        question = F.when(py_strip(text("problem")) != "", text("problem")).otherwise(asked)
     if accept_question:
         question = F.coalesce(question, question_or_query(text("question"), text("query")))
     none = [F.lit(None).cast("string")]

@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import Files
-
 BLOCK_WIDTH = 1 << 16
 HISTOGRAM_BUCKETS = 1 << 16
 
@@ -173,35 +171,30 @@ def scaled_bucket(offset: Column, size: int) -> Column:
     return F.floor(offset / F.lit(-(-max(size, 1) // HISTOGRAM_BUCKETS))).cast("int")
 
 
-SERIAL = "__serial"
+#: columns that tell where a row was read: its file, the block of the file, a number that ascends within the block
+PLACE = ["__file", "__block", "__seq"]
+#: blocks whose offsets are broadcast, about 100 bytes each
+BROADCAST_BLOCKS = 1 << 17
 
 
-def write_indexed(df: DataFrame, folder: str, out: str = "source_idx") -> None:
-    """Write rows with a dense index from 0 as a stored column, in index order within files.
+def write_indexed(rows: DataFrame, folder: str, out: str = "source_idx") -> None:
+    """Write rows with a dense index from 0 as a stored column, in the order of the files they were read from.
 
-    The rows are staged once with their task's serial number, so a recomputed task
-    cannot change them; the offsets between tasks have one row per task.  Storing the
-    index lets later scans skip row groups by it.
+    The rows have the columns ``PLACE`` of a scan, numbered without gaps within a block. Counting them reads no other
+    column (of Parquet, only footers); the offsets between blocks have one row per block, or per file of Parquet. Each
+    row is written once. Storing the index lets later scans skip row groups by it.
     """
-    spark = df.sparkSession
-    staged = f"{folder}/staged"
-    df.withColumn(SERIAL, F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
-    part = F.shiftright(F.col(SERIAL), 33)
-    rows = spark.read.parquet(staged).withColumn("__part", part)
-    counted = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    up_to_here = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counted.select("__part", (F.sum("__n").over(up_to_here) - F.col("__n")).alias("__start"))
-    starts.write.mode("overwrite").parquet(f"{folder}/starts")
-    own = F.col(SERIAL).bitwiseAND(F.lit((1 << 33) - 1))
-    # no hint: Spark broadcasts the offsets while their file is small, else it shuffles
-    (
-        rows.join(spark.read.parquet(f"{folder}/starts"), "__part")
-        .withColumn(out, F.col("__start") + own)
-        .drop("__part", "__start", SERIAL)
-        .write.mode("overwrite")
-        .parquet(f"{folder}/rows")
-    )
-    Files(spark, folder).delete(staged)
+    file, block, seq = PLACE
+    counted = rows.groupBy(file, block).agg(F.count(F.lit(1)).alias("__n"), F.min(seq).alias("__first"))
+    up_to_here = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = (F.sum("__n").over(up_to_here) - F.col("__n") - F.col("__first")).alias("__start")
+    counted.select(file, block, start).write.mode("overwrite").parquet(f"{folder}/starts")
+    starts = rows.sparkSession.read.parquet(f"{folder}/starts")
+    few = starts.count() <= BROADCAST_BLOCKS
+    placed = rows.join(F.broadcast(starts) if few else starts, [file, block])
+    indexed = placed.withColumn(out, F.col("__start") + F.col(seq)).drop(*PLACE, "__start")
+    # beside a broadcast, rows stay in the order they are read in
+    (indexed if few else indexed.sortWithinPartitions(out)).write.mode("overwrite").parquet(f"{folder}/rows")
 
 
 def read_indexed(spark: SparkSession, folder: str) -> DataFrame:

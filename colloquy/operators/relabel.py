@@ -10,7 +10,7 @@ from colloquy.functions.grading import missing
 from colloquy.functions.messages import clean_context
 from colloquy.functions.text import py_strip
 from colloquy.operators.rollout import Responder
-from colloquy.session import new_folder, write_once
+from colloquy.session import content_mark, new_folder, write_once
 
 #: which roles a collection setting labels
 LABELLED_ROLES = {
@@ -27,12 +27,14 @@ def relabel(
     collect_for: str = "both",
     materialise: bool = True,
     folder: str | None = None,
+    made_by: object = None,
 ) -> DataFrame:
     """Fill in teacher targets where a wanted step has none and its prompt is usable.
 
     The teacher is a responder like the students, so rows carry their key through the
     call and nothing is joined.  With ``materialise`` the labelled table is written once; one found
-    complete in ``folder`` is used as it is.
+    complete in ``folder`` is used as it is if it was made of the same steps: ``made_by`` tells them apart,
+    without it their content does.
     """
     roles = LABELLED_ROLES[collect_for]
     if not roles:
@@ -54,5 +56,7 @@ def relabel(
     ).select(*steps.columns)
     if not materialise:
         return labelled
-    folder = folder or new_folder(steps.sparkSession, "relabel")
-    return write_once(labelled, folder, collect_for)
+    if folder is None:
+        return write_once(labelled, new_folder(steps.sparkSession, "relabel"))
+    made_by = made_by or content_mark(steps, "uid", "role", "turn_index", "student_response_raw")
+    return write_once(labelled, folder, (collect_for, made_by))

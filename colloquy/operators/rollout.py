@@ -14,9 +14,10 @@ episode, and the generator's next user turn.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,14 @@ from colloquy.functions.text import (
     strip_think,
     think_incomplete,
 )
-from colloquy.schema import STEP_COLUMNS
-from colloquy.session import new_folder, write_once
+from colloquy.schema import STEP_COLUMNS, TASK_COLUMNS
+from colloquy.session import content_mark, new_folder, write_once
 
 ROLES = ("generator", "verifier")
 
 Responder = Callable[[DataFrame, str, int], DataFrame]
+#: cuts a column of prompts to what a model takes
+Fit = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -96,34 +99,28 @@ def model_responder(
 ) -> Responder:
     """Call ``answer(prompts, uids) -> texts`` in batches inside Spark tasks.
 
-    Rows pass through as Arrow batches with their keys, so the order of answers between
-    tasks does not matter.  ``slots`` spreads the requests by uid; an episode then stays
-    with one task.  Of a batch only the keys and prompts of open rows become Python objects.
+    Only the keys and prompts of open rows cross into Python; the rest of a row waits in the JVM, and answers come
+    back in its order, so nothing is paired between tasks.  ``slots`` spreads the requests by uid; an episode
+    then stays with one task.
     """
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for uids, prompts_ in batches:
+            due = np.flatnonzero(prompts_.is_valid().to_numpy(zero_copy_only=False))
+            texts = [None] * len(uids)
+            size = batch if batch > 0 else max(len(due), 1)
+            for start in range(0, len(due), size):
+                chunk = pa.array(due[start : start + size])
+                answers = answer(prompts_.take(chunk).to_pylist(), uids.take(chunk).to_pylist())
+                for i, text in zip(chunk.to_pylist(), answers):
+                    texts[i] = text
+            yield pa.array(texts, pa.string())
+
     def respond(df: DataFrame, role: str, turn: int) -> DataFrame:
         if slots:
             df = df.repartition(slots, "uid")
-        schema = T.StructType([*df.schema.fields, T.StructField("text", T.StringType())])
-
-        def run(batches):
-            for rows in batches:
-                due = [i for i, on in enumerate(rows.column("active").to_pylist()) if on]
-                open_ = rows.select(["uid", "prompt"]).take(pa.array(due, pa.int64()))
-                uids = dict(zip(due, open_.column("uid").to_pylist()))
-                prompts_ = dict(zip(due, open_.column("prompt").to_pylist()))
-                texts = [None] * rows.num_rows
-                size = batch if batch > 0 else max(len(due), 1)
-                for start in range(0, len(due), size):
-                    chunk = due[start : start + size]
-                    answers = answer([prompts_[i] for i in chunk], [uids[i] for i in chunk])
-                    for i, text in zip(chunk, answers):
-                        texts[i] = text
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "text"]
-                )
-
-        return df.mapInArrow(run, schema)
+        ask = F.arrow_udf(run, "string").asNondeterministic()
+        return df.withColumn("text", ask(F.col("uid"), F.when(F.col("active"), F.col("prompt"))))
 
     return respond
 
@@ -202,11 +199,10 @@ def open_episodes(tasks: DataFrame, protocol: Protocol) -> DataFrame:
     )
 
 
-def _respond(state: DataFrame, history: str, role: str, turn: int, responder: Responder) -> DataFrame:
-    """Let the responder answer the history of every open episode; adds ``said``."""
-    asked = state.withColumns(
-        {"prompt": trim_history(F.col(history), V.ROLLOUT_HISTORY_LIMIT), "active": ~F.col("done")}
-    )
+def _respond(state: DataFrame, history: str, role: str, turn: int, responder: Responder, fit: Fit | None) -> DataFrame:
+    """Let the responder answer the history of every open episode, cut by messages and then by ``fit``; adds ``said``."""
+    prompt = trim_history(F.col(history), V.ROLLOUT_HISTORY_LIMIT)
+    asked = state.withColumns({"prompt": fit(prompt) if fit else prompt, "active": ~F.col("done")})
     answered = responder(asked, role, turn)
     return answered.withColumn("said", py_strip(F.coalesce(F.col("text"), F.lit("")))).drop("prompt", "text")
 
@@ -215,26 +211,29 @@ def _grow(history: str, *items: Column) -> Column:
     return F.when(F.col("active"), append(F.col(history), *items)).otherwise(F.col(history))
 
 
-def generator_phase(state: DataFrame, turn: int, responder: Responder) -> DataFrame:
-    answered = _respond(state, "gen_hist", "generator", turn, responder)
+def generator_phase(state: DataFrame, turn: int, responder: Responder, fit: Fit | None = None) -> DataFrame:
+    answered = _respond(state, "gen_hist", "generator", turn, responder, fit)
     return answered.withColumn("gen_hist", _grow("gen_hist", message("assistant", F.col("said")))).drop(
         "said", "active"
     )
 
 
 def verifier_phase(
-    state: DataFrame, turn: int, max_turns: int, responder: Responder, protocol: Protocol
+    state: DataFrame, turn: int, max_turns: int, responder: Responder, protocol: Protocol, fit: Fit | None = None
 ) -> DataFrame:
+    """The verifier's part of a turn; adds the turn's two texts as ``generator`` and ``verifier``."""
     raw = F.try_element_at("gen_hist", F.lit(-1))["content"]
     asked = state.withColumn("active", ~F.col("done")).withColumn(
         "ver_hist", _grow("ver_hist", message("user", protocol.ask(F.col("question"), raw)))
     ).drop("active")
-    answered = _respond(asked, "ver_hist", "verifier", turn, responder)
+    answered = _respond(asked, "ver_hist", "verifier", turn, responder, fit)
     user_turn = F.try_element_at("ver_hist", F.lit(-1))["content"]
     closes = protocol.closes(F.col("said"))
     more = turn + 1 < max_turns
     judged = answered.withColumn("__closes", F.col("active") & closes)
     columns = {
+        "generator": raw,
+        "verifier": F.col("said"),
         "ver_hist": _grow("ver_hist", message("assistant", F.col("said"))),
         "turns": F.when(F.col("active"), F.lit(turn + 1)).otherwise(F.col("turns")),
         "closed": F.col("closed") | F.col("__closes"),
@@ -255,42 +254,84 @@ def run_rollout(
     max_turns: int = V.DEFAULT_MAX_TURNS,
     materialise: bool = True,
     folder: str | None = None,
+    made_by: object = None,
+    fit: Fit | None = None,
 ) -> DataFrame:
     """Roll every task out for at most ``max_turns`` turns; returns the final state.
 
     With ``materialise`` each phase is written below ``folder`` and read back: model
     output is neither repeatable nor cheap, so it is computed once, and this also cuts
     the lineage.  A phase found complete in ``folder`` is not run again, so a job that was
-    cut short goes on where it stopped; one made with another protocol or limit raises.  Closed episodes leave the loop.  Without
+    cut short goes on where it stopped; one made with another protocol or limit, or for other tasks (``made_by``
+    tells them apart, without it their content does), raises.  Closed episodes leave the loop.  Without
     ``materialise`` (recorded responses) the turns stay one lazy plan.
+
+    What is written of an episode in a phase is bounded: the turn's texts, and the messages that the next
+    prompts can show.  The whole histories are put together once, from the turns of all phases.  ``fit`` cuts
+    prompts to a token budget before the responder sees them.
     """
     max_turns = max(int(max_turns), 1)
     state = open_episodes(tasks, protocol)
     if not materialise:
         for turn in range(max_turns):
-            state = generator_phase(state, turn, responder)
-            state = verifier_phase(state, turn, max_turns, responder, protocol)
+            state = generator_phase(state, turn, responder, fit)
+            state = verifier_phase(state, turn, max_turns, responder, protocol, fit).drop(*_TEXTS)
         return state
 
+    if folder is not None:
+        made_by = made_by or content_mark(tasks, *TASK_COLUMNS)
     folder = folder or new_folder(tasks.sparkSession, "rollout")
-    made_by = (protocol.label, protocol.verifier_system, max_turns)
+    made_by = (protocol.label, protocol.verifier_system, max_turns, made_by)
 
-    finished = []
+    finished, log = [], []
     for turn in range(max_turns):
-        spoken = write_once(generator_phase(state, turn, responder), f"{folder}/turn={turn}/generator", made_by)
-        after = write_once(
-            verifier_phase(spoken, turn, max_turns, responder, protocol), f"{folder}/turn={turn}/verifier", made_by
-        )
+        spoken = write_once(_windows(generator_phase(state, turn, responder, fit)), f"{folder}/turn={turn}/generator", made_by)
+        judged = _windows(verifier_phase(spoken, turn, max_turns, responder, protocol, fit))
+        after = write_once(judged, f"{folder}/turn={turn}/verifier", made_by)
+        log.append(after.select("uid", F.lit(turn).alias("turn"), *_TEXTS))
+        after = after.drop(*_TEXTS)
         finished.append(after.filter("done"))
         state = after.filter("NOT done")
         if turn + 1 < max_turns and state.isEmpty():
             break
-    whole = finished[0]
-    for part in finished[1:]:
+    return _with_histories(_all(finished), _all(log), protocol)
+
+
+#: the texts of one turn
+_TEXTS = ("generator", "verifier")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for part in tables[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
+def _windows(state: DataFrame) -> DataFrame:
+    """Histories cut to what later prompts can show of them."""
+    return state.withColumns({h: trim_history(F.col(h), V.ROLLOUT_HISTORY_LIMIT) for h in ("gen_hist", "ver_hist")})
+
+
+def _with_histories(episodes: DataFrame, log: DataFrame, protocol: Protocol) -> DataFrame:
+    """Finished episodes with both whole histories, from the log ``(uid, turn, generator, verifier)``."""
+    turns = log.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("turn", *_TEXTS))).alias("__log"))  # at most max_turns
+    question, said = F.col("question"), F.col("__log")
+    ask = lambda x: protocol.ask(question, x["generator"])
+
+    def generator(x: Column, i: Column) -> Column:
+        spoke = message("assistant", x["generator"])
+        fed = message("user", protocol.feed_back(question, x["verifier"], ask(x)))
+        return F.when(i + 1 < F.size(said), messages_of(spoke, fed)).otherwise(messages_of(spoke))
+
+    talk = lambda x: messages_of(message("user", ask(x)), message("assistant", x["verifier"]))
+    histories = {
+        "gen_hist": F.concat(prompts.generator_opening(question), F.flatten(F.transform(said, generator))),
+        "ver_hist": F.concat(prompts.verifier_opening(protocol.verifier_system), F.flatten(F.transform(said, talk))),
+    }
+    return episodes.drop(*histories).join(turns, "uid").withColumns(histories).select(*episodes.columns)
+
+
 # ---- results -----------------------------------------------------------------------------------
 
 

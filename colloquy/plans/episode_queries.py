@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
 from colloquy.functions import grading
+from colloquy.functions.mathematics import mathematics_reward
 from colloquy.functions.messages import message, messages_of
 from colloquy.functions.text import final_verdict, py_strip, strip_think
 from colloquy.operators import joins, metrics, rollout, sft
@@ -296,7 +297,7 @@ _PROMPT_LENGTH = "len(prompt) || '|' || length(prompt[-1].content)"
 SELECT uid, role, turn_index, {_PROMPT_LENGTH} AS teacher_target, 'revise' AS teacher_status, '' AS teacher_justification
 FROM steps""", _REPLAY))
 def relabel(spark, d):
-    """Every step labelled by a stub teacher behind the batch interface."""
+    """Every step of the replayed rollout (which ends at its turn limit) labelled by a stub teacher behind the batch interface."""
 
     def answer(prompts, uids):
         return [f" {len(p)}|{len(p[-1]['content'])}\n" for p in prompts]
@@ -307,16 +308,16 @@ def relabel(spark, d):
     )
 
 
-@query("relabel_replay", with_views(["v_steps", "v_tasks"], """
-SELECT uid, role, turn_index, target AS teacher_target, 'revise' AS teacher_status FROM steps""", _REPLAY))
-def relabel_replay(spark, d):
-    return labelled_steps(spark, d).select("uid", "role", "turn_index", "teacher_target", "teacher_status")
-
-
-@query("relabel_counts", with_views(["v_steps", "v_tasks"], """
-SELECT role, count(*) AS labelled FROM steps WHERE target <> '' GROUP BY role""", _REPLAY))
-def relabel_counts(spark, d):
-    return metrics.label_counts(labelled_steps(spark, d))
+@query("labelled_rollout", with_views(["v_steps", "v_tasks"], """
+SELECT uid, role, turn_index, CASE WHEN role = 'verifier' THEN target END AS teacher_target, CASE WHEN role = 'verifier' THEN 'revise' END AS teacher_status
+FROM steps""", _REPLAY))
+def labelled_rollout(spark, d):
+    """The judged rollout with the teacher in line, labelling one role."""
+    tasks = recorded_dataset(spark, d).filter("question <> ''")
+    teacher = rollout.recorded_teacher(recorded_targets(v_first_steps(spark, d)), TURNS)
+    options = jobs.RoundOptions(max_turns=TURNS)
+    labelled = jobs.labelled_rollout(tasks, rollout.recorded_responder, teacher, options, "ver", folder=new_folder(spark, "labelled"))
+    return labelled.select("uid", "role", "turn_index", "teacher_target", "teacher_status")
 
 
 @query("relabel_join", with_views("v_steps", f"""
@@ -409,6 +410,18 @@ def gen_accuracy(spark, d):
     return metrics.accuracy(_accuracy_records(spark, d))
 
 
+@query("gen_accuracy_mathematics", with_views(["v_steps", "v_tasks"], """
+SELECT count(*) FILTER (WHERE is_correct) AS correct, count(*) AS total,
+  CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE is_correct) / count(*) ELSE 0.0 END AS accuracy FROM records""", _ACCURACY))
+def gen_accuracy_mathematics(spark, d):
+    """Accuracy by another grader, against truths that are written as expressions of the same value."""
+    spoken = v_steps(spark, d).select(
+        _uid().alias("uid"), "turn_index", strip_think(py_strip(c("g_raw"))).alias("student_response")
+    )
+    truth = F.concat(F.lit("\\frac{2 \\cdot "), c("ground_truth"), F.lit("}{2}"))
+    return metrics.accuracy(metrics.accuracy_records(spoken, v_tasks(spark, d).withColumn("ground_truth", truth), mathematics_reward))
+
+
 @query("episode_correct_any", with_views("v_dagger", f"""
 SELECT 'train_' || conv_id AS uid, bool_or({Q.simple_grade('g_raw', 'ground_truth')}) AS is_correct FROM v_dagger GROUP BY conv_id"""))
 def episode_correct_any(spark, d):
@@ -433,6 +446,7 @@ SELECT uid AS episode_id, {Q.text_json('''{'uid': uid, 'question': any_value(que
 FROM (SELECT *, {{'turn_index': turn_index, 'student_response': public, 'student_response_raw': raw, 'generator_message': gen_public,
   'generator_message_raw': gen_raw, 'teacher_target': CAST(NULL AS VARCHAR), 'chat_completions': chat}} AS step FROM steps) s GROUP BY uid""", _REPLAY))
 def transcripts(spark, d):
+    """Episodes of the replayed rollout, which ends at its turn limit."""
     nested = store.transcripts(replayed_steps(spark, d), v_tasks(spark, d))
     return nested.select(
         "episode_id", as_json(c("task")).alias("task"), as_json(c("trajectories")).alias("trajectories")
@@ -445,6 +459,7 @@ def transcripts(spark, d):
 @query("sft_build_pag", with_views(["v_steps", "v_tasks"], f"""
 SELECT uid, role, turn_index, {Q.text_json('messages')} AS messages, msg_hash FROM hashed""", _SFT))
 def sft_build_pag(spark, d):
+    """Rows of the replayed rollout, which ends at its turn limit."""
     rows = sft.judged_rows(labelled_steps(spark, d))
     return rows.select("uid", "role", "turn_index", as_json(c("messages")).alias("messages"), "msg_hash")
 
@@ -452,6 +467,7 @@ def sft_build_pag(spark, d):
 @query("sft_build_dagger", with_views(["v_dagger", "v_tasks"], f"""
 SELECT uid, role, turn_index, {Q.text_json('messages')} AS messages FROM ({_TAGGED_ROWS}) r""", _TAGGED_FULL))
 def sft_build_dagger(spark, d):
+    """Rows of the replayed rollout, which ends at its turn limit."""
     state, protocol = _tagged_state(spark, d, stop_on_fix=False)
     teacher = rollout.recorded_teacher(recorded_targets(v_first_tagged(spark, d)), TURNS)
     rows = sft.tagged_rows(relabel_steps(rollout.steps_of(state, protocol), teacher, materialise=False))
@@ -465,18 +481,6 @@ _FUNNEL_REASON = _REASON.replace(
 )
 
 
-@query("sft_funnel", with_views(["v_steps", "v_tasks"], f"""
-SELECT role, {_FUNNEL_REASON} AS reason, count(*) AS n, 0::BIGINT AS without_ground_truth FROM steps GROUP BY ALL""", _FUNNEL))
-def sft_funnel(spark, d):
-    """Every candidate of the judged protocol, by the reason that decides on it."""
-    state = rollout.run_rollout(
-        recorded_dataset(spark, d), rollout.recorded_responder, rollout.JUDGED, TURNS, materialise=False
-    )
-    teacher = rollout.recorded_teacher(recorded_targets(v_first_steps(spark, d)), TURNS)
-    steps = relabel_steps(rollout.steps_of(state, rollout.JUDGED), teacher, materialise=False)
-    return sft.funnel(sft.judged_candidates(steps))
-
-
 # ---- jobs ------------------------------------------------------------------------------------------------------
 
 EVERYTHING = 1 << 40
@@ -525,7 +529,7 @@ def collect_once(spark, d):
     options = jobs.RoundOptions(batch_tasks=EVERYTHING, max_turns=TURNS, materialise=False)
     teacher = rollout.recorded_teacher(_numbered_targets(spark, d), TURNS)
     jobs.collect_once(recorded_dataset(spark, d, v_first_tagged, dense=True), rollout.recorded_responder, teacher, options, prefix)
-    stored = [store.read_store(spark, f"{prefix}_{role}.parquet") for role in ("gen", "ver")]
+    stored = [store.read_by_role(spark, prefix, table) for table in ("gen", "ver")]
     return stored[0].unionByName(stored[1]).select("role", "msg_hash", "uid", "turn_index")
 
 

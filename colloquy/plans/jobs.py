@@ -23,12 +23,14 @@ from colloquy.operators.rollout import JUDGED, Protocol, Responder
 from colloquy.operators.sampling import (
     INDEX,
     eval_rounds,
+    fresh_schedule,
     sample_random,
     sample_random_all,
     sample_sequential,
     task_uid,
 )
-from colloquy.session import write_once
+from colloquy.schema import TASK_COLUMNS
+from colloquy.session import content_mark, input_mark, write_once
 from colloquy.sources import store
 
 ROLE_NAMES = {"gen": "generator", "ver": "verifier"}
@@ -61,6 +63,8 @@ class RoundOptions:
     materialise: bool = True
     #: tokens of a message: (content Column) -> Column
     counter: Callable[[Column], Column] = count_words
+    #: cuts prompts to the model's token budget before each call: (messages Column) -> Column
+    fit_prompt: Callable[[Column], Column] | None = None
 
     def sampling(self) -> tuple:
         """What decides the tasks of a pair of rounds."""
@@ -88,11 +92,13 @@ def labelled_rollout(
     The teacher sees the prompts the students saw, so labelling after the rollout gives
     the same rows.
     """
+    mark = content_mark(tasks, *TASK_COLUMNS) if folder else None
     state = rollout.run_rollout(
-        tasks, student, protocol, o.max_turns, materialise=o.materialise, folder=folder and f"{folder}/rollout"
+        tasks, student, protocol, o.max_turns, materialise=o.materialise, fit=o.fit_prompt, folder=folder and f"{folder}/rollout", made_by=mark
     )
     steps = rollout.steps_of(state, protocol, grader)
-    return relabel(steps, teacher, collect_for, folder=folder and f"{folder}/labelled")
+    made_by = (protocol.label, o.max_turns, mark)
+    return relabel(steps, teacher, collect_for, folder=folder and f"{folder}/labelled", made_by=made_by)
 
 
 def dump_dataset_head(dataset: DataFrame, o: RoundOptions, out: str) -> None:
@@ -121,17 +127,18 @@ def judged_round(
 ) -> DataFrame:
     """One round of the judged protocol up to the stored rows; returns the labelled candidates."""
     here = f"{out}/round={round_idx:03d}"
+    made_by = (o.max_turns, content_mark(tasks, *TASK_COLUMNS))
     state = rollout.run_rollout(
-        tasks, student, JUDGED, o.max_turns, materialise=o.materialise, folder=f"{here}/rollout"
+        tasks, student, JUDGED, o.max_turns, materialise=o.materialise, fit=o.fit_prompt, folder=f"{here}/rollout", made_by=made_by
     )
-    steps = write_once(rollout.steps_of(state, JUDGED, grader), f"{here}/steps", (o.sampling(), o.max_turns))
+    steps = write_once(rollout.steps_of(state, JUDGED, grader), f"{here}/steps", made_by)
     if o.dump_transcripts:
         store.dump_json(store.transcripts(steps, tasks), f"{here}/transcripts")
     records = accuracy_records(steps.filter("role = 'generator'"), tasks, grader)
     store.write_accuracy_records(records, f"{out}/accuracy", "train", round_idx)
     collect_for = role if o.collect_for == "auto" else o.collect_for
-    labelled = relabel(steps, teacher, collect_for, folder=f"{here}/labelled")
-    candidates = write_once(sft.judged_candidates(labelled, grader), f"{here}/candidates", (o.sampling(), o.max_turns, collect_for))
+    labelled = relabel(steps, teacher, collect_for, folder=f"{here}/labelled", made_by=made_by)
+    candidates = write_once(sft.judged_candidates(labelled, grader), f"{here}/candidates", (*made_by, collect_for))
     kept = candidates.filter(F.col("reason") == sft.KEPT)
     store_rows(kept, o, round_idx, role, out)
     return candidates
@@ -173,9 +180,12 @@ def evaluate(
     due = dict(eval_rounds(dataset.sparkSession, o.rounds, o.eval_every, o.eval_seed))
     if o.eval_tasks <= 0 or round_idx not in due:
         return None
-    tasks = sample_random(dataset, o.eval_tasks, due[round_idx]).withColumn("uid", task_uid(o.split, F.col(INDEX)))
+    sampled = sample_random(dataset, o.eval_tasks, due[round_idx]).withColumn("uid", task_uid(o.split, F.col(INDEX)))
+    here = f"{out}/eval={round_idx:03d}"
+    made_by = (o.split, o.eval_tasks, due[round_idx], input_mark(dataset, INDEX))
+    tasks = write_once(sampled, f"{here}/tasks", made_by)
     state = rollout.run_rollout(
-        tasks, student, JUDGED, o.max_turns, materialise=o.materialise, folder=f"{out}/eval={round_idx:03d}"
+        tasks, student, JUDGED, o.max_turns, materialise=o.materialise, fit=o.fit_prompt, folder=here, made_by=made_by
     )
     steps = rollout.steps_of(state, JUDGED, grader).filter("role = 'generator'")
     records = accuracy_records(steps, tasks, grader)
@@ -201,7 +211,7 @@ def alternate(
         pair = (round_idx - 1) // 2
         folder = f"{out}/tasks/pair={pair:03d}"
         if role == "gen":
-            write_once(sample_round_tasks(dataset, o, pair), folder, o.sampling())
+            write_once(sample_round_tasks(dataset, o, pair), folder, (o.sampling(), input_mark(dataset, INDEX)))
         tasks = spark.read.parquet(folder)
         if o.dump_tasks:
             store.dump_json(
@@ -219,6 +229,12 @@ def sample_tagged_tasks(dataset: DataFrame, o: RoundOptions, seed: int) -> DataF
     return taken.withColumn("uid", task_uid(o.split, F.col("sample_pos"))).drop("sample_pos")
 
 
+def written_tagged_tasks(dataset: DataFrame, o: RoundOptions, seed: int, here: str) -> DataFrame:
+    """The sample of a tagged round or collection, written once; another seed, size or dataset in the same folder raises."""
+    made_by = (o.split, o.batch_tasks, seed, input_mark(dataset, INDEX))
+    return write_once(sample_tagged_tasks(dataset, o, seed), f"{here}/tasks", made_by)
+
+
 def _tagged_rows(
     tasks: DataFrame, student: Responder, teacher: Responder, o: RoundOptions, collect_for: str,
     stop_on_fix: bool, here: str, grader,
@@ -229,14 +245,15 @@ def _tagged_rows(
 
 def tagged_round(
     dataset: DataFrame, student: Responder, teacher: Responder, o: RoundOptions, round_idx: int, out: str,
-    stop_on_fix: bool = False, grader=grade_reward,
+    stop_on_fix: bool = False, grader=grade_reward, role: str | None = None, seed: int | None = None,
 ) -> None:
-    """One round of the tagged protocol, with a new sample."""
-    role = "gen" if round_idx % 2 == 1 else "ver"
-    tasks = sample_tagged_tasks(dataset, o, o.seed + round_idx)
+    """One round of the tagged protocol, with a new sample; role and seed are those of the fresh schedule."""
+    role = role or ("gen" if round_idx % 2 == 1 else "ver")
+    seed = o.seed + round_idx if seed is None else seed
+    here = f"{out}/round={round_idx:03d}"
+    tasks = written_tagged_tasks(dataset, o, seed, here)
     rows = _tagged_rows(
-        tasks, student, teacher, o, role if o.collect_for == "auto" else o.collect_for,
-        stop_on_fix, f"{out}/round={round_idx:03d}", grader,
+        tasks, student, teacher, o, role if o.collect_for == "auto" else o.collect_for, stop_on_fix, here, grader,
     )
     store_rows(rows, o, round_idx, role, out)
 
@@ -244,8 +261,8 @@ def tagged_round(
 def alternate_tagged(
     dataset: DataFrame, student: Responder, teacher: Responder, o: RoundOptions, out: str, stop_on_fix: bool = False
 ) -> None:
-    for round_idx in range(1, 2 * o.rounds + 1):
-        tagged_round(dataset, student, teacher, o, round_idx, out, stop_on_fix)
+    for r in fresh_schedule(dataset.sparkSession, o.rounds, o.seed).collect():  # a row a round
+        tagged_round(dataset, student, teacher, o, r["round"], out, stop_on_fix, role=r["role"], seed=r["seed"])
 
 
 def collect_once(
@@ -253,7 +270,7 @@ def collect_once(
     stop_on_fix: bool = False, grader=grade_reward,
 ) -> None:
     """Sample, roll out, label and store both roles' rows once, in two tables."""
-    tasks = sample_tagged_tasks(dataset, o, o.seed)
+    tasks = written_tagged_tasks(dataset, o, o.seed, f"{prefix}_work")
     rows = _tagged_rows(
         tasks, student, teacher, o, "both" if o.collect_for == "auto" else o.collect_for,
         stop_on_fix, f"{prefix}_work", grader,

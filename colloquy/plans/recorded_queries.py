@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from colloquy.functions import hashing
+from colloquy.functions import hashing, tokenizers
 from colloquy.operators import metrics, rollout, sft
 from colloquy.operators.relabel import relabel
 from colloquy.plans import sqltext as Q
@@ -97,3 +97,16 @@ def jsonl_to_parquet_rows(spark, d):
     columns = "uid string, role string, turn_index bigint"
     out = datasets.jsonl_for_training(spark, path, new_folder(spark, "training-rows"), columns=columns)
     return spark.read.parquet(out).select("uid", "role", "turn_index", as_json(c("messages")).alias("messages"))
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("fit_prompt_tokenizer")
+def fit_prompt_tokenizer(spark, d, model: str = TOKENIZER, budget: int = 300):
+    """The prompts of all recorded steps cut to a budget that a tokenizer counts; tests hold it against a loop."""
+    load = tokenizers.sentencepiece_coder(spark, model)
+    fit = tokenizers.prompt_fitter(load, budget)
+    fitted = recorded_steps(spark, d).select("uid", "role", "turn_index", fit(c("teacher_prompt")).alias("prompt"))
+    shown = F.array_join(F.transform("prompt", lambda m: F.concat_ws("|", m["role"], m["content"])), "\n")
+    return fitted.select("uid", "role", "turn_index", F.size("prompt").cast("bigint").alias("n_messages"), F.sha1(shown).alias("prompt_sha1"))

@@ -6,24 +6,10 @@ from colloquy import fixed_values as V
 from colloquy.functions import coerce, messages
 from colloquy.plans import sqltext as Q
 from colloquy.plans.registry import query
-from colloquy.plans.views import as_json, table, v_dialogues, v_messages, v_rows, with_views
+from colloquy.plans.views import as_json, table, v_messages, v_rows, with_views
 
 c = F.col
 
-_PROBLEM = """CASE (conv_id + part) % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || ' '
-  ELSE 'Problem ' || CAST(conv_id AS STRING) END AS problem"""
-
-
-@query("coerce_question", with_views("v_dialogues", f"""
-SELECT conv_id, part, CASE WHEN {Q.strip('problem')} <> '' THEN problem ELSE
-  (list_filter(messages, lambda m: lower(m.role) = 'user' AND m.content <> ''))[1].content END AS question
-FROM (SELECT *, {_PROBLEM} FROM v_dialogues) s"""))
-def coerce_question(spark, d):
-    return v_dialogues(spark, d).selectExpr("*", _PROBLEM).select(
-        "conv_id", "part", coerce.coerce_question(c("problem"), c("messages")).alias("question")
-    )
-
-
 @query("coerce_question_or_query", with_views("v_rows", """
 SELECT idx, coalesce(nullif(problem, ''), label) AS question FROM v_rows"""))
 def coerce_question_or_query(spark, d):
@@ -41,55 +27,9 @@ def coerce_ground_truth(spark, d):
     )
 
 
-_DEEP = [
-    "conv_id",
-    "part",
-    "CASE (conv_id + part) % 5 WHEN 0 THEN 'g' || CAST(conv_id AS STRING) WHEN 1 THEN '' ELSE NULL END AS ground_truth",
-    "CASE (conv_id + part) % 7 WHEN 0 THEN 'so ' || chr(92) || 'boxed{1}' WHEN 1 THEN '' ELSE NULL END AS solution",
-    "CASE conv_id % 2 WHEN 0 THEN 'n' || CAST(conv_id AS STRING) ELSE '' END AS nested_answer",
-    "'x' || CAST(conv_id AS STRING) AS nested_label",
-]
-# every third assistant text ends in a box
-_BOXED_MESSAGES = (
-    "list_transform(messages, lambda m: {'role': m.role, 'content': CASE WHEN conv_id % 3 = 1 AND m.content <> '' "
-    "THEN m.content || ' ' || chr(92) || 'boxed{' || chr(92) || 'frac{1}{' || CAST(conv_id AS VARCHAR) || '}}' ELSE m.content END})"
-)
-
-
-@query("coerce_ground_truth_deep", with_views("v_dialogues", f"""
-SELECT conv_id, part, coalesce(nullif(ground_truth, ''), nullif(solution, ''), {Q.boxed_last('said')}, nullif(said, ''),
-       nullif(nested_answer, ''), nested_label) AS truth
-FROM (SELECT {', '.join(_DEEP)},
-      (list_filter({_BOXED_MESSAGES}, lambda m: m.role = 'assistant'))[1].content AS said FROM v_dialogues) s"""))
-def coerce_ground_truth_deep(spark, d):
-    box = F.concat(F.lit(" \\boxed{\\frac{1}{"), c("conv_id").cast("string"), F.lit("}}"))
-    boxed = F.transform(
-        "messages",
-        lambda m: messages.message(
-            m["role"],
-            F.when((c("conv_id") % 3 == 1) & (m["content"] != ""), F.concat(m["content"], box)).otherwise(m["content"]),
-        ),
-    )
-    rows = v_dialogues(spark, d).withColumn("messages", boxed).selectExpr(*_DEEP, "messages")
-    nested = F.struct(c("nested_answer").alias("answer"), c("nested_label").alias("label"))
-    raw = rows.select("conv_id", "part", "ground_truth", "solution", "messages", nested.alias("content"))
-    return coerce.with_question_and_truth(raw, "views").select("conv_id", "part", c("ground_truth").alias("truth"))
-
-
 _USERISH = f"lower(m.role) IN ({', '.join(Q.lit(r) for r in V.USER_ROLES)})"
 
 
-@query("question_text", with_views("v_dialogues", f"""
-SELECT conv_id, part, coalesce(
-    (list_filter(messages, lambda m: m.content <> '' AND {_USERISH}))[-1].content,
-    (list_filter(messages, lambda m: m.content <> ''))[-1].content, '') AS question
-FROM v_dialogues"""))
-def question_text(spark, d):
-    return v_dialogues(spark, d).select(
-        "conv_id", "part", coerce.question_from_messages(c("messages")).alias("question")
-    )
-
-
 # the question as text, as one object, as a list of objects and strings, or as something else
 _UNION = """CASE (conv_id + turn) % 6
   WHEN 0 THEN {j}
@@ -140,92 +80,6 @@ def last_user_message(spark, d):
     )
 
 
-_CLEAN = "list_filter(messages, lambda m: m.role <> '' AND m.content IS NOT NULL)"
-
-
-@query("clean_context", with_views("v_dialogues", f"""
-SELECT conv_id, part, CAST(len({_CLEAN}) AS BIGINT) AS n, {Q.text_json(_CLEAN)} AS context FROM v_dialogues"""))
-def clean_context(spark, d):
-    cleaned = v_dialogues(spark, d).select(
-        "conv_id", "part", messages.clean_context(c("messages")).alias("context")
-    )
-    return cleaned.select("conv_id", "part", F.size("context").cast("bigint").alias("n"), as_json(c("context")).alias("context"))
-
-
-@query("drop_trailing_assistant", with_views("v_dialogues", f"""
-SELECT conv_id, part, {Q.text_json("CASE WHEN k[-1].role = 'assistant' THEN k[:-2] ELSE k END")} AS context
-FROM (SELECT conv_id, part, {_CLEAN} AS k FROM v_dialogues) s"""))
-def drop_trailing_assistant(spark, d):
-    return v_dialogues(spark, d).select(
-        "conv_id", "part",
-        as_json(messages.drop_trailing_assistant(messages.clean_context(c("messages")))).alias("context"),
-    )
-
-
-@query("trim_history", with_views("v_dialogues", f"""
-SELECT conv_id, part, lim, {Q.text_json('''CASE WHEN lim <= 0 OR len(messages) <= lim OR (lim = 1 AND head) THEN messages
-   WHEN head THEN list_concat(messages[1:1], messages[len(messages) - lim + 2:]) ELSE messages[len(messages) - lim + 1:] END''')} AS context
-FROM (SELECT conv_id, part, messages, coalesce(messages[1].role = 'system', false) AS head,
-      unnest([0, 1, 2, 4, 9, 12]::BIGINT[]) AS lim FROM v_dialogues) s"""))
-def trim_history(spark, d):
-    limits = F.array(*[F.lit(n).cast("bigint") for n in (0, 1, 2, 4, 9, 12)])
-    # every limit reads the row's own array: no shuffle after the dialogues are formed
-    spread = v_dialogues(spark, d).withColumn("lim", F.explode(limits))
-    return spread.select(
-        "conv_id", "part", "lim",
-        as_json(messages.trim_history(c("messages"), c("lim").cast("int"))).alias("context"),
-    )
-
-
-_WORDS = r"regexp_extract_all(coalesce(content, ''), '[^ \t\n\r\f\x0B]+')"
-# one row per message with the tokens from it to the end of its dialogue
-_SUFFIX = f"""
-SELECT conv_id, part, i, n, role, content, tk, k, head, hk,
-       coalesce(sum(CASE WHEN is_head THEN 0 ELSE k END) OVER (PARTITION BY conv_id, part ORDER BY i DESC
-         ROWS UNBOUNDED PRECEDING), 0) AS suf, is_head
-FROM (SELECT *, coalesce(head AND i = 1, false) AS is_head,
-        max(CASE WHEN head AND i = 1 THEN k ELSE 0 END) OVER (PARTITION BY conv_id, part) AS hk
-      FROM (SELECT *, len(tk) AS k FROM (
-        SELECT conv_id, part, i, n, role, content, head, {_WORDS} AS tk FROM (
-          SELECT conv_id, part, len(messages) AS n, coalesce(messages[1].role = 'system', false) AS head,
-                 unnest(range(1, len(messages) + 1)) AS i, unnest(messages, recursive := true)
-          FROM v_dialogues) u) w) x) y"""
-_BUDGETS = [4, 20, 60, 256]
-
-
-@query("fit_token_budget", with_views(["v_dialogues"], f"""
-SELECT d.conv_id, d.part, budget, coalesce({Q.text_json('f.fitted')}, '[]') AS fitted
-FROM (SELECT conv_id, part, unnest({_BUDGETS}::BIGINT[]) AS budget FROM v_dialogues) d LEFT JOIN (
-  SELECT conv_id, part, budget, list({{'role': role, 'content': content}} ORDER BY i) AS fitted FROM (
-    SELECT conv_id, part, i, role, budget, keeps, CASE WHEN is_head OR hk + suf <= budget OR content IS NULL OR content = '' THEN content
-         ELSE array_to_string(tk[k - least(k, greatest(budget - hk, 0)) + 1:], ' ') END AS content
-    FROM (SELECT *, is_head OR hk + suf <= budget OR i = n AS keeps FROM sfx, (SELECT unnest({_BUDGETS}::BIGINT[]) AS budget) b) s) t
-  WHERE keeps GROUP BY conv_id, part, budget) f USING (conv_id, part, budget)""", {"sfx": _SUFFIX}))
-def fit_token_budget(spark, d):
-    budgets = F.array(
-        *[F.lit(n).cast("bigint") for n in _BUDGETS[:-1]], messages.token_budget(1024, 1000).cast("bigint")
-    )
-    spread = v_dialogues(spark, d).withColumn("budget", F.explode(budgets))
-    return spread.select(
-        "conv_id", "part", "budget",
-        as_json(messages.fit_token_budget(c("messages"), c("budget"))).alias("fitted"),
-    )
-
-
-@query("truncate_tail", with_views(["v_dialogues"], f"""
-SELECT d.conv_id, d.part, budget, coalesce({Q.text_json('f.kept')}, '[]') AS kept
-FROM (SELECT conv_id, part, unnest({_BUDGETS}::BIGINT[]) AS budget FROM v_dialogues) d LEFT JOIN (
-  SELECT conv_id, part, budget, list({{'role': role, 'content': content}} ORDER BY i) AS kept
-  FROM sfx, (SELECT unnest({_BUDGETS}::BIGINT[]) AS budget) b
-  WHERE is_head OR hk + suf <= budget GROUP BY conv_id, part, budget) f USING (conv_id, part, budget)""", {"sfx": _SUFFIX}))
-def truncate_tail(spark, d):
-    budgets = F.array(*[F.lit(n).cast("bigint") for n in _BUDGETS])
-    spread = v_dialogues(spark, d).withColumn("budget", F.explode(budgets))
-    return spread.select(
-        "conv_id", "part", "budget", as_json(messages.truncate_tail(c("messages"), c("budget"))).alias("kept")
-    )
-
-
 # message texts of all shapes: NULL, plain, one object, list with object content, nested lists, empty
 _SHAPES = """CASE (conv_id + turn) % 9
   WHEN 0 THEN NULL

@@ -58,6 +58,29 @@ def sample_random_all(spark, d):
     return named(part, "part").unionByName(named(whole, "whole"))
 
 
+_FRESH_ROUNDS, _FRESH_SEED, _FRESH_BATCH = 2, 11, 40
+
+
+@query("fresh_rounds", _sql(" UNION ALL ".join(f"""
+SELECT {r}::BIGINT AS round, '{"gen" if r % 2 else "ver"}' AS role, 'train_' || (row_number() OVER (ORDER BY md5('{_FRESH_SEED + r}:' || source_idx), source_idx) - 1) AS uid, source_idx
+FROM tasks QUALIFY row_number() OVER (ORDER BY md5('{_FRESH_SEED + r}:' || source_idx), source_idx) <= {_FRESH_BATCH}"""
+for r in range(1, 2 * _FRESH_ROUNDS + 1))))
+def fresh_rounds(spark, d):
+    """The tasks of every round of the tagged protocol, each a sample of its own."""
+    from colloquy.plans.jobs import RoundOptions, sample_tagged_tasks
+
+    data, options = dataset(spark, d), RoundOptions(batch_tasks=_FRESH_BATCH)
+    rounds = sampling.fresh_schedule(spark, _FRESH_ROUNDS, _FRESH_SEED).collect()
+    found = [
+        sample_tagged_tasks(data, options, r["seed"]).select(F.lit(r["round"]).cast("bigint").alias("round"), F.lit(r["role"]).alias("role"), "uid", "source_idx")
+        for r in rounds
+    ]
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 _WALK = """SELECT *, ((pos - {start}) % size + size) % size AS rot FROM (
   SELECT *, source_idx // {n} AS pos, count(*) OVER () AS size FROM tasks WHERE source_idx % {n} = {k}) p"""
 

@@ -7,9 +7,9 @@ from colloquy.functions.text import to_record_json
 from colloquy.operators import dedupe
 from colloquy.plans import sqltext as Q
 from colloquy.plans.registry import query
-from colloquy.plans.views import as_json, table, v_dialogues, v_rows, v_sft, with_views
+from colloquy.plans.views import as_json, table, v_rows, v_sft, with_views
 from colloquy.session import new_folder
-from colloquy.sources import datasets, store
+from colloquy.sources import datasets, json_list, store
 
 c = F.col
 CONVERSATION = "conv_id bigint, turn bigint, role string, text string"
@@ -38,6 +38,22 @@ def scan_jsonl_tolerant(spark, d):
     return datasets.scan_jsonl_tolerant(spark, path, CONVERSATION)
 
 
+@query("scan_json_list", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def scan_json_list(spark, d):
+    """Documents written as JSON lists, one a task, and read by blocks."""
+    path = f"{new_folder(spark, 'lists')}.json"
+    json_list.dump_lists(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    return datasets.scan(spark, path, schema)
+
+
+@query("count_json_list", "SELECT count(*) AS n FROM documents")
+def count_json_list(spark, d):
+    path = f"{new_folder(spark, 'lists')}.json"
+    json_list.dump_lists(table(spark, d, "documents").select("doc_id", "source"), path)
+    return spark.createDataFrame([(store.count_rows(spark, path),)], "n bigint")
+
+
 @query("scan_shards", "SELECT conv_id, turn, role, text FROM conversations")
 def scan_shards(spark, d):
     path = new_folder(spark, "shards")
@@ -59,20 +75,48 @@ def register_dataset(spark, d):
     return again.select(*[x for x in first.columns if x not in ("solution", "label", "source_idx", "has_question")])
 
 
-_RAW_MESSAGES = "CASE WHEN conv_id % 5 = 4 THEN '\"just text \"' ELSE m END"
+_UNEVEN = "idx % 10 = 0 OR idx > 300"
 
 
-@query("jsonl_to_parquet", with_views("v_dialogues", f"""
-SELECT conv_id, part, CASE WHEN conv_id % 5 = 4 THEN '[{{"role":"user","content":"just text "}}]'
-  ELSE {Q.text_json('messages')} END AS messages FROM v_dialogues"""))
-def jsonl_to_parquet(spark, d):
-    path = f"{new_folder(spark, 'sft')}.jsonl"
-    rows = v_dialogues(spark, d).withColumn("m", as_json(c("messages"))).selectExpr(
-        f"concat('{{\"conv_id\":', conv_id, ',\"part\":', part, ',\"messages\":', {_RAW_MESSAGES}, '}}') AS value"
-    )
-    rows.write.text(path)
-    out = datasets.jsonl_for_training(spark, path, new_folder(spark, "training"), columns="conv_id bigint, part bigint")
-    return spark.read.parquet(out).select("conv_id", "part", as_json(c("messages")).alias("messages"))
+@query("register_in_file_order", with_views("v_rows", f"""
+SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS source_idx, 'parquet' AS kind FROM v_rows WHERE {_UNEVEN}
+UNION ALL SELECT idx, row_number() OVER (ORDER BY idx) - 1, 'lines' FROM v_rows WHERE {_UNEVEN}
+UNION ALL SELECT idx, row_number() OVER (ORDER BY idx) - 1, 'list' FROM v_rows WHERE {_UNEVEN}"""))
+def register_in_file_order(spark, d):
+    """Files in the order of ``idx``, the first ones much smaller; their rows are numbered as they lie there."""
+    root = new_folder(spark, "registry")
+    rows = v_rows(spark, d).select("idx", "problem", "answer").repartitionByRange(5, "idx").sortWithinPartitions("idx").filter(_UNEVEN)
+    rows.write.parquet(f"{root}/raw")
+    store.dump_json(rows, f"{root}/raw.jsonl")
+    json_list.dump_lists(rows, f"{root}/raw.json")
+    schema = "idx bigint, problem string, answer string"
+    found = [
+        datasets.register(spark, root, kind, "train", f"{root}/{raw}", schema=schema).select("idx", "source_idx", F.lit(kind).alias("kind"))
+        for kind, raw in (("parquet", "raw"), ("lines", "raw.jsonl"), ("list", "raw.json"))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_SHAPES = {
+    "messages": "array(struct('user' AS role, text AS content), struct('assistant' AS role, 'hi' AS content))",
+    "strings": "array('first', text, ' ')",
+    "object": "struct('system' AS from, text AS prompt)",
+    "parts": "array(map('speaker', 'client', 'value', text), map('speaker', 'system', 'value', 'last'))",
+}
+
+
+@query("register_question_shapes", " UNION ALL ".join(
+    f"SELECT conv_id, turn, text AS question, '{kind}' AS kind FROM conversations" for kind in _SHAPES))
+def register_question_shapes(spark, d):
+    """Datasets whose question is a list of messages, a list of strings, an object, or a list of maps."""
+    root = new_folder(spark, "registry")
+    found = []
+    for kind, shape in _SHAPES.items():
+        rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{shape} AS question")
+        rows.write.parquet(f"{root}/{kind}")
+        registered = datasets.register(spark, root, kind, "train", f"{root}/{kind}")
+        found.append(registered.select("conv_id", "turn", "question", F.lit(kind).alias("kind")))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 def _two_rounds(spark, d):

@@ -7,7 +7,7 @@ from colloquy.plans.registry import query
 from colloquy.plans.views import v_sft, v_steps, with_views
 from colloquy.session import new_folder
 from colloquy.sources import store
-from colloquy.streaming.ingest import ingest_shards, read_ingested, running_accuracy
+from colloquy.streaming.ingest import ingest_shards, read_accuracy, read_ingested, running_accuracy
 
 c = F.col
 
@@ -62,4 +62,4 @@ def stream_accuracy(spark, d):
     # a round that is written again, in other files, counts once
     store.write_accuracy_records(_accuracy_records(spark, d, steps).repartition(3), f"{base}/records", "eval", 2)
     running_accuracy(spark, f"{base}/records", f"{base}/table", f"{base}/progress")
-    return store.read_store(spark, f"{base}/table").select("tag", "round", "correct", "total", "accuracy")
+    return read_accuracy(spark, f"{base}/table")

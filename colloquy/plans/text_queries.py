@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from colloquy import fixed_values as V
-from colloquy.functions import grading, hashing, prompts, text
+from colloquy.functions import grading, mathematics, prompts, text
 from colloquy.plans import sqltext as Q
 from colloquy.plans.registry import query
 from colloquy.plans.views import (
     table,
     v_dagger,
-    v_dialogues,
     v_steps,
     v_tasks,
     with_views,
@@ -164,17 +163,6 @@ def question_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", text.question_snippet(c("text")).alias("snippet"))
 
 
-@query("message_hash", with_views("v_dialogues", f"""
-SELECT conv_id, part, sha1({Q.canonical('messages')}) AS msg_hash, length({Q.canonical('messages')}) AS canonical_length
-FROM v_dialogues"""))
-def message_hash(spark, d):
-    return v_dialogues(spark, d).select(
-        "conv_id", "part",
-        hashing.message_hash(c("messages")).alias("msg_hash"),
-        F.length(hashing.canonical_messages(c("messages"))).cast("bigint").alias("canonical_length"),
-    )
-
-
 
 
 @query("route_slot", """
@@ -224,6 +212,32 @@ def grade_answers(spark, d):
     )
 
 
+# answers and truths about the number K of a document, and whether they mean the same
+_MEANT = [
+    (r"\frac{2K}{4}", r"K/2", True), (r"(x+K)^2", r"x^2 + K^2 + 2 \cdot K \cdot x", True), (r"\{1, K, -2\}", r"\{-2, 1, K\}", True),
+    (r"\sqrt{8}", r"2\sqrt{2}", True), (r"n = K", r"K", True), (r"[0, K)", r"[0, K]", False), (r"(K, -1)", r"(-1, K)", False),
+    (r"x + K", r"x + K + 1", False), (r"K \pm 1", r"K + 1, K - 1", True), (r"K\%", r"K", True), (r"\text{none}", r"K", False), (r"\frac{K}{3", r"K", False),
+    (r"\dfrac{1}{K + 1}", r"(K+1)^{-1}", True), (r"yK", r"zK", False),
+]
+_MEANT_SQL = ", ".join(f"({i}, {str(same).lower()})" for i, (_, _, same) in enumerate(_MEANT))
+
+
+@query("grade_mathematics", f"""
+SELECT doc_id, same AS is_correct, CASE WHEN same THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward
+FROM documents JOIN (VALUES {_MEANT_SQL}) t(i, same) ON doc_id % {len(_MEANT)} = i""")
+def grade_mathematics(spark, d):
+    """Answers that differ as text from truths they may or may not equal, graded by meaning."""
+    pairs = F.array(*[F.struct(F.lit(answer).alias("a"), F.lit(truth).alias("b")) for answer, truth, _ in _MEANT])
+    number = F.concat(F.lit("{"), c("doc_id").cast("string"), F.lit("}"))
+    asked = table(spark, d, "documents").select("doc_id", F.get(pairs, (c("doc_id") % len(_MEANT)).cast("int")).alias("p"), number.alias("k"))
+    said = F.concat(F.lit("Hence \\boxed{"), F.replace("p.a", F.lit("K"), c("k")), F.lit("}."))
+    truth = F.replace("p.b", F.lit("K"), c("k"))
+    return asked.select(
+        "doc_id", mathematics.grade_mathematics(said, truth).alias("is_correct"),
+        mathematics.mathematics_reward(said, truth).alias("reward"),
+    )
+
+
 _MAYBE_TRUTH = "CASE (conv_id + turn_index) % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE ground_truth END AS truth"
 
 

@@ -14,8 +14,6 @@ from colloquy import fixed_values as V
 from colloquy.functions.text import to_record_json
 from colloquy.operators.ordinals import rank_rows
 
-#: messages per row of ``v_dialogues``; longer conversations span several rows
-PART = 16
 #: turns of the replayed rollouts: the limit a rollout has by default
 TURNS = V.DEFAULT_MAX_TURNS
 
@@ -95,16 +93,11 @@ CTE = {
     "v_sft": _select(SFT_PROJECTION, "v_steps"),
     "v_dagger": _select(TAGGED_PROJECTION, "v_steps"),
     "v_messages": _select(MESSAGES_PROJECTION, "conversations"),
-    "v_dialogues": (
-        f"SELECT conv_id, pos // {PART} AS part, list({{'role': role, 'content': content}} ORDER BY pos) AS messages"
-        f" FROM v_messages GROUP BY ALL"
-    ),
     "v_rows": _select(ROWS_PROJECTION, "documents"),
 }
 NEEDS = {
     "v_sft": ["v_steps"],
     "v_dagger": ["v_steps"],
-    "v_dialogues": ["v_messages"],
 }
 
 
@@ -173,22 +166,6 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*MESSAGES_PROJECTION)
 
 
-def v_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages as arrays of at most ``PART``: a group is (conversation, part), never a whole long one."""
-    grouped = (
-        v_messages(spark, sf_dir)
-        .groupBy("conv_id", F.expr(f"pos div {PART}").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("m"))
-    )
-    return grouped.select(
-        "conv_id",
-        "part",
-        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias(
-            "messages"
-        ),
-    )
-
-
 def v_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*ROWS_PROJECTION)
 

@@ -27,6 +27,9 @@ RESPONSE = T.StructType(
     ]
 )
 
+#: what makes a task
+TASK_COLUMNS = ("uid", "question", "ground_truth")
+
 #: columns of the flat steps table, one row per (uid, role, turn_index)
 STEP_COLUMNS = (
     "uid",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators rely on; a cluster's own values win over these.
 DEFAULTS = {
@@ -92,6 +94,13 @@ class Files:
         finally:
             stream.close()
 
+    def read_start(self, path: str, size: int) -> bytes:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+
     def write_text(self, path: str, text: str) -> None:
         stream = self._fs.create(self._path(path), True)
         try:
@@ -99,6 +108,14 @@ class Files:
         finally:
             stream.close()
 
+    def create_text(self, path: str, text: str) -> None:
+        """Write a file that must not be there yet."""
+        stream = self._fs.create(self._path(path), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -108,11 +125,23 @@ def complete(spark: SparkSession, path: str) -> bool:
     return Files(spark, path).exists(f"{path}/_SUCCESS")
 
 
+def content_mark(df: DataFrame, *columns: str) -> str:
+    """A mark of the rows' content in some columns, whatever their order: rows, and the exclusive or of their hashes."""
+    n, mark = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*columns))).first()
+    return f"{n} rows {(mark or 0) & (1 << 64) - 1:016x}"
+
+
+def input_mark(df: DataFrame, key: str) -> str:
+    """A mark of a table: the files it is read from, which change with its version, and the keys that it holds of them."""
+    files = hashlib.sha256("\n".join(sorted(df.inputFiles())).encode()).hexdigest()[:16]
+    return f"files {files}, {content_mark(df, key)}"
+
+
 def write_once(df: DataFrame, path: str, made_by: object = None) -> DataFrame:
     """Write a table and read it back; one that is complete there already is not computed again.
 
-    ``made_by`` says what the table depends on besides its input (options, protocol, turn). It is
-    kept next to the table with the columns; one that was made otherwise raises.
+    ``made_by`` says what the table depends on: options, protocol, turn, and the mark of its input
+    (``content_mark``, ``input_mark``). It is kept next to the table with the columns; one that was made otherwise raises.
     """
     spark = df.sparkSession
     files = Files(spark, path)
@@ -121,7 +150,7 @@ def write_once(df: DataFrame, path: str, made_by: object = None) -> DataFrame:
     if complete(spark, path):
         other = files.read_text(mark)
         if other is not None and other != own:
-            raise RuntimeError(f"{path} was made with other options; take another folder, or remove it\nthere: {other}\nhere: {own}")
+            raise RuntimeError(f"{path} was made with other options or input; take another folder, or remove it\nthere: {other}\nhere: {own}")
     else:
         files.write_text(mark, own)
         df.write.mode("overwrite").parquet(path)

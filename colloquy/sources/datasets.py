@@ -15,20 +15,45 @@ from colloquy.functions.messages import (
     truncate_tail,
 )
 from colloquy.functions.text import py_strip, split_key
-from colloquy.operators.ordinals import read_indexed, write_indexed
+from colloquy.operators.ordinals import PLACE, read_indexed, write_indexed
 from colloquy.operators.sampling import HAS_QUESTION, has_question
 from colloquy.session import Files
+from colloquy.sources import json_list
 from colloquy.sources.store import Snapshots
 
 JSON_SUFFIXES = (".json", ".jsonl")
 
 
 def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Parquet or JSON lines by suffix; a JSON schema that is known saves a pass over the data."""
-    if path.lower().endswith(JSON_SUFFIXES):
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.json(path)
-    return spark.read.parquet(path)
+    """Parquet or JSON by suffix, JSON as lines or as one list a file; a JSON schema that is known saves a
+    pass over the data."""
+    return scan_in_order(spark, path, schema).drop(*PLACE)
+
+
+def scan_in_order(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """``scan`` with the place of every row: its file, the block it was read from, and a number that ascends within it."""
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if not path.lower().endswith(JSON_SUFFIXES):
+        place = [file, F.lit(0).cast("long"), F.col("_metadata.row_index")]
+        return spark.read.parquet(path).select("*", *[x.alias(n) for x, n in zip(place, PLACE)])
+    if json_list.first_character(spark, path) == "[":
+        return _list_rows(spark, path, schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    place = [file, block, F.monotonically_increasing_id()]
+    return reader.json(path).select("*", *[x.alias(n) for x, n in zip(place, PLACE)])
+
+
+def _list_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    found = json_list.elements(spark, path)
+    if schema is None:
+        texts = getattr(found.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = DataFrame(spark._jsparkSession.read().json(texts), spark).schema
+        if "_corrupt_record" in schema.names:
+            raise json_list.NotAList(f"{path} holds elements that are not JSON objects")
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    place = [F.col(x).alias(n) for x, n in zip(("file", "block", "seq"), PLACE)]
+    return found.select(row.alias("__row"), *place).select("__row.*", *PLACE)
 
 
 def scan_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +70,9 @@ def scan_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_json_list(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A JSON file that holds a list of objects, or one object over several lines.
-
-    Such a file is one value and can't be split; a folder of them is read file by file.
-    """
+    """JSON files that hold a list of objects each, read by many tasks, or one object over several lines."""
+    if json_list.first_character(spark, path) in ("[", ""):
+        return _list_rows(spark, path, schema).drop(*PLACE)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.option("multiLine", "true").json(path)
 
@@ -135,7 +159,7 @@ def register(
     force: bool = False,
     schema=None,
 ) -> DataFrame:
-    """Coerce a dataset once, number its rows and keep it; every original column stays.
+    """Coerce a dataset once, number its rows in file order and keep it; every original column stays.
 
     A dataset already there is used as it is unless ``force`` is set.
     """
@@ -146,7 +170,7 @@ def register(
         raise RuntimeError(f"dataset {name!r} (split {split!r}) is not registered and no path was given")
     versions = Snapshots(spark, _home(root, name, key), marker="rows/_SUCCESS")
     target = versions.next()
-    coerced = with_question_and_truth(scan(spark, path, schema), name)
+    coerced = with_question_and_truth(scan_in_order(spark, path, schema), name)
     # a narrow flag, so that sampling need not read the questions to find the empty ones
     flagged = coerced.withColumn(HAS_QUESTION, has_question(F.col("question")))
     write_indexed(flagged, target)

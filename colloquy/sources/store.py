@@ -1,15 +1,15 @@
 """Stores for training rows, transcripts and accuracy records.
 
-A table that is rewritten keeps numbered versions: the new one is written next to the
-old, and readers take the newest that is complete.  So no path is overwritten while it
-is being read, and a job that dies half-way leaves the old version in force.
+Training rows grow by appends in a keyed log (``keyed_log``).  A small table that is rewritten keeps numbered
+versions: the new one is written next to the old, and readers take the newest that is complete.  So no path is
+overwritten while it is being read, and a job that dies half-way leaves the old version in force.
 """
 
 from __future__ import annotations
 
-import json
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +17,10 @@ from pyspark.sql import types as T
 from colloquy.functions.hashing import message_hash, text_hash
 from colloquy.functions.messages import count_words, normalise_messages, truncate_tail
 from colloquy.functions.text import py_strip
-from colloquy.operators.dedupe import (
-    keep_first_position_last_value,
-    keep_last,
-    only_new,
-    union_rows,
-)
 from colloquy.schema import MESSAGES_DDL
 from colloquy.session import Files
+from colloquy.sources import json_list
+from colloquy.sources.keyed_log import KeyedLog
 
 HASH = "msg_hash"
 
@@ -64,7 +60,18 @@ def with_hash(rows: DataFrame, messages: str = "messages") -> DataFrame:
     return rows.withColumn(HASH, hashed)
 
 
+def log_of(spark: SparkSession, home: str, file_format: str = "parquet", position: str = "last") -> KeyedLog:
+    """The training rows below ``home``, keyed by message hash."""
+    return KeyedLog(spark, home, HASH, file_format, position)
+
+
 def read_store(spark: SparkSession, home: str, file_format: str = "parquet", schema=None) -> DataFrame | None:
+    log = log_of(spark, home)
+    if log.current():
+        rows = log.read()
+        if schema is None or rows is None:
+            return rows
+        return rows.select(*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).names)
     version = Snapshots(spark, home).current()
     if version is None:
         return None
@@ -79,68 +86,57 @@ def append_distinct(
     messages: str = "messages",
     file_format: str = "parquet",
     position: str = "last",
+    sinks: Column | None = None,
 ) -> str | None:
     """Append rows to a table and keep the last row of each message hash.
 
     ``order`` orders the rows across appends (it may be a struct).  With
     ``position="first"`` a hash keeps the place of its first occurrence and the values of
     its last.  Rows without messages are rejected, with a count.  A table without
-    a ``messages`` column is not deduplicated.  No rows: nothing is written.
+    a ``messages`` column is not deduplicated.  No rows: nothing is written.  Only the new rows
+    are written; stored ones move when their bucket is compacted.  ``sinks`` names the
+    table of each row where several tables are published together.
     """
-    spark = rows.sparkSession
-    versions = Snapshots(spark, home)
-    if rows.isEmpty():
-        return versions.current()
-    dedupes = messages in rows.columns
+    log = log_of(rows.sparkSession, home, file_format, position)
     seen = Observation()
+    dedupes = messages in rows.columns
     if dedupes:
         # counted on the way through, without a pass of its own
         rows = rows.observe(seen, F.count_if(F.col(messages).isNull()).alias("rejected"))
         rows = with_hash(rows.filter(F.col(messages).isNotNull()), messages)
-    # the schema is kept with each version, so old JSON is read without inference and loses no column
-    old = read_store(spark, home, file_format, _kept_schema(spark, versions) if file_format == "json" else None)
-    merged = rows if old is None else union_rows(old, rows)
-    if dedupes:
-        merged = (
-            keep_last(merged, HASH, order)
-            if position == "last"
-            else keep_first_position_last_value(merged, HASH, order)
-        )
-    target = versions.next()
-    writer = merged.write.mode("errorifexists").format(file_format)
-    if file_format == "json":
-        writer = writer.option("ignoreNullFields", "false")
-        Files(spark, home).write_text(f"{target}.schema", merged.schema.json())
-    writer.save(target)
-    versions.retire(keep=2)  # the one before stays for readers that have it open
-    if dedupes and seen.get["rejected"]:
-        warnings.warn(f"{seen.get['rejected']} rows without messages rejected")
-    return target
-
-
-def _kept_schema(spark: SparkSession, versions: Snapshots) -> T.StructType | None:
-    """The schema written next to the newest version; ``None`` where there is none (it is inferred)."""
-    version = versions.current()
-    text = version and Files(spark, versions.home).read_text(f"{version}.schema")
-    return T.StructType.fromJson(json.loads(text)) if text else None
+    part = log.append(rows, order, sinks=sinks)
+    for table in log.current().tables if part else []:
+        log.compact(table)
+    if dedupes and (rejected := _observed(seen)):
+        warnings.warn(f"{rejected} rows without messages rejected")
+    return part
+
+
+def _observed(seen: Observation) -> int:
+    try:
+        return seen.get["rejected"]
+    except Py4JJavaError:  # the plan was known to be empty, and nothing was observed
+        return 0
 
 
-def append_new_only(rows: DataFrame, home: str, order: str, part: str, messages: str = "messages") -> str:
-    """Append the rows whose hash is not stored, as folder ``part`` of an append-only table.
+def append_new_only(rows: DataFrame, home: str, order: str, part: str, messages: str = "messages") -> str | None:
+    """Append the rows whose hash is not stored, under the label ``part``; returns the folder they lie in.
 
-    Nothing stored is rewritten and of the stored rows only the hash is read.  Running the
-    same part again replaces it, so a job that was cut short can be repeated.
+    The hashes are tested against the filters of the stored parts; stored hashes are read only where a filter
+    says that one may be there.  Running the same part again replaces its rows, so a job that was cut
+    short can be repeated.
     """
-    spark = rows.sparkSession
+    log = log_of(rows.sparkSession, home)
     hashed = with_hash(rows.filter(F.col(messages).isNotNull()), messages)
-    files = Files(spark, home)
-    others = [f"{home}/{n}" for n in files.children(home) if n != part and files.exists(f"{home}/{n}/_SUCCESS")]
-    if others:
-        fresh = only_new(hashed, spark.read.parquet(*others), HASH, order)
-    else:
-        fresh = keep_last(hashed, HASH, order)
-    fresh.write.mode("overwrite").parquet(f"{home}/{part}")
-    return f"{home}/{part}"
+    keys = hashed.select(HASH).distinct().persist()
+    try:
+        known = log.known(keys, but=part)
+        fresh = hashed if known is None else hashed.join(known, HASH, "left_anti").select(*hashed.columns)
+        written = log.append(fresh, order, label=part)
+    finally:
+        keys.unpersist()
+    log.compact()
+    return written
 
 
 def _prepared(rows: DataFrame, max_tokens: int, counter) -> DataFrame:
@@ -225,9 +221,17 @@ def transcripts(steps: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def write_by_role(rows: DataFrame, prefix: str, order: str) -> None:
-    """Generator and verifier rows into ``{prefix}_gen.parquet`` and ``{prefix}_ver.parquet``."""
-    for role, short in (("generator", "gen"), ("verifier", "ver")):
-        append_distinct(rows.filter(F.col("role") == role), f"{prefix}_{short}.parquet", order)
+    """Generator and verifier rows into the tables ``gen`` and ``ver`` below ``prefix``.
+
+    Rows are written once, dealt by role, and one commit publishes both tables or none.
+    """
+    table = F.when(F.col("role") == "generator", "gen").when(F.col("role") == "verifier", "ver")
+    append_distinct(rows.filter(table.isNotNull()), prefix, order, sinks=table)
+
+
+def read_by_role(spark: SparkSession, prefix: str, table: str) -> DataFrame | None:
+    """One of the tables of ``write_by_role``: ``gen`` or ``ver``."""
+    return log_of(spark, prefix).read(table)
 
 
 # ---- counts ------------------------------------------------------------------------------------
@@ -242,7 +246,13 @@ def count_rows(spark: SparkSession, path: str) -> int:
     if path.lower().endswith(".jsonl"):
         return spark.read.text(path).filter(py_strip(F.col("value")) != "").count()
     if path.lower().endswith(".json"):
-        return _count_json_documents(spark, path, files)
+        first = json_list.first_character(spark, path)
+        if first == "[":
+            return json_list.count_elements(spark, path)
+        if first and not files.is_folder(path) and files.size(path) > LARGEST_JSON_VALUE:
+            json_list.starts(spark, path)  # raises where it is not whole
+            return 1
+        return _count_json_documents(spark, path)
     if not files.is_folder(path):
         if path.lower().endswith(".parquet"):
             return spark.read.parquet(path).count()
@@ -257,20 +267,16 @@ def count_rows(spark: SparkSession, path: str) -> int:
     )
 
 
-#: a JSON document is one value in one task; larger ones belong into lines
-LARGEST_JSON_DOCUMENT = 1 << 30
+#: JSON documents other than lists are parsed as one value up to this size; of larger ones the brackets are counted
+LARGEST_JSON_VALUE = 1 << 28
 
 
-def _count_json_documents(spark: SparkSession, path: str, files: Files) -> int:
-    if not files.is_folder(path) and files.size(path) > LARGEST_JSON_DOCUMENT:
-        raise ValueError(f"{path} is one JSON document of over {LARGEST_JSON_DOCUMENT} bytes; write it as JSON lines")
+def _count_json_documents(spark: SparkSession, path: str) -> int:
     text = spark.read.text(path, wholetext=True)
     value = F.try_parse_json("value")
-    kind = F.schema_of_variant(value)
-    length = F.json_array_length("value")
     empty = F.to_json(value).isin("{}", "null", "false", "0", '""')
     counted = (
-        F.when(value.isNull(), 0).when(F.startswith(kind, F.lit("ARRAY")), length).when(empty, 0).otherwise(1)
+        F.when(value.isNull() | empty, 0).otherwise(1)
     )
     broken = F.count_if(value.isNull() & (py_strip(F.col("value")) != ""))
     found = text.agg(F.coalesce(F.sum(counted), F.lit(0)).alias("n"), broken.alias("broken")).first()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import rollout, sft
+from colloquy.operators.relabel import relabel
 from colloquy.plans import episode_queries as E
 from colloquy.plans import jobs
 from colloquy.plans.catalog import QUERIES
@@ -20,7 +21,10 @@ def test_figures(spark):
     stopped = QUERIES["early_stop"](spark, D).collect()
     assert len(stopped) == 191
     assert sum(r["verdict"] == "correct" for r in stopped) == 44
-    funnel = {(r["role"], r["reason"]): r["n"] for r in QUERIES["sft_funnel"](spark, D).collect()}
+    state = rollout.run_rollout(E.recorded_dataset(spark, D), rollout.recorded_responder, rollout.JUDGED, E.TURNS, materialise=False)
+    teacher = rollout.recorded_teacher(E.recorded_targets(v_first_steps(spark, D)), E.TURNS)
+    steps = relabel(rollout.steps_of(state, rollout.JUDGED), teacher, materialise=False)
+    funnel = {(r["role"], r["reason"]): r["n"] for r in sft.funnel(sft.judged_candidates(steps)).collect()}
     assert funnel == {
         ("generator", "kept"): 47, ("generator", "no_target"): 158, ("generator", "gt_mismatch"): 60,
         ("generator", "think_incomplete"): 23, ("generator", "empty_question"): 15, ("verifier", "kept"): 66,
@@ -70,7 +74,8 @@ def test_append_only_storage_holds_the_same_messages(spark, setting):
     kept = run(spark, setting, batch_tasks=60, rounds=2, storage="append_only")
     whole = run(spark, setting, batch_tasks=60, rounds=2)
     for role, rounds in (("gen", (1, 3)), ("ver", (2, 4))):
-        parts = [spark.read.parquet(f"{kept}/{role}_sft_parts/round={r:03d}") for r in rounds]
+        log = store.log_of(spark, f"{kept}/{role}_sft_parts")
+        parts = [log.read(label=f"round={r:03d}") for r in rounds]
         got = [r["msg_hash"] for p in parts for r in p.collect()]
         want = [r["msg_hash"] for r in store.read_store(spark, f"{whole}/{role}_sft").collect()]
         assert sorted(got) == sorted(want)
@@ -159,3 +164,41 @@ def test_tasks_of_a_sample(spark):
     tasks = v_tasks(spark, D).withColumn("source_idx", F.col("conv_id"))
     got = jobs.sample_tagged_tasks(tasks, o, 3)
     assert sorted(r["uid"] for r in got.collect()) == sorted(f"train_{i}" for i in range(7))
+
+
+def test_other_tasks_in_the_same_folder_raise(spark, setting):
+    """Another evaluation size, another seed, other steps: nothing finished is taken for them."""
+    dataset, teacher = setting
+    out = new_folder(spark, "job")
+    o = dict(max_turns=1, rounds=1, eval_every=2, materialise=False)
+    first = jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=5, **o), 2, out).first()
+    again = jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=5, **o), 2, out).first()
+    assert first == again and first["total"] == 5
+    with pytest.raises(RuntimeError, match="other options or input"):
+        jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=20, **o), 2, out)
+    other = dataset.filter("source_idx % 2 = 0")  # another version of the dataset
+    with pytest.raises(RuntimeError, match="other options or input"):
+        jobs.evaluate(other, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=5, **o), 2, out)
+
+    tagged = lambda seed: jobs.tagged_round(dataset, rollout.recorded_responder, teacher, jobs.RoundOptions(batch_tasks=5, max_turns=1, seed=seed, materialise=False), 1, out)
+    tagged(1)
+    tagged(1)
+    with pytest.raises(RuntimeError, match="other options or input"):
+        tagged(2)
+
+    state = rollout.run_rollout(dataset.limit(4).withColumn("uid", F.col("source_idx").cast("string")), rollout.recorded_responder, max_turns=1, materialise=False)
+    steps, folder = rollout.steps_of(state), new_folder(spark, "labels")
+    assert relabel(steps, teacher, folder=folder).count() == relabel(steps, teacher, folder=folder).count()
+    with pytest.raises(RuntimeError, match="other options or input"):
+        relabel(steps.filter("role = 'generator'"), teacher, folder=folder)
+
+
+def test_other_tasks_in_a_rollout_folder_raise(spark, setting):
+    dataset, _ = setting
+    tasks = dataset.withColumn("uid", F.col("source_idx").cast("string"))
+    folder = new_folder(spark, "rollout")
+    run_ = lambda t: rollout.run_rollout(t, rollout.recorded_responder, max_turns=1, folder=folder)
+    n = run_(tasks.filter("source_idx < 9")).count()
+    assert run_(tasks.filter("source_idx < 9")).count() == n
+    with pytest.raises(RuntimeError, match="other options or input"):
+        run_(tasks.filter("source_idx < 5"))

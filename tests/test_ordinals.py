@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import batching, dedupe, ordinals
-from colloquy.session import new_folder
+from colloquy.session import Files, new_folder
+from colloquy.sources import datasets
 
 
 @pytest.fixture(scope="module")
@@ -72,13 +73,18 @@ def test_smallest(rows, n):
     assert [r["p"] for r in placed.orderBy("p").collect()] == list(range(len(want)))
 
 
-def test_dense_index(spark, rows):
-    folder = new_folder(spark, "dense")
-    ordinals.write_indexed(rows.repartition(5), folder)
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_dense_index(spark, rows, few, monkeypatch):
+    """With offsets broadcast, and met in a shuffle."""
+    monkeypatch.setattr(ordinals, "BROADCAST_BLOCKS", few)
+    raw, folder = new_folder(spark, "raw"), new_folder(spark, "dense")
+    rows.repartition(5).write.parquet(raw)
+    ordinals.write_indexed(datasets.scan_in_order(spark, raw), folder)
     got = ordinals.read_indexed(spark, folder)
     assert sorted(r["source_idx"] for r in got.collect()) == list(range(3000))
     assert got.columns == [*rows.columns, "source_idx"]
-    assert sorted(r["o"] for r in got.collect()) == sorted(r["o"] for r in rows.collect())
+    in_files = [r["o"] for f in sorted(Files(spark, raw).children(raw)) if f.endswith(".parquet") for r in spark.read.parquet(f"{raw}/{f}").collect()]
+    assert [r["o"] for r in got.orderBy("source_idx").collect()] == in_files
 
 
 def test_batches(rows):

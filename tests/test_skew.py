@@ -9,12 +9,12 @@ from colloquy.operators import ordinals
 from colloquy.plans.catalog import ORACLE, QUERIES
 
 HOT = [
-    "verdict", "boxed_last", "message_hash", "trim_history", "fit_token_budget", "truncate_tail", "question_text",
+    "verdict", "boxed_last", "message_hash_rows", "question_text_rows", "scan_json_list", "register_in_file_order",
     "last_user_message", "gen_accuracy", "gen_accuracy_detail", "early_stop", "last_step", "episode_correct_any",
     "join_responses", "relabel_join", "distinct_messages", "sft_append_parquet", "sft_append_jsonl", "sft_new_only",
     "request_batches", "param_batches", "sample_random", "sample_sequential", "round_batches", "replay_pag",
     "clean_context_rows", "drop_trailing_assistant_rows", "trim_history_rows", "truncate_tail_rows",
-    "fit_token_budget_rows", "coerce_question_rows", "replay_dagger", "sft_build_pag", "sft_funnel", "transcripts", "stream_sft_ingest",
+    "fit_token_budget_rows", "coerce_question_rows", "replay_dagger", "sft_build_pag", "sft_funnel_rows", "transcripts", "stream_sft_ingest",
 ]
 
 

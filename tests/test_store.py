@@ -71,22 +71,25 @@ def test_columns_are_aligned_by_name(spark):
     assert [tuple(r) for r in got] == [("a", None), ("b", "n")]
 
 
-def test_unfinished_version_is_ignored_and_unreadable_one_raises(spark):
+def test_unfinished_part_is_ignored_and_unreadable_one_raises(spark):
     home = new_folder(spark, "append")
     store.append_distinct(rows(spark, ("a", 1)), home, "seq")
-    rows(spark, ("zzz", 9)).write.parquet(f"{home}/v000007")
-    os.remove(f"{home}/v000007/_SUCCESS")
+    # one job died before its manifest, another while writing it
+    rows(spark, ("zzz", 9)).write.parquet(f"{home}/parts/died/bucket_=a")
+    with open(f"{home}/log/00000001.json", "w") as f:
+        f.write('{"order": "seq", "tables": {"rows": [')
     assert content(store.read_store(spark, home)) == [("a", 1)]
     store.append_distinct(rows(spark, ("b", 2)), home, "seq")
     assert content(store.read_store(spark, home)) == [("a", 1), ("b", 2)]
 
-    broken = new_folder(spark, "broken")
-    os.makedirs(f"{broken}/v000000")
-    for name, text in (("part-0.parquet", "not parquet at all"), ("_SUCCESS", "")):
-        with open(f"{broken}/v000000/{name}", "w") as f:
-            f.write(text)
+    log = store.log_of(spark, home)
+    entry = log.current().tables["rows"][0]
+    part = f"{home}/{entry.path}/bucket_={next(iter(entry.buckets))}"
+    for name in os.listdir(part):
+        with open(f"{part}/{name}", "w") as f:
+            f.write("not parquet at all")
     with pytest.raises(Exception):
-        store.append_distinct(rows(spark, ("b", 2)), broken, "seq")
+        store.read_store(spark, home).collect()
 
 
 def test_append_new_only_can_be_repeated(spark):
@@ -94,8 +97,11 @@ def test_append_new_only_can_be_repeated(spark):
     store.append_new_only(rows(spark, ("a", 1), ("b", 2), ("a", 3)), home, "seq", "batch=0")
     for _ in range(2):
         store.append_new_only(rows(spark, ("b", 4), ("c", 5), ("c", 6)), home, "seq", "batch=1")
-    assert content(spark.read.parquet(f"{home}/batch=0")) == [("a", 3), ("b", 2)]
-    assert content(spark.read.parquet(f"{home}/batch=1")) == [("c", 6)]
+    log = store.log_of(spark, home)
+    assert content(log.read(label="batch=0")) == [("a", 3), ("b", 2)]
+    assert content(log.read(label="batch=1")) == [("c", 6)]
+    assert content(log.read(merge=False)) == [("a", 3), ("b", 2), ("c", 6)]
+    assert store.append_new_only(rows(spark, ("a", 9)), home, "seq", "batch=2") is None
 
 
 def test_shards_and_latest(spark):

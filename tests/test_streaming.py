@@ -1,8 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from colloquy.session import Files, new_folder
 from colloquy.sources import store
-from colloquy.streaming.ingest import ingest_shards, read_ingested, running_accuracy
+from colloquy.streaming.ingest import ingest_shards, read_accuracy, read_ingested, running_accuracy
 
 SCHEMA = "messages string, seq bigint"
 
@@ -35,10 +37,21 @@ def test_running_accuracy(spark):
     store.write_accuracy_records(record(False, 2), f"{base}/in", "train", 2)
     store.write_accuracy_records(record(True, 1), f"{base}/in", "eval", 2)
     running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
-    got = {(r["tag"], r["round"]): (r["correct"], r["total"], r["accuracy"]) for r in store.read_store(spark, f"{base}/out").collect()}
+    got = {(r["tag"], r["round"]): (r["correct"], r["total"], r["accuracy"]) for r in read_accuracy(spark, f"{base}/out").collect()}
     assert got == {("train", 1): (3, 3, 1.0), ("train", 2): (0, 2, 0.0), ("eval", 2): (1, 1, 1.0)}
     # a round that is written again replaces what it had said, whatever its new files are called
     store.write_accuracy_records(record(False, 3), f"{base}/in", "train", 1)
     running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
-    got = {(r["tag"], r["round"]): (r["correct"], r["total"]) for r in store.read_store(spark, f"{base}/out").collect()}
+    got = {(r["tag"], r["round"]): (r["correct"], r["total"]) for r in read_accuracy(spark, f"{base}/out").collect()}
     assert got == {("train", 1): (0, 3), ("train", 2): (0, 2), ("eval", 2): (1, 1)}
+    # what a batch did not touch is neither read nor written again
+    size = lambda: sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(f"{base}/out") for n in names)
+    before = size()
+    store.write_accuracy_records(record(True, 5000), f"{base}/in", "train", 3)
+    running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
+    middle = size()
+    store.write_accuracy_records(record(True, 1), f"{base}/in", "eval", 4)
+    running_accuracy(spark, f"{base}/in", f"{base}/out", f"{base}/progress")
+    assert size() - middle < 0.2 * (middle - before)
+    got = {(r["tag"], r["round"]): (r["correct"], r["total"]) for r in read_accuracy(spark, f"{base}/out").collect()}
+    assert got[("train", 3)] == (5000, 5000) and got[("eval", 4)] == (1, 1) and len(got) == 5
