@@ -20,8 +20,8 @@ Shingles are compared by 64-bit hashes.
 Defined results: a document without words, or a null text, is an empty set, linked with nothing; one
 with fewer words than a shingle is a set of its whole sequence; a row without an id is linked with
 nothing, has no component and is kept; rows that repeat an id with the same text get the same answer,
-and ``deduplicated`` keeps one of them; extra columns stay out of ``near_duplicates`` and are kept by
-``deduplicated``.
+and ``deduplicated`` keeps one of them, and all different texts of an id; extra columns stay out of ``near_duplicates``
+and are kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -247,13 +247,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, per_cent: int = 80) -> DataFrame:
-    """``docs`` without those that are not their component's smallest; one row of an id that repeats."""
-    gone = near_duplicates(docs, doc_id, text, n, per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
-    again = docs.groupBy(F.col(doc_id).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 and __again is not null")
-    repeats = F.col(doc_id) == F.col("__again")
-    once = kept.join(again, repeats, "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, repeats, "left_anti").unionByName(once)
+    """``docs`` without those that are not their component's smallest; rows that repeat an id and its text become one.
+
+    Different texts under one id are different documents: all but one of them (the least by hash) get a key of their own
+    above all ids, so they stay unless they are near duplicates themselves.
+    """
+    hashed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"))
+    again = hashed.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("__hash").alias("__first")).filter("__n > 1 and __id is not null")
+    again = stored(again.select("__id", "__first"), "repeated")
+    repeats, own = F.col(doc_id) == F.col("__id"), F.col(doc_id).cast("long")
+    single = docs.join(again, repeats, "left_anti").withColumn("__key", own)
+    several = docs.join(again, repeats).withColumn("__hash", F.xxhash64(text)).dropDuplicates([doc_id, "__hash"])
+    other = F.xxhash64(F.col(doc_id), F.col("__hash")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    several = several.withColumn("__key", F.when(F.col("__hash") == F.col("__first"), own).otherwise(other))
+    whole = single.unionByName(several.select(*docs.columns, "__key"))
+    gone = near_duplicates(whole, "__key", text, n, per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return whole.join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 @query("op8_near_duplicates")

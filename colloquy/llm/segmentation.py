@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Paths drawn, added to a merge rank, and characters of text worked on at once.
 K, OFFSET, CHUNK = 2, 10, 1 << 19
 #: Letters of the words whose lattices a task remembers; words of more letters are cut where no piece lies across.
-REMEMBERED, LONG = 3 << 18, 64
+REMEMBERED, LONG = 1 << 20, 64
 #: Paths of a word that may be listed where draws keep meeting barred ones; words with more are drawn on.
 LISTED = 4096
 
@@ -76,9 +76,8 @@ class Vocabulary:
     weights: np.ndarray
     byte_ids: np.ndarray
     kinds: np.ndarray  # 0 text, 1 byte, 2 other
-    letters: np.ndarray  # code points of all pieces, one after the other; of the ASCII bytes too
-    starts: np.ndarray
-    lengths: np.ndarray
+    shown: list[str]  # pieces as text, ASCII bytes as their characters
+    high: np.ndarray  # whether a piece is another byte
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -97,17 +96,14 @@ class Vocabulary:
         shown = list(pieces)
         for i in byte_ids[:128]:
             shown[i] = chr(int(pieces[i][3:5], 16))
-        lengths = np.array(list(map(len, shown)))
-        letters = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
-        return Vocabulary(pieces, weights, byte_ids, kinds, letters, np.cumsum(lengths) - lengths, lengths)
+        high = np.zeros(n, bool)
+        high[byte_ids[128:]] = True
+        return Vocabulary(pieces, weights, byte_ids, kinds, shown, high)
 
     def decode(self, ids) -> str:
         """The text of a path; without the leading blank that encoding puts first."""
-        if not np.isin(ids, self.byte_ids[128:]).any():
-            length = self.lengths[ids]
-            ends = np.cumsum(length)
-            where = np.repeat(self.starts[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
-            return self.letters[where].tobytes().decode("utf-32-le")[1:]
+        if not self.high[ids].any():
+            return "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
         out = b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.kinds[i] == 1 else self.pieces[i].encode() for i in ids)
         return out.decode("utf-8", "replace")[1:]
 

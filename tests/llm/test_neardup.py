@@ -98,3 +98,12 @@ def test_edges(edges, nothing):
     assert kept.columns == edges.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "8", "9", "None", "None"]
     assert nd.near_duplicates(nothing).count() == 0 and nd.deduplicated(nothing).count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = (f"text {x} " * 3 + " ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (3, c, "s"), (3, c + " more", "t"), (3, c, "s"), (4, b, "u"), (5, None, "v"), (5, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").repartition(3)
+    got = sorted((r["doc_id"], r["text"] or "") for r in nd.deduplicated(df, n=2).collect())
+    assert [g for g in got if g[0] != 3] in ([(1, a), (2, b), (5, ""), (5, "")], [(1, a), (4, b), (5, ""), (5, "")])
+    assert [g for g in got if g[0] == 3] in ([(3, c)], [(3, c + " more")])
