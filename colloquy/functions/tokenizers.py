@@ -8,9 +8,11 @@ rows of a batch at once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,7 @@ def _most(largest: dict[int, int], made: Callable[[int, int], list[dict]], fits:
             else:
                 high[i] = middle[i] - 1
     return {i: made(i, n) for i, n in low.items()}
+
+
+# Task code travels with its job, so executors need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,12 +13,14 @@ Escapes never cross blocks: a comma can't be escaped in JSON.
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,7 +132,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     ``(file, block, seq)`` orders them as they lie in the files; an element has the block where it begins. An empty
     list has none. A file that isn't one list raises, whichever task meets it.
     """
-    known = spark.sparkContext.broadcast(starts(spark, path))
+    known = spark.sparkContext.broadcast({k: (s.inside, s.depth) for k, s in starts(spark, path).items()})
     names = ["file", "block", "seq", "value", "opens", "closes"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
 
@@ -142,7 +144,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
                     yield from batch(reader.end())
                 if key not in known.value:
                     raise RuntimeError("the files, or how they are cut, have changed since they were planned")
-                reader = _Block(key, known.value[key])
+                reader = _Block(key, Start(*known.value[key]))
             yield from batch(reader.take(data))
         if reader:
             yield from batch(reader.end())
@@ -235,3 +237,7 @@ def dump_lists(rows: DataFrame, path: str) -> None:
 
     text = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
     text.mapInArrow(listed, "value string").write.mode("overwrite").text(path)
+
+
+# Task code travels with its job, so executors need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -173,7 +173,7 @@ def test_other_tasks_in_the_same_folder_raise(spark, setting):
     o = dict(max_turns=1, rounds=1, eval_every=2, materialise=False)
     first = jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=5, **o), 2, out).first()
     again = jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=5, **o), 2, out).first()
-    assert first == again and first["total"] == 5
+    assert first == again and 0 < first["total"] <= 5
     with pytest.raises(RuntimeError, match="other options or input"):
         jobs.evaluate(dataset, rollout.recorded_responder, jobs.RoundOptions(eval_tasks=20, **o), 2, out)
     other = dataset.filter("source_idx % 2 = 0")  # another version of the dataset
