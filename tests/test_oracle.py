@@ -12,10 +12,14 @@ def con():
     return connect(f"{DATA}/sf0.01", TABLES)
 
 
-def test_every_query_has_sql():
-    assert set(ORACLE) == set(QUERIES)
+#: tokenizers are beyond SQL: tests/test_tokenizers.py holds this one against a loop
+WITHOUT_SQL = {"fit_prompt_tokenizer"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(ORACLE) == set(QUERIES) - WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, con, name):
     check(QUERIES[name](spark, f"{DATA}/sf0.01"), con, ORACLE[name])
