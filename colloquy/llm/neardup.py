@@ -5,7 +5,9 @@ exponential variate, on an exponential scale (floor(1 - log_B x), cut to ``Q`` +
 a union are the maxima of its parts' registers, and two sets agree in a register about as often
 as their Jaccard similarity, so groups of ``ROWS`` registers are bands: documents that share a band
 are candidates. A candidate pair's similarity is estimated from its registers and set sizes by
-maximum likelihood, and pairs that come near the threshold are confirmed on the full sets.
+maximum likelihood; beside the registers lies a histogram of the set's hashes in ``BINS`` bins, and the difference of two histograms
+bounds their sets' difference from below, which refuses without error what the estimate can't. Pairs that come near the threshold
+are confirmed on the full sets.
 
 Documents with equal sets are one class, held by its smallest id, before anything is paired. In a
 bucket of a band no pairs are listed: first every document is held against the most shared member of all
@@ -41,6 +43,8 @@ from colloquy.llm.registry import query
 #: Registers, base and rate of their scale, and largest value; registers of a band.
 M, B, A, Q = 200, 1.001, 20.0, (1 << 16) - 2
 ROWS = 5
+#: Bins of the histogram beside the registers; counts end at 255, which leaves the bound a bound.
+BINS = 256
 #: Standard errors below the threshold from which an estimate refuses a pair.
 MARGIN = 5.0
 #: Characters of text worked on at once.
@@ -79,12 +83,26 @@ def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def histograms(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many hashes of each set fall into each bin (set x BINS)."""
+    sets = len(bounds) - 1
+    owner = np.repeat(np.arange(sets), np.diff(bounds))
+    counts = np.bincount(owner * BINS + (mixed(hashes) >> np.uint64(56)).astype(np.int64), minlength=sets * BINS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(sets, BINS)
+
+
+def parts(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and histograms of stored sketches."""
+    whole = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 2 * M + BINS)
+    return np.ascontiguousarray(whole[:, : 2 * M]).view(np.uint16), whole[:, 2 * M :]
+
+
 def bands(register: np.ndarray) -> np.ndarray:
     """Keys (set x band) of whole bands."""
-    parts = register.reshape(len(register), M // ROWS, ROWS).astype(np.uint64)
-    key = np.zeros(parts.shape[:2], np.uint64)
+    own = register.reshape(len(register), M // ROWS, ROWS).astype(np.uint64)
+    key = np.zeros(own.shape[:2], np.uint64)
     for i in range(ROWS):
-        key = mixed(key ^ parts[:, :, i])
+        key = mixed(key ^ own[:, :, i])
     return mixed(key ^ np.arange(M // ROWS, dtype=np.uint64))
 
 
@@ -110,7 +128,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """``doc_id, n_shingles, mark_a, mark_b, registers`` of every row; marks tell sets apart."""
+    """``doc_id, n_shingles, mark_a, mark_b, registers`` (and histogram) of every row; marks tell sets apart."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def make(rows: list[dict]) -> dict:
@@ -124,7 +142,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             "n_shingles": np.diff(bounds),
             "mark_a": sums[0],
             "mark_b": sums[1],
-            "registers": [r.tobytes() for r in registers(hashes, bounds)],
+            "registers": [r.tobytes() + h.tobytes() for r, h in zip(registers(hashes, bounds), histograms(hashes, bounds))],
         }
 
     return by_chunks(narrow, make, "doc_id long, n_shingles long, mark_a long, mark_b long, registers binary", text_size(), CHUNK)
@@ -137,8 +155,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                register = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(-1, M)
-                keys = bands(register)
+                keys = bands(parts(part.column("registers").to_pylist())[0])
                 own = [pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in ("doc", "n_shingles")]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *own], names=["key", "doc", "n"])
 
@@ -150,7 +167,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose estimated similarity is not clearly below the threshold."""
+    """The pairs ``a, b`` that may reach the threshold: by the estimate, and by the difference of their histograms."""
     own = classes.select("doc", "n_shingles", "registers")
     side = lambda c: own.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own.columns[1:]])
     met = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -160,9 +177,11 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sides = [np.frombuffer(b"".join(part.column(f"registers_{c}").to_pylist()), np.uint16).reshape(-1, M) for c in "ab"]
-                sizes = [part.column(f"n_shingles_{c}").to_numpy().astype(float) for c in "ab"]
-                near = pa.array(estimate(*sides, *sizes) >= least)
+                (left, left_bins), (right, right_bins) = (parts(part.column(f"registers_{c}").to_pylist()) for c in "ab")
+                n, m = (part.column(f"n_shingles_{c}").to_numpy().astype(float) for c in "ab")
+                apart = np.abs(left_bins.astype(np.int16) - right_bins).sum(axis=1, dtype=np.int64)
+                common = (n + m - apart) / 2  # at most
+                near = pa.array((estimate(left, right, n, m) >= least) & (common >= threshold * (n + m - common) - 1e-6))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(near) for c in "ab"], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
@@ -194,7 +213,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> Data
 def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
     """``doc, root`` of the classes that share a bucket with another."""
     members = stored(buckets(classes).withColumn("root", F.col("doc")), "members")
-    roots = members.select("doc", "root").distinct()
+    roots = stored(members.select("doc", "root").distinct(), "roots")
+    classes = stored(classes.join(roots.select("doc"), "doc", "left_semi"), "candidates")
     at_once = 0
     while members.limit(1).count():
         first = Window.partitionBy("key").orderBy(F.desc("pop"), "doc")
@@ -203,7 +223,9 @@ def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataF
         met = members.join(pivots, "key").filter((F.col("doc") != F.col("doc_b")) & (F.col("root") != F.col("root_b")))
         met = met.filter(100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b"))  # else the sizes alone refuse
         if at_once:
-            asked = met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
+            # a pair that meets in several buckets, or as pivots of each other, is asked once
+            pair = F.min(F.struct(F.col("doc").alias("a"), F.col("doc_b").alias("b"))).alias("pair")
+            asked = met.groupBy(F.least("doc", "doc_b").alias("lo"), F.greatest("doc", "doc_b").alias("hi")).agg(pair).select("pair.a", "pair.b")
         else:  # to begin with, everyone is held against the most shared of their pivots only
             asked = met.groupBy(F.col("doc").alias("a")).agg(F.max_by("doc_b", F.struct("pop_b", -F.col("doc_b"))).alias("b"))
         pairs = stored(likely(asked, classes, per_cent / 100), "pairs")
@@ -252,17 +274,17 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     Different texts under one id are different documents: all but one of them (the least by hash) get a key of their own
     above all ids, so they stay unless they are near duplicates themselves.
     """
-    hashed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"))
-    again = hashed.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("__hash").alias("__first")).filter("__n > 1 and __id is not null")
-    again = stored(again.select("__id", "__first"), "repeated")
-    repeats, own = F.col(doc_id) == F.col("__id"), F.col(doc_id).cast("long")
-    single = docs.join(again, repeats, "left_anti").withColumn("__key", own)
-    several = docs.join(again, repeats).withColumn("__hash", F.xxhash64(text)).dropDuplicates([doc_id, "__hash"])
-    other = F.xxhash64(F.col(doc_id), F.col("__hash")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    several = several.withColumn("__key", F.when(F.col("__hash") == F.col("__first"), own).otherwise(other))
-    whole = single.unionByName(several.select(*docs.columns, "__key"))
-    gone = near_duplicates(whole, "__key", text, n, per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return whole.join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*docs.columns)
+    hashed = docs.select(F.col(doc_id).alias("__dedup_id"), F.xxhash64(text).alias("__dedup_hash"))
+    again = hashed.groupBy("__dedup_id").agg(F.count(F.lit(1)).alias("__dedup_n"), F.min("__dedup_hash").alias("__dedup_first")).filter("__dedup_n > 1 and __dedup_id is not null")
+    again = stored(again.select("__dedup_id", "__dedup_first"), "repeated")
+    repeats, own = F.col(doc_id) == F.col("__dedup_id"), F.col(doc_id).cast("long")
+    single = docs.join(again, repeats, "left_anti").withColumn("__dedup_key", own)
+    several = docs.join(again, repeats).withColumn("__dedup_hash", F.xxhash64(text)).dropDuplicates([doc_id, "__dedup_hash"])
+    other = F.xxhash64(F.col(doc_id), F.col("__dedup_hash")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    several = several.withColumn("__dedup_key", F.when(F.col("__dedup_hash") == F.col("__dedup_first"), own).otherwise(other))
+    whole = single.unionByName(several.select(*docs.columns, "__dedup_key"))
+    gone = near_duplicates(whole, "__dedup_key", text, n, per_cent).filter(~F.col("kept")).select(F.col("doc_id").alias("__dedup_gone")).distinct()
+    return whole.join(gone, F.col("__dedup_key") == F.col("__dedup_gone"), "left_anti").select(*docs.columns)
 
 
 @query("op8_near_duplicates")
