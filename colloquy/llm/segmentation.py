@@ -102,6 +102,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a path; without the leading blank that encoding puts first."""
+        ids = np.asarray(ids, np.int64)
         if not self.high[ids].any():
             return "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
         out = b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.kinds[i] == 1 else self.pieces[i].encode() for i in ids)
