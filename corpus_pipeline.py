@@ -5,8 +5,8 @@ written as Parquet and read again as the next one's documents.
 
 Defined results: an empty table stays empty (the last stage's columns remain); documents with null or
 empty texts have a quality score like any other, are near duplicates of nothing, hit no benchmark item
-and hold no personal data; where there are no labels of both kinds, every document is kept; repeated rows of an id
-become one.
+and hold no personal data; where there are no labels of both kinds, every document is kept; rows that repeat
+an id and its text become one, different texts of an id are documents of their own.
 """
 
 from __future__ import annotations
