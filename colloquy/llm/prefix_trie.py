@@ -250,11 +250,14 @@ def ends_digests(ends: DataFrame) -> DataFrame:
 
 
 def with_parents(rows: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Rows with ``parent_conv_id``, the smallest member of their parent; nodes of ``least`` members or more are broadcast."""
+    """Rows with ``parent_conv_id``, the smallest member of their parent; nodes of ``least`` members or more are broadcast.
+
+    A parent that the sketch proved single is no node: the row, of one member then, gets null.
+    """
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("d1").alias("p1"), F.col("d2").alias("p2"), F.col("rep").alias("parent_conv_id"), "n")
     key = ["depth", "p1", "p2"]
     heavy, light = F.broadcast(parents.filter(F.col("n") >= least).drop("n")), parents.filter(F.col("n") < least).drop("n")
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*key), key, "left_anti").join(light, key))
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*key), key, "left_anti").join(light, key, "left"))
 
 
 def trie(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
@@ -293,7 +296,7 @@ def trie(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
     border = with_parents(single.filter("parent_maybe"), nodes, least).select(*final)
     of_node = [F.col("rep").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), F.col("children").alias("n_children")]
     of_node += [F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "ends_sha256"]
-    inner = with_parents(full.filter("depth > 0"), nodes, least).select(*of_node)
+    inner = with_parents(full.filter("depth > 0"), nodes, least).withColumn("parent_conv_id", F.coalesce("parent_conv_id", "rep")).select(*of_node)
     top = full.filter("depth = 0").withColumn("parent_conv_id", none).select(*of_node)
     return top.unionByName(inner).unionByName(border).unionByName(alone)
 

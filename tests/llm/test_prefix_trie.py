@@ -76,6 +76,14 @@ def test_tries(spark, tmp_path, monkeypatch, block):
     assert run(spark, tmp_path, rows) == by_loops(rows)
 
 
+def test_collisions_of_the_sketch_lose_no_node(spark, tmp_path, monkeypatch):
+    """With few counters, prefixes that occur once look shared although what they continue was proven single."""
+    monkeypatch.setattr(pt, "SLICE", 256)
+    monkeypatch.setattr(pt, "MOST_COUNTERS", 256)
+    rows = [(c, t, "user", f"turn {t} of {c}") for c in range(30) for t in range(8)]
+    assert run(spark, tmp_path, rows) == by_loops(rows)
+
+
 def test_edges(spark, tmp_path):
     hot = [(400 + 20 * i, t, "user", x) for i in range(30) for t, x in enumerate(["same", "same again"])]  # one group of copies
     rows = [
