@@ -36,6 +36,31 @@ def test_quality_learns_pairs():
     assert np.isclose(np.mean(worth < ranker.threshold), np.mean(y == 0), atol=0.01)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Sums over the tasks' rows give the same ranker as rows at hand, and rows beyond the first 8,000 count."""
+    draw = np.random.default_rng(2)
+    texts = [" ".join(draw.choice(["aa", "Bb", "c7", "dd.", "|"], draw.integers(1, 30))) for _ in range(9000)]
+    y = [int(draw.random() < (0.2 if "|" in t else 0.9)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    ranker, local = quality.learn(docs, labels), quality.fit(np.array([quality.features(t) for t in texts]), np.array(y))
+    assert np.allclose(ranker.weights, local.weights, atol=1e-6) and np.allclose(ranker.mean, local.mean)
+    worth = quality.expanded(np.array([quality.features(t) for t in texts]), ranker.mean, ranker.spread) @ ranker.weights
+    assert abs(np.quantile(worth, 1 - np.mean(y)) - ranker.threshold) < 1e-6
+
+
+def test_quality_pairs_in_bins():
+    """The slope of the loss of all pairs is nil at the weights."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, len(quality.FEATURES)))
+    y = (draw.random(300) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    ranker = quality.fit(x, y)
+    z = quality.expanded(x, ranker.mean, ranker.spread)
+    diff = (z[y == 1][:, None] - z[y == 0][None, :]).reshape(-1, z.shape[1])
+    slope = quality.DECAY * ranker.weights - diff.T @ (1 - quality._logistic(diff @ ranker.weights)) / len(diff)
+    assert np.abs(slope).max() < 1e-3
+
+
 def test_quality_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (9, 7), (None, 1)], "doc_id long, quality int")
     ranker = quality.learn(edges, labels)
