@@ -28,6 +28,22 @@ def powers(lane: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _both_powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, remembered up to 2^22."""
+    rise, fall = _POWERS.get(lane, (_BLANK[:0], _BLANK[:0]))
+    if len(rise) < n:
+        rise = powers(lane, n)
+        fall = np.full(n, pow(_BASES[lane], -1, 1 << 64), np.uint64)
+        fall[:1] = 1
+        fall = np.cumprod(fall, dtype=np.uint64)
+        if n <= 1 << 22:
+            _POWERS[lane] = rise, fall
+    return rise[:n], fall[:n]
+
+
 class Words:
     """Words of texts: runs of characters other than blanks (space and 9 to 13), hashed by their bytes."""
 
@@ -44,35 +60,12 @@ class Words:
         self.hash = [self._hash(lane) for lane in range(lanes)]
 
     def _hash(self, lane: int) -> np.ndarray:
+        """Polynomials of the words' bytes, from sums over all bytes before a place, each times its own falling power."""
         values = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * lane))[self.data]
-        size = int((self.end - self.start).max(initial=0))
-        if size > 256 or not len(self.start):  # sums over long words, by prefix sums of weighted bytes
-            return self._long_hash(lane, values)
-        total = np.zeros(len(self.start), np.uint64)
-        base = np.uint64(_BASES[lane])
-        length = self.end - self.start
-        live = np.arange(len(self.start))
-        for i in range(size):
-            live = live[length[live] > i]
-            total[live] = total[live] * base + values[self.start[live] + i]
-        return mixed(total)
-
-    def _long_hash(self, lane: int, values: np.ndarray) -> np.ndarray:
-        base = np.uint64(_BASES[lane])
-        total = np.zeros(len(self.start), np.uint64)
-        length = self.end - self.start
-        if not len(length):
-            return total
-        rise = powers(lane, int(length.max()) + 1)
-        short = np.flatnonzero(length <= 256)
-        live = short
-        for i in range(int(length[short].max(initial=0))):
-            live = live[length[live] > i]
-            total[live] = total[live] * base + values[self.start[live] + i]
-        for w in np.flatnonzero(length > 256):
-            n = length[w]
-            total[w] = (values[self.start[w] : self.end[w]] * rise[:n][::-1]).sum(dtype=np.uint64)
-        return mixed(total)
+        rise, fall = _both_powers(lane, len(values))
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(np.multiply(values, fall, out=values), dtype=np.uint64, out=sums[1:])
+        return mixed((sums[self.end] - sums[self.start]) * rise[self.end - 1])
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

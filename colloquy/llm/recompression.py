@@ -99,6 +99,21 @@ class Level:
         return Level(new, lo, hi, own)
 
 
+def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, most: int) -> np.ndarray:
+    """For each of ``n`` places, the least rank of the stretches ``lo`` to ``hi`` (at most ``most`` places) over it."""
+    # a stretch is two stretches of 2^level places; then those of a level are halved into the next one's
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for own in range(most.bit_length() - 1, -1, -1):
+        mine = np.flatnonzero(level == own)
+        half = (1 << own) >> 1
+        np.minimum.at(best, lo[mine], rank[mine])
+        np.minimum.at(best, hi[mine] - (1 << own) + 1, rank[mine])
+        if half:
+            best[half:] = np.minimum(best[half:], best[:-half])
+    return best
+
+
 class Anchors:
     """For each window of the texts: its anchor, as a number within its text; for each anchor, its key."""
 
@@ -122,11 +137,7 @@ class Anchors:
             bits = np.uint64(max(20, int(n).bit_length()))
             rank = (mixed(level.name[fit] ^ _SALT[32 + number]) >> bits << bits) | fit.astype(np.uint64)
             lo, room, begin = level.lo[fit], size - (level.hi[fit] - level.lo[fit]), words.first[level.doc[fit]]
-            best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-            for k in range(size):
-                live = (room > k) & (lo - k >= begin)
-                where = lo[live] - k
-                best[where] = np.minimum(best[where], rank[live])
+            best = _least(rank, np.maximum(lo - room + 1, begin), lo, n, size)
             mine = np.flatnonzero(open_ & (best != np.iinfo(np.uint64).max))
             chosen, index = np.unique(best[mine] & ((np.uint64(1) << bits) - np.uint64(1)), return_inverse=True)
             chosen = chosen.astype(np.int64)
@@ -149,7 +160,7 @@ class Anchors:
 
 
 def _cut(rows: list[dict], size: int, rounds: int, lanes: int):
-    words = Words([(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], 2)
+    words = Words([(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], lanes)
     spans = Spans(words, lanes)
     return words, spans, Anchors(words, spans, size, rounds)
 

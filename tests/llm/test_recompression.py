@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 from conftest import DATA
 from edge_tables import edges, nothing  # noqa: F401
 
 from colloquy.llm import recompression as rc
+from colloquy.llm.hashing import _BASES, mixed
 
 
 def by_hand(rows, size=20):
@@ -59,3 +61,27 @@ def test_edges(edges, nothing):
     long = [x for x in got if x[0] == 7]
     assert long[0][1] == 30_001 and long[0][2] == 0
     assert rc.deduplicated(nothing).count() == 0
+
+
+def test_least_rank_over_places():
+    draw = np.random.default_rng(4)
+    for n, most in ((1, 1), (7, 3), (500, 20), (500, 33)):
+        hi = draw.integers(0, n, 2 * n)
+        lo = np.maximum(hi - draw.integers(0, most, 2 * n), 0)
+        rank = draw.integers(0, 1 << 60, 2 * n).astype(np.uint64)
+        want = [min((int(r) for r, a, b in zip(rank, lo, hi) if a <= i <= b), default=(1 << 64) - 1) for i in range(n)]
+        assert rc._least(rank, lo, hi, n, most).tolist() == want
+
+
+def test_words_are_hashed_in_the_lanes_that_are_used():
+    rows = [{"text": "a bc é " + "long" * 200}, {"text": None}, {"text": "bc " * 30}]
+    for lanes in (1, 2):
+        words = rc._cut(rows, 20, 2, lanes)[0]
+        assert len(words.hash) == lanes
+        for lane in range(lanes):
+            value = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1 + 1000 * lane)).tolist()
+            for a, b, got in zip(words.start, words.end, words.hash[lane]):
+                total = 0
+                for byte in words.data[a:b].tolist():
+                    total = (total * _BASES[lane] + value[byte]) % (1 << 64)
+                assert mixed(np.array([total], np.uint64))[0] == got
