@@ -10,11 +10,12 @@ bounds their sets' difference from below, which refuses without error what the e
 are confirmed on the full sets.
 
 Documents with equal sets are one class, held by its smallest id, before anything is paired. In a
-bucket of a band no pairs are listed: first every document is held against the most shared member of all
-its buckets, which joins a group of near copies; then, in each round, the most shared members of what
-is not yet one component (1, then 8, 64, ...) are pivots that the others are held against; then pivots leave the bucket, and the bucket is done when
-all that is left in it is one component. So a group of near copies costs about one pair a member, and
-yet every pair of a bucket is confirmed, refused or already joined in the end. A pair at the
+bucket of a band no pairs are listed: every document is held against the most shared member of each of
+its buckets, which joins a group of near copies for a few pairs a member, and the bucket is done where all
+other members are one component. What the rest still holds is nearly all below the threshold, and is not held
+against each other one by one: its shingles are put in one order, rare ones first, and only documents of
+different components that share a shingle among their first ones, early enough that the rest can still reach the
+threshold, are pairs (an exact prefix filter). So every pair of a bucket is confirmed, refused or already joined in the end. A pair at the
 threshold of 0.8 shares no band with a chance of about 1e-7 (40 bands of 5).
 
 Shingles are compared by 64-bit hashes.
@@ -45,6 +46,8 @@ M, B, A, Q = 200, 1.001, 20.0, (1 << 16) - 2
 ROWS = 5
 #: Bins of the histogram beside the registers; counts end at 255, which leaves the bound a bound.
 BINS = 256
+#: Bits of a shingle's hash by which its documents are counted, for the order of shingles.
+SLOTS = 20
 #: Standard errors below the threshold from which an estimate refuses a pair.
 MARGIN = 5.0
 #: Characters of text worked on at once.
@@ -210,44 +213,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, per_cent: int) -> Data
     return met.withColumn("common", common).filter(100 * F.col("common") >= per_cent * union).select("a", "b")
 
 
+def levels(texts: DataFrame, n: int) -> np.ndarray:
+    """How many documents hold a shingle of each slot, on a logarithmic scale."""
+
+    def make(rows: list[dict]) -> dict:
+        hashes, _ = shingles(Words([lowered(r["text"]) for r in rows]), n)
+        slot, count = np.unique(hashes >> np.uint64(64 - SLOTS), return_counts=True)
+        return {"slot": slot.astype(np.int32), "n": count}
+
+    counts = by_chunks(texts.select("text"), make, "slot int, n long", text_size(), CHUNK).groupBy("slot").agg(F.sum("n").alias("n"))
+    got = counts.select("slot", F.least(F.floor(8 * F.log2("n")), F.lit(254)).cast("short").alias("level")).toArrow()  # at most all slots
+    out = np.zeros(1 << SLOTS, np.uint8)
+    out[got.column("slot").to_numpy()] = got.column("level").to_numpy() + 1
+    return out
+
+
+def heads(texts: DataFrame, n: int, per_cent: int) -> DataFrame:
+    """``token, doc, root, n, place``: the first shingles of every text ``doc, root, text``, rare ones first.
+
+    Sets that reach the threshold share one of them: as many are left out as both must have in common, but one.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(levels(texts, n))
+
+    def make(rows: list[dict]) -> dict:
+        hashes, bounds = shingles(Words([lowered(r["text"]) for r in rows]), n)
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(rows)), size)
+        order = np.lexsort((hashes, shared.value[hashes >> np.uint64(64 - SLOTS)], owner))
+        place = np.arange(len(hashes)) - bounds[owner]
+        first = np.flatnonzero(place < (size - -(-per_cent * size // 100) + 1)[owner])
+        whose = owner[first]
+        out = {c: np.array([r[c] for r in rows], np.int64)[whose] for c in ("doc", "root")}
+        return out | {"token": hashes[order[first]].view(np.int64), "n": size[whose], "place": place[first]}
+
+    return by_chunks(texts.select("doc", "root", "text"), make, "token long, doc long, root long, n long, place long", text_size(), CHUNK)
+
+
+def near_heads(first: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs ``a, b`` of different components that share a head early enough to reach the threshold."""
+    # a shared shingle that is the first: what follows it, in the shorter of both rests, is all that may be common
+    other = first.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc", "root", "n", "place")])
+    smaller = first.filter(100 * (F.col("n") - F.col("place")) >= per_cent * (F.col("n") + F.col("place")))
+    met = smaller.join(other.hint("merge"), "token").filter(
+        ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("doc") < F.col("doc_b"))))
+        & (F.col("root") != F.col("root_b"))
+        & ((100 + per_cent) * F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= per_cent * (F.col("n") + F.col("n_b")))
+    )
+    return met.select(F.col("doc").alias("a"), F.col("doc_b").alias("b")).distinct()
+
+
 def joined(classes: DataFrame, texts: DataFrame, n: int, per_cent: int) -> DataFrame:
     """``doc, root`` of the classes that share a bucket with another."""
-    members = stored(buckets(classes).withColumn("root", F.col("doc")), "members")
-    roots = stored(members.select("doc", "root").distinct(), "roots")
+    members = stored(buckets(classes), "members")
+    roots = stored(members.select("doc", F.col("doc").alias("root")).distinct(), "roots")
     classes = stored(classes.join(roots.select("doc"), "doc", "left_semi"), "candidates")
-    at_once = 0
-    while members.limit(1).count():
-        first = Window.partitionBy("key").orderBy(F.desc("pop"), "doc")
-        placed = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max(at_once, 1))
-        pivots = stored(placed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pop", "root")]), "pivots")
-        met = members.join(pivots, "key").filter((F.col("doc") != F.col("doc_b")) & (F.col("root") != F.col("root_b")))
-        met = met.filter(100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b"))  # else the sizes alone refuse
-        if at_once:
-            # a pair that meets in several buckets, or as pivots of each other, is asked once
-            pair = F.min(F.struct(F.col("doc").alias("a"), F.col("doc_b").alias("b"))).alias("pair")
-            asked = met.groupBy(F.least("doc", "doc_b").alias("lo"), F.greatest("doc", "doc_b").alias("hi")).agg(pair).select("pair.a", "pair.b")
-        else:  # to begin with, everyone is held against the most shared of their pivots only
-            asked = met.groupBy(F.col("doc").alias("a")).agg(F.max_by("doc_b", F.struct("pop_b", -F.col("doc_b"))).alias("b"))
-        pairs = stored(likely(asked, classes, per_cent / 100), "pairs")
-        links = stored(confirmed(pairs, texts.hint("merge") if not at_once else texts, n, per_cent), "confirmed")
-        # a pivot that its whole bucket was held against is done there
-        done = pivots.select("key", F.col("doc_b").alias("doc"))
-        left = members.join(done, ["key", "doc"], "left_anti") if at_once else members
-        own = roots.select(F.col("doc").alias("d"), F.col("root").alias("r"))
-        between = links.join(own.toDF("a", "root_a"), "a").join(own.toDF("b", "root_b"), "b")
-        found = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        roots = stored(_renamed(roots, found), "roots")
-        left = _renamed(left, found)
-        open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        members = stored(left.join(open_, "key"), "members")
-        at_once = 8 * at_once or 1
-    return roots
-
-
-def _renamed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with ``root`` replaced by its component's root."""
+    texts = stored(texts.hint("merge").join(roots.select("doc"), "doc", "left_semi"), "candidate-texts")
+    first = Window.partitionBy("key").orderBy(F.desc("pop"), "doc")
+    placed = members.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= 1)
+    pivots = stored(placed.select("key", F.col("doc").alias("doc_b"), F.col("n").alias("n_b")), "pivots")
+    met = members.join(pivots, "key").filter(F.col("doc") != F.col("doc_b"))
+    met = met.filter(100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b"))  # else the sizes alone refuse
+    # a pair that meets in several buckets, or as pivots of each other, is asked once
+    pair = F.min(F.struct(F.col("doc").alias("a"), F.col("doc_b").alias("b"))).alias("pair")
+    asked = met.groupBy(F.least("doc", "doc_b").alias("lo"), F.greatest("doc", "doc_b").alias("hi")).agg(pair).select("pair.a", "pair.b")
+    pairs = stored(likely(asked, classes, per_cent / 100), "pairs")
+    roots = _united(roots, stored(confirmed(pairs, texts, n, per_cent), "confirmed"))
+    # where all but the pivot are its component or alone with it, the bucket is done
+    left = members.select("key", "doc").join(pivots, "key").filter(F.col("doc") != F.col("doc_b")).join(roots, "doc").select("key", "doc", "root")
+    open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    held = stored(left.join(open_, "key").select("doc", "root").distinct(), "open")
+    early = stored(heads(texts.join(held, "doc"), n, per_cent), "heads")
+    pairs = stored(likely(near_heads(early, per_cent), classes, per_cent / 100), "pairs")
+    return _united(roots, confirmed(pairs, texts, n, per_cent))
+
+
+def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc, root`` after the links ``a, b``."""
+    own = roots.select(F.col("doc").alias("d"), F.col("root").alias("r"))
+    between = links.join(own.toDF("a", "root_a"), "a").join(own.toDF("b", "root_b"), "b")
+    found = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     new = found.select(F.col("node").alias("root"), F.col("root").alias("new"))
-    return rows.join(new, "root", "left").withColumn("root", F.coalesce("new", "root")).select(*rows.columns)
+    return stored(roots.join(new, "root", "left").select("doc", F.coalesce("new", "root").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, per_cent: int = 80) -> DataFrame:

@@ -107,3 +107,38 @@ def test_different_texts_of_one_id_stay(spark):
     got = sorted((r["doc_id"], r["text"] or "") for r in nd.deduplicated(df, n=2).collect())
     assert [g for g in got if g[0] != 3] in ([(1, a), (2, b), (5, ""), (5, "")], [(1, a), (4, b), (5, ""), (5, "")])
     assert [g for g in got if g[0] == 3] in ([(3, c)], [(3, c + " more")])
+
+
+def test_pairs_below_the_threshold_are_not_asked_one_by_one(spark, monkeypatch):
+    """A group whose members share most bands and hardly a link: far fewer pairs are asked than it has."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(240):
+        copy = list(base)
+        for k in random.sample(range(200), random.choice((2, 4, 12, 14, 16, 18, 20))):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    asked, likely = [], nd.likely
+    monkeypatch.setattr(nd, "likely", lambda pairs, *more: asked.append(pairs.count()) or likely(pairs, *more))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = by_hand(rows, 2)
+    assert answer(nd.near_duplicates(df, n=2)) == want
+    assert len({root for _, root, _ in want.values()}) > 100
+    assert sum(asked) < 10 * len(rows)
+
+
+def test_heads_hold_every_pair_at_the_threshold(spark):
+    random.seed(10)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, i, " ".join(random.sample(words[: random.choice((30, 60))], random.randrange(1, 30)))) for i in range(150)]
+    for i in range(150):  # and near copies of them, sets of one shingle, sets without one
+        text = rows[i][2].split()
+        text[random.randrange(len(text))] = f"x{i % 3}"
+        rows.append((150 + i, 150 + i, " ".join(text)))
+    rows += [(300, 300, ""), (301, 301, "one"), (302, 302, "one"), (303, 303, None)]
+    df = spark.createDataFrame(rows, "doc long, root long, text string").repartition(3)
+    got = {tuple(sorted(r)) for r in nd.near_heads(nd.heads(df, 1, 80), 80).collect()}
+    sets = {d: set((t or "").split()) for d, _, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 50 and want <= got
