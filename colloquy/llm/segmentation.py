@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Paths drawn, added to a merge rank, and characters of text worked on at once.
 K, OFFSET, CHUNK = 2, 10, 1 << 19
 #: Letters of the words whose lattices a task remembers; words of more letters are cut where no piece lies across.
-REMEMBERED, LONG = 1 << 20, 64
+REMEMBERED, LONG = 2 << 20, 64
 #: Paths of a word that may be listed where draws keep meeting barred ones; words with more are drawn on.
 LISTED = 4096
 
@@ -51,21 +51,28 @@ LISTED = 4096
 _WORD = re.compile(r"\n| *[^ \n]+| +")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_BELOW_ONE = np.nextafter(np.float32(1), np.float32(0))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every number."""
-    x = (x + _MIX).astype(np.uint64)
+    x = (x + _MIX).astype(np.uint64, copy=False)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
-    return ((mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    x = mixed(x)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 1.0 / (1 << 53)
+    return out
 
 
 @dataclass
@@ -76,8 +83,9 @@ class Vocabulary:
     weights: np.ndarray
     byte_ids: np.ndarray
     kinds: np.ndarray  # 0 text, 1 byte, 2 other
-    shown: list[str]  # pieces as text, ASCII bytes as their characters
-    high: np.ndarray  # whether a piece is another byte
+    spelled: np.ndarray  # the bytes of all pieces, one piece after the other
+    start: np.ndarray  # of each piece therein
+    size: np.ndarray
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -93,216 +101,280 @@ class Vocabulary:
         first = int(np.flatnonzero(kinds == 0)[0])
         weights = 1.0 / (np.maximum(np.arange(n) - first, 0) + OFFSET)
         weights[kinds == 1] = 1.0 / (n + OFFSET)
-        shown = list(pieces)
-        for i in byte_ids[:128]:
-            shown[i] = chr(int(pieces[i][3:5], 16))
-        high = np.zeros(n, bool)
-        high[byte_ids[128:]] = True
-        return Vocabulary(pieces, weights, byte_ids, kinds, shown, high)
+        spelled = [bytes([int(p[3:5], 16)]) if kind == 1 else p.encode() for p, kind in zip(pieces, kinds)]
+        size = np.array([len(s) for s in spelled])
+        spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        return Vocabulary(pieces, weights, byte_ids, kinds, spelled, np.cumsum(size) - size, size)
 
     def decode(self, ids) -> str:
         """The text of a path; without the leading blank that encoding puts first."""
         ids = np.asarray(ids, np.int64)
-        if not self.high[ids].any():
-            return "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
-        out = b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.kinds[i] == 1 else self.pieces[i].encode() for i in ids)
-        return out.decode("utf-8", "replace")[1:]
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - ends + size, size)
+        at += np.arange(len(at))
+        return self.spelled[at].tobytes().decode("utf-8", "replace")[1:]
 
 
 class Lattice:
-    """Lookup of pieces by the hash of their characters."""
+    """The pieces as a trie: a node for each distinct beginning of a piece, the root being 0."""
 
     def __init__(self, vocabulary: Vocabulary):
         text = np.flatnonzero(vocabulary.kinds == 0)
         self.longest = max(len(vocabulary.pieces[i]) for i in text)
         self.weights, self.byte_ids = vocabulary.weights, vocabulary.byte_ids
         self.logs = np.log(self.weights)
-        self.found_weights = self.weights.copy()
-        self.found_weights[0] = 0.0  # no piece
-        self.wide = -(-self.longest // 8) * 8  # columns of a lattice's rows
-        self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.longest, _BASE)]))
-        length = np.array([len(p) if k == 0 else 0 for p, k in zip(vocabulary.pieces, vocabulary.kinds)])
-        codes = np.array([list(map(ord, p[: self.longest].ljust(self.longest))) for p in vocabulary.pieces], np.uint64)
-        self.key = np.zeros(len(length), np.uint64)
-        for i in range(self.longest):
-            self.key = np.where(i < length, self.key * _BASE + mixed(codes[:, i]), self.key)
-        self.tables, left, shift = [], text, 44
-        while len(left):  # pieces whose place is taken go to the next table
-            place = (mixed(self.key[left] ^ np.uint64(shift)) >> np.uint64(44)).astype(np.int64)
-            _, first = np.unique(place, return_index=True)
-            slots = np.zeros(1 << 20, np.int32)
-            slots[place[first]] = left[first]
-            self.tables.append((np.uint64(shift), slots))
-            left = np.delete(left, first)
-            shift += 1
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Piece of every key; 0 where there is none."""
-        out = np.zeros(len(key), np.int32)
-        for seed, slots in self.tables:
-            got = slots[(mixed(key ^ seed) >> np.uint64(44)).astype(np.int64)]
-            np.copyto(out, got, where=(got > 0) & (self.key[got] == key))
+        self.kind = np.uint16 if len(self.weights) < 1 << 16 else np.int32  # of a piece's number
+        nodes: dict[int, int] = {}
+        ends = []
+        for i in text.tolist():
+            node = 0
+            for c in vocabulary.pieces[i]:
+                node = nodes.setdefault(node << 21 | ord(c), len(nodes) + 1)
+            ends.append(node)
+        self.pair = np.fromiter(chain([-1], nodes), np.int64, len(nodes) + 1)  # node before, and the letter
+        self.piece = np.zeros(len(self.pair), self.kind)  # that ends at a node; 0 if none does
+        self.piece[ends] = text
+        self.inner = np.zeros(len(self.pair), bool)  # whether longer beginnings follow
+        self.inner[self.pair[1:] >> 21] = True
+        self.inner[0] = False  # 0 also stands for no node
+        place = self._place(self.pair[1:])
+        order = np.argsort(place, kind="stable")
+        same = np.flatnonzero(place[order][1:] == place[order][:-1])
+        self.after = np.zeros(len(self.pair), np.int32)  # the next node of the same place
+        self.after[order[same] + 1] = order[same + 1] + 1
+        self.slots = np.zeros(1 << 18, np.int32)
+        self.slots[place[order[::-1]]] = order[::-1] + 1
+
+    @staticmethod
+    def _place(pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * _MIX) >> np.uint64(46)).view(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node that each node leads to by a letter; 0 where there is none."""
+        pair = node.astype(np.int64)
+        pair <<= 21
+        pair |= code
+        out = self.slots[self._place(pair)]
+        bad = np.flatnonzero(self.pair[out] != pair)
+        while len(bad):
+            out[bad] = other = self.after[out[bad]]
+            bad = bad[other > 0]
+            bad = bad[self.pair[out[bad]] != pair[bad]]
         return out
 
+    def walk(self, codes: np.ndarray, following: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each size, where pieces of it begin, their last letters' places, and the pieces; of size 1 also 0 for none.
+
+        ``following`` has the place of the letter behind each place, -1 at a word's end.
+        """
+        start = np.flatnonzero(following >= 0)
+        row, node = following[start], np.zeros(len(start), np.int32)
+        for size in range(1, self.longest + 1):
+            node = self.step(node, codes[row])
+            piece = self.piece[node]
+            if size == 1:
+                yield size, start, row, piece
+            else:
+                some = np.flatnonzero(piece)
+                yield size, start[some], row[some], piece[some]
+            behind = following[row]
+            live = np.flatnonzero(self.inner[node] & (behind >= 0))
+            start, row, node = start[live], behind[live], node[live]
+
+
+def letters_of(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
 class Words:
-    """The lattices of distinct words: for each end of a piece, which pieces end there and how likely."""
+    """The lattices of distinct words, given longest first: for each place, which pieces end there and how likely.
+
+    Places are ordered by their distance from their word's begin, then by word; those of distance 0 have no pieces.
+    """
 
     def __init__(self, words: list[str], lattice: Lattice):
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        most = int(self.length[0]) if len(words) else 0
+        n = np.searchsorted(-self.length, -np.arange(most + 2), "right")  # words of at least so many letters
+        base = np.concatenate([[0], np.cumsum(n)])
+        distance = np.repeat(np.arange(most + 2), n)
+        word = np.arange(base[-1]) - base[distance]
+        following = np.where(word < n[np.minimum(distance + 1, most + 1)], np.arange(base[-1]) + n[distance], -1)
+        offset = np.concatenate([[0], np.cumsum(self.length)])
+        codes = letters_of("".join(words))
+        self.codes = np.zeros(base[-1], np.uint32)
+        self.codes[len(words) :] = codes[(offset[word] + distance - 1)[len(words) :]]
+        self.row = base[self.length] + np.arange(len(words))  # of each word's end
+
+        count, found = np.zeros(base[-1], np.int64), []
+        for _, start, row, piece in lattice.walk(self.codes, following):
+            found.append((start, row, piece, nth := count[row]))
+            count[row] = nth + 1
+        first = np.concatenate([[0], np.cumsum(count)])
+        self.last = first[1:] - 1
+        self.piece = np.empty(first[-1], lattice.kind)
+        self.source = np.empty(first[-1], np.int64)  # the place where a piece begins
+        for start, row, piece, nth in found:
+            at = first[row] + nth
+            self.piece[at], self.source[at] = piece, start
+        del found
+
+        p = lattice.weights[self.piece]
+        bare = np.flatnonzero(self.piece == 0)
+        p[bare] = bytes_weight(lattice, self.codes[np.searchsorted(self.last, bare)])
+        sums, many, scale = np.ones(base[-1]), np.ones(base[-1]), np.zeros(len(words))
+        whole = np.ones(base[-1])
+        with np.errstate(over="ignore", invalid="ignore"):
+            for end in range(1, most + 1):
+                a, b = base[end], base[end + 1]
+                edges, begin = slice(first[a], first[b]), first[a:b] - first[a]
+                source = self.source[edges]
+                p[edges] *= sums[source]
+                sums[a:b] = whole[a:b] = np.add.reduceat(p[edges], begin)
+                many[a:b] = np.add.reduceat(many[source], begin)
+                if end % lattice.longest == 0 and (m := n[end + 1]):  # else sums of long words vanish
+                    by = whole[a : a + m]
+                    scale[:m] += np.log(by)
+                    for at in base[end + 1 - lattice.longest : end + 1]:
+                        sums[at : at + m] /= by
+            self.total = np.log(whole[self.row]) + scale  # logarithm of the sum over all paths
+            self.many = many[self.row]  # how many paths there are
+        lower = np.zeros(first[-1])  # cumulated over the pieces that end at a place, shortest first, without the own one
+        rows = np.flatnonzero(count > 1)
+        for nth in range(1, lattice.longest):
+            at = first[rows] + nth
+            lower[at] = lower[at - 1] + p[at - 1]
+            rows = rows[count[rows] > nth + 1]
+        lower /= np.repeat(whole, count)
+        self.lower = lower.astype(np.float32)
+        self.source[self.source < len(words)] = -1
+
+
+def bytes_weight(lattice: Lattice, codes: np.ndarray) -> np.ndarray:
+    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return lattice.weights[lattice.byte_ids[0]] ** size
+
+
+class Memory:
+    """Lattices of words: all that a task met since it last held more than ``REMEMBERED`` letters."""
+
+    def __init__(self, lattice: Lattice):
         self.lattice = lattice
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-lengths, kind="stable")
-        self.length = lengths
-        self.offset = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        letters = mixed(self.codes.astype(np.uint64))
-        rows, span = len(letters), min(lattice.longest, int(lengths.max(initial=1)))
-        self.share = np.ones((rows, lattice.wide), np.float32)  # cumulated over the length of the last piece
-        self.piece = np.zeros((rows, lattice.wide), np.uint16 if len(lattice.key) < 1 << 16 else np.int32)
-        self.total = np.zeros(len(words))  # logarithm of the sum over all paths
-        self.many = np.ones(len(words))  # how many paths there are
-        ways = np.zeros((len(words), span))
-        ways[:, 0] = 1.0
-        prefix = np.zeros((len(words), span + 1), np.uint64)  # hash of the last 0, 1, 2, ... characters' prefix
-        sums = np.zeros((len(words), span))  # sums over paths to the last ends, the newest first
-        sums[:, 0] = 1.0
-        lengths = lengths[order]
-        for end in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
-            n = int(np.searchsorted(-lengths, -end, "right"))  # words of at least this length come first
-            own = order[:n]
-            at = self.offset[own] + end - 1
-            wide = min(span, end)
-            # prefix[:, l] is the hash of the first end - l characters; hashes of words up to here follow
-            prefix[:n, 1:] = prefix[:n, :-1].copy()
-            prefix[:n, 0] = prefix[:n, 1] * _BASE + letters[at]
-            keys = prefix[:n, :1] - prefix[:n, 1 : wide + 1] * lattice.powers[1 : wide + 1]
-            found = lattice.find(keys.ravel()).reshape(n, wide)
-            p = lattice.found_weights[found]
-            bare = np.flatnonzero(found[:, 0] == 0)
-            p[bare, 0] = self.bytes_weight(self.codes[at[bare]])
-            with np.errstate(over="ignore", invalid="ignore"):
-                some = np.where(p > 0, ways[:n, :wide], 0.0).sum(axis=1)
-            self.many[own] = some
-            ways[:n, 1:] = ways[:n, :-1].copy()
-            ways[:n, 0] = some
-            p *= sums[:n, :wide]
-            np.cumsum(p, axis=1, out=p)
-            whole = p[:, -1:].copy()
-            self.share[at, :wide] = p / whole
-            self.piece[at, :wide] = found
-            self.total[own] += np.log(whole[:, 0])
-            sums[:n, 1:] = sums[:n, :-1] / whole
-            sums[:n, 0] = 1.0
-
-    def bytes_weight(self, codes: np.ndarray) -> np.ndarray:
-        size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-        return self.lattice.weights[self.lattice.byte_ids[0]] ** size
+        self.known: dict[str, int] = {}
+        self.held = {"word": 0, "place": 0, "piece": 0}
+        kinds = {
+            "word": {"length": np.int64, "row": np.int64, "total": np.float64, "many": np.float64},
+            "place": {"last": np.int32, "codes": np.uint32},
+            "piece": {"lower": np.float32, "piece": lattice.kind, "source": np.int32},
+        }
+        self.columns = {name: of for of, some in kinds.items() for name in some}
+        for some in kinds.values():
+            for name, kind in some.items():
+                setattr(self, name, np.empty(0, kind))
+
+    def _add(self, name: str, values: np.ndarray) -> None:
+        old, n = getattr(self, name), self.held[self.columns[name]]
+        if n + len(values) > len(old):
+            new = np.empty((n + len(values)) * 5 // 4, old.dtype)
+            new[:n] = old[:n]
+            setattr(self, name, old := new)
+        old[n : n + len(values)] = values
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of every word; lattices are built of those not remembered."""
+        if self.held["place"] > REMEMBERED:
+            self.known.clear()
+            self.held = dict.fromkeys(self.held, 0)
+        n, own = len(self.known), dict.fromkeys(words)
+        new = sorted((w for w in own if w not in self.known), key=len, reverse=True)
+        self.known.update(zip(new, range(n, n + len(new))))
+        own = dict(zip(own, map(self.known.__getitem__, own)))  # a small one is quicker for all the words
+        built = Words(new, self.lattice)
+        built.row += self.held["place"]
+        built.last += self.held["piece"]
+        built.source[built.source >= 0] += self.held["place"]
+        for name in self.columns:
+            self._add(name, getattr(built, name))
+        self.held["word"] += len(new)
+        self.held["place"] += len(built.codes)
+        self.held["piece"] += len(built.piece)
+        return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
 
     def every(self, word: int) -> list[tuple[float, np.uint64, np.ndarray]]:
         """All paths of one word: log-probability, name and ids."""
-        first, out = int(self.offset[word]), []
-        todo = [(int(self.length[word]), -float(self.total[word]), np.uint64(0), [])]
+        out = []
+        todo = [(int(self.row[word]), -float(self.total[word]), np.uint64(0), [])]
         while todo:
-            end, log, name, tail = todo.pop()
-            if not end:
+            row, log, name, tail = todo.pop()
+            if row < 0:
                 out.append((min(log, 0.0), name, np.array(tail, np.int32)))
                 continue
-            at = first + end - 1
-            for size in range(1, min(end, self.lattice.longest) + 1):
-                piece = int(self.piece[at, size - 1])
+            for at in range(int(self.last[row - 1]) + 1 if row else 0, int(self.last[row]) + 1):
+                piece = int(self.piece[at])
                 if piece:
                     ids, p = [piece], self.lattice.weights[piece]
-                elif size == 1:
-                    ids = self.lattice.byte_ids[list(chr(self.codes[at]).encode("utf-8", "surrogatepass"))].tolist()
-                    p = float(self.bytes_weight(self.codes[at : at + 1])[0])
                 else:
-                    continue
-                todo.append((end - size, log + float(np.log(p)), name * _BASE + np.uint64(size), [*ids, *tail]))
+                    ids = self.lattice.byte_ids[list(chr(self.codes[row]).encode("utf-8", "surrogatepass"))].tolist()
+                    p = float(bytes_weight(self.lattice, self.codes[row : row + 1])[0])
+                todo.append((int(self.source[at]), log + float(np.log(p)), name * _BASE + np.uint64(piece + 1), [*ids, *tail]))
         return out
 
     def draw(self, word: np.ndarray, key: np.ndarray) -> Paths:
         """A path for each entry of ``word``, by hashes of ``key``; backwards from the word's end."""
         n = len(word)
-        order = np.argsort(word)  # entries of one word read the same rows, one after the other
-        at = (self.offset + self.length - 1)[word[order]]
-        left, keys = self.length[word[order]], key[order]
-        sums, names = -self.total[word[order]], np.zeros(n, np.uint64)
-        steps, live, step = [], order, np.uint64(0)
-        log, name = np.empty(n), np.empty(n, np.uint64)
+        order = np.argsort(word)  # entries of one word read the same places, one after the other
+        own = word[order]
+        row, keys, live = self.row[own], key[order], order
+        sums, names = -self.total[own], np.zeros(n, np.uint64)
+        spaces = np.cumsum(self.length[word])  # a path has no more pieces than letters
+        ids, slot = np.zeros(int(spaces[-1]) if n else 0, np.int32), spaces[order] - 1
+        log, name, count, step = np.empty(n), np.empty(n, np.uint64), np.empty(n, np.int64), 0
         while len(live):
-            u = uniform(keys + step * _BASE).astype(np.float32)
-            below = (self.share[at] <= u[:, None]).view(np.uint64)  # eight columns in one number
-            size = 1 + np.bitwise_count(below).sum(axis=1, dtype=np.int64)
-            size = np.minimum(size, np.minimum(left, self.lattice.longest))
-            piece = self.piece[at, size - 1].astype(np.int64)
+            u = uniform(keys + np.uint64(step) * _BASE).astype(np.float32)
+            np.minimum(u, _BELOW_ONE, out=u)  # may have been rounded up
+            at = self.last[row].astype(np.int64)
+            high = np.flatnonzero(self.lower[at] > u)
+            while len(high):
+                at[high] = less = at[high] - 1
+                high = high[self.lower[less] > u[high]]
+            piece = self.piece[at].astype(np.int64)
             p = self.lattice.logs[piece]
+            ids[slot] = piece
             bare = np.flatnonzero(piece == 0)
             if len(bare):
-                code = self.codes[at[bare]]
-                piece[bare] = -code.astype(np.int64) - 1
-                p[bare] = np.log(self.bytes_weight(code))
+                code = self.codes[row[bare]]
+                ids[slot[bare]] = -code.astype(np.int64) - 1
+                p[bare] = np.log(bytes_weight(self.lattice, code))
             sums += p
-            names = names * _BASE + size.astype(np.uint64)
-            steps.append((live, piece))
-            at, left = at - size, left - size
-            done, more = np.flatnonzero(left == 0), np.flatnonzero(left)
-            log[live[done]], name[live[done]] = sums[done], names[done]
-            live, at, left, keys, sums, names = (x[more] for x in (live, at, left, keys, sums, names))
-            step += np.uint64(1)
-        return Paths(np.minimum(log, 0.0), name, steps)
-
-
-class Memory(Words):
-    """Lattices of a chunk's words, and before them those of words to remember: met twice, up to ``REMEMBERED`` letters."""
-
-    def __init__(self, lattice: Lattice):
-        self.lattice = lattice
-        self.known: dict[str, int] = {}  # of words to remember
-        self.held = 0  # their letters
-        self.seen = np.zeros(1 << 22, bool)  # places of words met in chunks before
-        self._room(REMEMBERED)
-        self.offset, self.length, self.total, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-
-    def _room(self, letters: int) -> None:
-        old = (self.share, self.piece, self.codes) if self.held else ()
-        self.share = np.empty((letters, self.lattice.wide), np.float32)
-        self.piece = np.empty((letters, self.lattice.wide), np.uint16 if len(self.lattice.key) < 1 << 16 else np.int32)
-        self.codes = np.empty(letters, np.uint32)
-        for new, kept in zip((self.share, self.piece, self.codes), old):
-            new[: self.held] = kept[: self.held]
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of every word; lattices are built of those not remembered."""
-        n = len(self.known)
-        new = list(set(words).difference(self.known))
-        self.known.update(zip(new, range(n, n + len(new))))
-        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        for w in new:
-            del self.known[w]
-        # words met twice come first, so that remembering them moves nothing
-        mark = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.seen) - 1)
-        often = (np.bincount(out, minlength=n + len(new))[n:] > 1) | self.seen[mark]
-        self.seen[mark] = True
-        order = np.argsort(~often, kind="stable")
-        place = np.empty(len(new), np.int64)
-        place[order] = np.arange(len(new))
-        out[out >= n] = n + place[out[out >= n] - n]
-        new = [new[i] for i in order]
-        built = Words(new, self.lattice)
-        letters = len(built.codes)
-        if self.held + letters > len(self.codes):
-            self._room(self.held + letters * 5 // 4)
-        at = slice(self.held, self.held + letters)
-        self.share[at], self.piece[at], self.codes[at] = built.share, built.piece, built.codes
-        more = {"offset": built.offset + self.held, "length": built.length, "total": built.total, "many": built.many}
-        for name, values in more.items():
-            setattr(self, name, np.concatenate([getattr(self, name)[:n], values]))
-        ends = self.held + np.cumsum(built.length)
-        kept = min(int(often.sum()), int(np.searchsorted(ends, REMEMBERED, "right")))
-        if kept:
-            self.known.update(zip(new[:kept], range(n, n + kept)))
-            self.held = int(ends[kept - 1])
-        return out
+            names *= _BASE
+            piece += 1
+            names += piece.view(np.uint64)
+            row = self.source[at]
+            slot -= 1
+            step += 1
+            done = np.flatnonzero(row < 0)
+            if len(done):
+                who = live[done]
+                log[who], name[who], count[who] = sums[done], names[done], step
+                more = np.flatnonzero(row >= 0)
+                live, row, slot, keys, sums, names = (x[more] for x in (live, row, slot, keys, sums, names))
+        ids = ids[ids != 0]
+        if len(ids) and ids.min() < 0:
+            ids, count = self._spelled(ids, count)
+        return Paths(np.minimum(log, 0.0), name, ids, count)
+
+    def _spelled(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece, given as numbers below zero, as their bytes' pieces."""
+        bare = np.flatnonzero(ids < 0)
+        codes = (-ids[bare] - 1).tolist()
+        spelled = {c: self.lattice.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in set(codes)}
+        wide = np.ones(len(ids), np.int64)
+        wide[bare] = [len(spelled[c]) for c in codes]
+        new = np.repeat(ids, wide)
+        new[new < 0] = np.concatenate([spelled[c] for c in codes])
+        ends = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(count)])]
+        return new, np.diff(ends)
 
 
 def words_of(text: str, lattice: Lattice) -> list[str]:
@@ -314,14 +386,12 @@ def words_of(text: str, lattice: Lattice) -> list[str]:
 
 
 def _parts(word: str, lattice: Lattice) -> list[str]:
-    letters = mixed(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    places = np.append(np.arange(1, len(word) + 1), -1)  # the begin of the word, then its letters
     covered = np.zeros(len(word) + 1, np.int64)  # +1 and -1 where pieces begin to lie across a cut, and end
-    key = letters.copy()
-    for size in range(2, min(lattice.longest, len(word)) + 1):
-        key = key[:-1] * _BASE + letters[size - 1 :]
-        at = np.flatnonzero(lattice.find(key))
-        np.add.at(covered, at + 1, 1)
-        np.add.at(covered, at + size, -1)
+    for size, start, end, _ in lattice.walk(np.append(np.uint32(0), letters_of(word)), places):
+        if size > 1:
+            covered[start + 1] += 1
+            covered[end] -= 1
     cuts = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
     ends = np.concatenate([cuts[cuts > 0], [len(word)]]).tolist()
     return [word[a:b] for a, b in zip([0, *ends], ends)]
@@ -329,34 +399,12 @@ def _parts(word: str, lattice: Lattice) -> list[str]:
 
 @dataclass
 class Paths:
-    """Log-probability and name of each path; its pieces in steps from the back."""
+    """Log-probability and name of each path; the ids of all in order, and how many of each."""
 
     log: np.ndarray
     name: np.ndarray
-    steps: list[tuple[np.ndarray, np.ndarray]]
-
-    def flat(self, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in order, how many of each path)."""
-        n = len(self.log)
-        if not n:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        who = np.concatenate([s[0] for s in self.steps])
-        piece = np.concatenate([s[1] for s in self.steps])
-        depth = np.concatenate([np.full(len(s[0]), i) for i, s in enumerate(self.steps)])
-        count = np.bincount(who, minlength=n)
-        first = np.concatenate([[0], np.cumsum(count)])
-        ids = np.empty(len(piece), np.int64)
-        ids[first[who] + count[who] - 1 - depth] = piece
-        if (ids < 0).any():
-            wide = np.where(ids < 0, 1, 1)
-            spelled = {c: chr(c).encode("utf-8", "surrogatepass") for c in set((-ids[ids < 0] - 1).tolist())}
-            wide[ids < 0] = [len(spelled[c]) for c in (-ids[ids < 0] - 1).tolist()]
-            owner = np.repeat(np.arange(n), count)
-            new = np.repeat(ids, wide)
-            new[new < 0] = np.concatenate([byte_ids[list(spelled[c])] for c in (-ids[ids < 0] - 1).tolist()])
-            count = np.bincount(owner, weights=wide, minlength=n).astype(np.int64)
-            ids = new
-        return ids.astype(np.int32), count
+    ids: np.ndarray
+    count: np.ndarray
 
 
 class Search:
@@ -412,8 +460,7 @@ def _sampled(texts: list[str], keys: np.ndarray, k: int, words: Memory) -> list[
 
     def drawn(where: np.ndarray, turn: int):
         paths = words.draw(code[where], mixed(lane[where] + np.uint64(turn) * _MIX))
-        ids, count = paths.flat(lattice.byte_ids)
-        return paths.log, paths.name, ids, count, np.concatenate([[0], np.cumsum(count)])
+        return paths.log, paths.name, paths.ids, paths.count, np.concatenate([[0], np.cumsum(paths.count)])
 
     log, name, ids, count, at = drawn(np.arange(first[-1]), 0)
     # the first paths of all texts at once, as ``emit`` takes one
@@ -442,7 +489,7 @@ def _sampled(texts: list[str], keys: np.ndarray, k: int, words: Memory) -> list[
             break
         edge = np.concatenate([[0], np.cumsum([len(w) for w in where])])
         log, name, ids, count, at = drawn(np.concatenate(where), turn)
-        head = _unbarred(words, code, lane, picked, name[edge[:-1]], turn, lattice)
+        head = _unbarred(words, code, lane, picked, name[edge[:-1]], turn)
         for j, (r, value, m, i) in enumerate(picked):
             old, a, b = r.paths[m], edge[j], edge[j + 1]
             barred, mass = (old["barred"], old["mass"]) if i == old["start"] else ([old["name"][i]], float(np.exp(old["log"][i])))
@@ -472,7 +519,7 @@ def _sampled(texts: list[str], keys: np.ndarray, k: int, words: Memory) -> list[
     return out
 
 
-def _unbarred(words: Words, code, lane, picked, names, turn: int, lattice: Lattice) -> dict:
+def _unbarred(words: Memory, code, lane, picked, names, turn: int) -> dict:
     """New paths for the first words of regions whose draw is barred there: drawn until none is."""
     out, open_ = {}, []
     for j, (r, _, m, i) in enumerate(picked):
@@ -494,8 +541,7 @@ def _unbarred(words: Words, code, lane, picked, names, turn: int, lattice: Latti
         where = np.repeat(np.array([w for _, w, _ in open_]), tries)
         number = np.tile(np.arange(again, again + tries, dtype=np.uint64), len(open_))
         paths = words.draw(code[where], mixed(mixed(lane[where] + np.uint64(turn) * _MIX) + number * _BASE))
-        ids, count = paths.flat(lattice.byte_ids)
-        at = np.concatenate([[0], np.cumsum(count)])
+        ids, at = paths.ids, np.concatenate([[0], np.cumsum(paths.count)])
         rest = []
         for x, (j, w, barred) in enumerate(open_):
             free = np.flatnonzero(~np.isin(paths.name[x * tries : (x + 1) * tries], barred))

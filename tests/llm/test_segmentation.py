@@ -95,3 +95,52 @@ def test_edges(edges, nothing):
     assert all(r["back"] == texts[r["doc_id"]] for r in back if r["doc_id"] is not None)
     assert {r["doc_id"] for r in back} == {r["doc_id"] for r in edges.collect()}
     assert s.encoded(nothing).count() == 0
+
+
+def test_pieces_of_a_text(vocabulary, lattice):
+    text = " wherethe  ofThe日本é▁ not"
+    number = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == 0}
+    n = len(text)
+    want = {(a, b, number[text[a:b]]) for a in range(n) for b in range(a + 1, n + 1) if text[a:b] in number}
+    codes, following = np.append(np.uint32(0), s.letters_of(text)), np.append(np.arange(1, n + 1), -1)
+    got = set()
+    for size, start, end, piece in lattice.walk(codes, following):
+        assert (end - start == size).all()
+        got |= {x for x in zip(start.tolist(), end.tolist(), piece.tolist()) if x[2]}
+    assert got == want and len(want) > n
+
+
+def test_each_word_is_built_once(lattice, monkeypatch):
+    built, words = [], s.Words.__init__
+    monkeypatch.setattr(s.Words, "__init__", lambda self, some, own: (built.extend(some), words(self, some, own))[1])
+    texts = ["one thing and another", "and one more thing, another"]
+    memory = s.Memory(lattice)
+    got = [s.sampled([t], keys(1), 2, lattice, memory)[0] for t in (*texts, *texts)]
+    assert len(built) == len(set(built)) == len({w for t in texts for w in s.words_of(t, lattice)})
+    monkeypatch.setattr(s, "REMEMBERED", 0)  # what is forgotten is built again, with the same paths
+    memory = s.Memory(lattice)
+    again = [s.sampled([t], keys(1), 2, lattice, memory)[0] for t in (*texts, *texts)]
+    for a, b in zip(got, again):
+        assert [p["ids"].tolist() for p in a] == [p["ids"].tolist() for p in b]
+        assert [p["log_prob"] for p in a] == [p["log_prob"] for p in b]
+
+
+def test_random_numbers_next_to_one(vocabulary, lattice, monkeypatch):
+    monkeypatch.setattr(s, "uniform", lambda x: np.full(len(x), 1 - 2.0**-30))  # one, in single precision
+    for text in ("zqxj ononou, thn", "日本語 and more"):
+        assert vocabulary.decode(s.sampled([text], keys(1), 1, lattice)[0][0]["ids"]) == text
+
+
+def test_probabilities_of_long_words(vocabulary, lattice):
+    text = "a" * 60 + " " + "=-" * 40 + "\U0010ffff" * 20 + "\n" + "x" * 90
+    whole, weight = " " + text, {p: vocabulary.weights[i] for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == 0}
+    byte = math.log(vocabulary.weights[vocabulary.byte_ids[0]])
+    total = [0.0]  # logarithms of the sums over all paths to each end
+    for end in range(1, len(whole) + 1):
+        parts = [whole[begin:end] for begin in range(max(0, end - lattice.longest), end)]
+        logs = [total[end - len(p)] + math.log(weight[p]) for p in parts if p in weight]
+        if parts[-1] not in weight:
+            logs.append(total[end - 1] + byte * len(parts[-1].encode()))
+        total.append(float(np.logaddexp.reduce(logs)))
+    for p in s.sampled([text], keys(1), 2, lattice)[0]:
+        assert math.isclose(p["log_prob"], float(np.log(vocabulary.weights[p["ids"]]).sum()) - total[-1], abs_tol=1e-6)
